@@ -24,6 +24,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_of_copies(load(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from tessera.llm.packing import pack
+
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path)
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minmax_dedup import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), width=3, similarity=(85, 100)).drop("text_md5")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mixed
 
@@ -37,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_packing, op7_minhash_near_dedup, op9_mixing, op10_sharding)}
 
 ORACLES = {
     "op2_exact_dedup": """
