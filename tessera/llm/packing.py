@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import cut
 
 CAPACITY = 2048
-UNIT = 4
+UNIT = 8
 CLASSES = CAPACITY // UNIT
 END_ID = 1
 #: The linear program ends when its value is within this share of Farley's lower bound.
-GAP = 1e-3
+GAP = 2e-3
 #: Patterns that fill less of a sequence are not used; their pieces are laid end to end.
 LEAST_FILL = 0.99
 BUCKET_PIECES = 20_000

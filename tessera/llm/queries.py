@@ -40,6 +40,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), width=3, similarity=(85, 100)).drop("text_md5")
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.covertree_dedup import near_vectors
+
+    return near_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mixed
 
@@ -53,9 +59,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_packing, op7_minhash_near_dedup, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op6_packing, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_mixing, op10_sharding)}
 
 ORACLES = {
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach(a, b) AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        )
+        SELECT v.vec_id, coalesce((SELECT count(*) FROM links WHERE a = v.vec_id), 0) AS n_links,
+               least(v.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = v.vec_id), v.vec_id)) AS component_id,
+               least(v.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = v.vec_id), v.vec_id)) = v.vec_id AS kept
+        FROM embeddings v
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
