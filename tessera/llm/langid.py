@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.shared import cut
+
 UNKNOWN = "und"
 ROWS_PER_LANGUAGE = 4000
 MOST_WORDS = 60_000
@@ -72,23 +74,26 @@ class Model:
     def __init__(self, counts: list[tuple[str, int, str, int]]):
         self.languages = sorted({c[0] for c in counts}, key=lambda s: [ord(c) for c in s])
         at = {x: i for i, x in enumerate(self.languages)}
-        self.scores: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-        for lang, order, gram, n in counts:
-            self.scores[order].setdefault(gram, np.zeros(len(at)))[at[lang]] += n
-        for table in self.scores.values():
-            if table:
-                total = np.sum(list(table.values()), axis=0)
-                for gram, n in table.items():
-                    table[gram] = np.log((n + 0.5) / (total + 0.5 * len(table)))
+        #: order -> gram -> row of that order's log frequencies
+        self.rows: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+        for _, order, gram, _ in counts:
+            self.rows[order].setdefault(gram, len(self.rows[order]))
+        self.logs = {}
+        for order, rows in self.rows.items():
+            table = np.zeros((len(rows), len(at)))
+            for lang, n, gram, count in counts:
+                if n == order:
+                    table[rows[gram], at[lang]] += count
+            self.logs[order] = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(rows))))
 
     def word(self, word: str) -> np.ndarray:
-        known = self.scores[0].get(word)
-        if known is not None:
-            return known
+        row = self.rows[0].get(word)
+        if row is not None:
+            return self.logs[0][row]
         for order in ORDERS:
-            table = self.scores[order]
-            if found := [table[g] for g in grams(word, order) if g in table]:
-                return np.mean(found, axis=0)
+            rows = self.rows[order]
+            if found := [rows[g] for g in grams(word, order) if g in rows]:
+                return self.logs[order][found].sum(0) / len(found)
         return np.zeros(len(self.languages))
 
     def scorer(self) -> Scorer:
@@ -138,7 +143,7 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     scale = 1 << 30
     share = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(scale)) < F.lit(float(rows_per_language) * scale) / F.col("count")
     sample = rows.join(F.broadcast(numbers), "lang").where(share).select("lang", "text")  # a row for each language
-    counted = sample.mapInArrow(_counts, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    counted = cut(sample.mapInArrow(_counts, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "counts")
     words = counted.where("n = 0 and count > 1").orderBy(F.desc("count"), "gram", "lang").limit(MOST_WORDS)
     pieces = counted.where("n > 0").orderBy(F.desc("count"), "n", "gram", "lang").limit(MOST_GRAMS)
     both = words.unionByName(pieces).toPandas()
