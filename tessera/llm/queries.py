@@ -24,6 +24,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups_of_copies(load(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest")
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licences import scan_licences
+
+    return scan_licences(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import PATTERNS, joined, personal_data
 
@@ -31,6 +37,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.lm_scoring import score, train
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    good = load(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(docs, *train(docs, good))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -66,7 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_pii, op6_packing, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_mixing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_licence_scan, op4_pii, op5_lm_scoring, op6_packing, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_mixing, op10_sharding)}
 
 ORACLES = {
     "op8_embedding_near_dedup": """
