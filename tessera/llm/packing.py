@@ -104,6 +104,20 @@ def best_pattern(weights: np.ndarray, values: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with partial pivoting."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for i in range(m):
+        p = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, p]] = both[[p, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0
+        both -= np.outer(factors, both[i])
+    return both[:, m:]
+
+
 def solve_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int = CLASSES, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
     """Column generation: patterns (counts for each weight) and how often the linear program uses them, least sequences in all."""
     m = len(weights)
@@ -113,7 +127,7 @@ def solve_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int = CLAS
     costs, x = np.ones(m), demand / (capacity // weights)
     inverse = np.diag(1.0 / (capacity // weights))
     for step in range(200 * m + 1000):
-        duals = costs @ inverse
+        duals = np.einsum("i,ij->j", costs, inverse)  # einsum, as BLAS threads can block in a driver that runs a JVM
         if duals.min() < -1e-9:  # a surplus enters: more pieces of a class than there are
             column, cost = -np.eye(m)[int(duals.argmin())], 0.0
         else:
@@ -121,7 +135,7 @@ def solve_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int = CLAS
             if value <= 1 + gap:
                 break
             column, cost = counts.astype(float), 1.0
-        along = inverse @ column
+        along = np.einsum("ij,j->i", inverse, column)
         able = along > 1e-9
         ratios = np.where(able, x / np.where(able, along, 1), np.inf)
         out = int(ratios.argmin())
@@ -132,9 +146,9 @@ def solve_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int = CLAS
         row = inverse[out] / along[out]
         inverse = inverse - np.outer(along, row)
         inverse[out] = row
-        if step % 200 == 199:
-            inverse = np.linalg.inv(np.array(columns, float).T)
-            x = np.maximum(inverse @ demand, 0)
+        if step % 1000 == 999:  # against rounding errors
+            inverse = inverted(np.array(columns, float).T)
+            x = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
     return [(np.array(c, np.int64), float(v)) for c, v, cost in zip(columns, x, costs, strict=True) if cost > 0 and v > 0]
 
 
