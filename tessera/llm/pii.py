@@ -34,7 +34,7 @@ PATTERNS = {
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 TERM = r"\p{L}[\p{L}\p{M}]{2,}"
 CONTEXT, CONTEXT_CHARS = 5, 160
-EVIDENCE, DISCLOSURE, REMOVAL = 3, 0.9, 0.98
+EVIDENCE, DISCLOSURE, REMOVAL = 3, 0.95, 0.99
 
 
 def spans_of(text: Column, pattern: Column, kind: str, valid=None) -> Column:
@@ -134,7 +134,11 @@ def disclosing_terms(plain: DataFrame, found: DataFrame) -> dict:
     joint = some.select(F.explode(pairs_of).alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("df_te"))
     seen = some.select(F.explode("context").alias("c")).select("c.*").distinct().select("entity", F.explode("terms").alias("term"))
     evidence = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= EVIDENCE)
-    candidates = cut(evidence.join(joint, ["entity", "term"]).join(entities, "entity"), "candidates")
+    # A term is in at least as many documents as it is in contexts; beyond this many it cannot reach the threshold.
+    around = some.select(F.explode(F.array_distinct(F.flatten(F.transform("context", lambda c: c["terms"])))).alias("term")).groupBy("term").agg(F.count("*").alias("df_near"))
+    possible = F.col("df_te") * F.pow(F.lit(float(n)) / F.col("df_e"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+    candidates = evidence.join(joint, ["entity", "term"]).join(entities, "entity").join(around, "term").where(F.col("df_near") <= possible)
+    candidates = cut(candidates.drop("df_near"), "candidates")
     terms = cut(candidates.select("term").distinct(), "terms")
     terms_in = plain.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     hits = cut(terms_in.join(small_or_shuffled(terms, terms.count()), "term"), "hits")
