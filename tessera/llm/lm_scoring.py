@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut
 
-VOCABULARY = 2046
+VOCABULARY = 1022
 MASS = 50.0
 #: Distinct words a task counts before it passes them on.
 COUNTED = 300_000
