@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import operator
 from dataclasses import dataclass, field
 from typing import Any, ClassVar
 
@@ -406,8 +407,9 @@ class Objective:
         """Hard constraints bind the measured value of a bare column objective whose name they carry, case-sensitively."""
         if not isinstance(self.expression, Ref):
             return True
-        tests = {"lt": value.__lt__, "lte": value.__le__, "gt": value.__gt__, "gte": value.__ge__, "eq": value.__eq__, "neq": value.__ne__}
-        return all(tests[c.op](float(c.value)) for c in constraints if c.field == self.expression.name and c.op in tests and not isinstance(c.value, str))
+        tests = {"lt": operator.lt, "lte": operator.le, "gt": operator.gt, "gte": operator.ge, "eq": operator.eq, "neq": operator.ne}
+        own = [c for c in constraints if c.field == self.expression.name and c.op in tests and not isinstance(c.value, str)]
+        return all(tests[c.op](value, float(c.value)) for c in own)
 
 
 def check_request(aggregation: str, expression: Expression | None, constraints: list[Constraint]) -> None:

@@ -112,7 +112,7 @@ query("doc_locate_bytes", lambda t: X.locate(pages(t("documents"), "doc_id", "te
     WITH p AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS page_idx, unnest(string_split(text, chr(10))) AS text FROM documents),
     h AS (SELECT doc_id, page_idx, CAST(strlen(left(text, instr(text, 'des') - 1)) AS INT) AS s FROM p WHERE instr(text, 'des') > 0)
     SELECT doc_id, min(page_idx) AS page_idx, arg_min(s, page_idx) AS char_start, CAST(arg_min(s, page_idx) + 3 AS INT) AS char_end FROM h GROUP BY 1""")
-query("doc_excerpt", lambda t: t("conversations").select("conv_id", "turn", X.excerpt(F.col("text"), F.lit(0), F.lit(10)).alias("excerpt")).where(F.expr("excerpt rlike '^[ -~]*$'")), "SELECT conv_id, turn, excerpt FROM (SELECT conv_id, turn, CASE WHEN strlen(text) >= 10 THEN left(text, 10) ELSE text END AS excerpt FROM conversations) WHERE regexp_full_match(excerpt, '[ -~]*')")
+query("doc_excerpt", lambda t: t("conversations").select("conv_id", "turn", X.excerpt(F.col("text"), F.lit(0), F.lit(10)).alias("excerpt")).where(F.col("excerpt").rlike(r"\A[ -~]*\z")), "SELECT conv_id, turn, excerpt FROM (SELECT conv_id, turn, CASE WHEN strlen(text) >= 10 THEN left(text, 10) ELSE text END AS excerpt FROM conversations) WHERE regexp_full_match(excerpt, '[ -~]*')")
 query("doc_leak_terms", lambda t: t("documents").select("doc_id", F.array_join(X.leaked_terms(F.col("text"), ["the", "des", "license"]), ",").alias("terms")), r"""
     SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(^|[^\pL\pN_])the($|[^\pL\pN_])') THEN 'the' END, CASE WHEN regexp_matches(text, '(?i)(^|[^\pL\pN_])des($|[^\pL\pN_])') THEN 'des' END,
            CASE WHEN regexp_matches(text, '(?i)(^|[^\pL\pN_])license($|[^\pL\pN_])') THEN 'license' END) AS terms FROM documents""")
