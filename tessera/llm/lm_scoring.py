@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, small_or_shuffled
 
 VOCABULARY = 1022
 MASS = 50.0
@@ -100,8 +100,8 @@ def train(docs: DataFrame, good_ids: DataFrame, id_column: str = "doc_id", text_
     words = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
     known = {w: i + 2 for i, w in enumerate(words)}
     shared = spark.sparkContext.broadcast(known)
-    good = good_ids.select(F.col(good_ids.columns[0]).alias("id")).distinct().withColumn("good", F.lit(True))
-    marked = rows.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    good = cut(good_ids.select(F.col(good_ids.columns[0]).alias("id")).distinct().withColumn("good", F.lit(True)), "good")
+    marked = rows.join(small_or_shuffled(good, good.count()), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     cells = cut(marked.mapInArrow(_bigram_counts(shared), "cell long, n long, n_good long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "cells")
     width = len(known) + 2
     found = cells.toPandas()
