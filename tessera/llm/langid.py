@@ -84,7 +84,10 @@ class Model:
             for lang, n, gram, count in counts:
                 if n == order:
                     table[rows[gram], at[lang]] += count
-            self.logs[order] = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(rows))))
+            # One floor for all languages, whatever they were trained on: else an unseen word would speak for the smallest.
+            totals = np.maximum(table.sum(0), 1)
+            floor = 0.5 / totals.max(initial=1)
+            self.logs[order] = np.log((table / totals + floor) / (1 + floor * len(rows)))
 
     def word(self, word: str) -> np.ndarray:
         row = self.rows[0].get(word)

@@ -22,7 +22,9 @@ from tessera.llm.shared import carried, cut, text_of
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A pattern's last partial repetition is rounded to whole documents among at least so many of them, in seeded order.
-FITTED_DOCUMENTS = 512
+FITTED_DOCUMENTS, EXCHANGED = 512, 32
+#: Sums that are told apart; beyond it sizes are rounded.
+SUMS = 1 << 21
 BUCKET_BITS = 16
 
 
@@ -99,17 +101,35 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = 3) -> dict[tuple
 
 
 def fitted(words: int, documents: list[tuple[int, int]]) -> set[int]:
-    """Of (order, size) documents in order, those that together come nearest words when each that still fits is taken."""
-    taken, left, last = set(), words, None
-    for order, size in documents:
-        if size <= left:
-            taken.add(order)
-            left -= size
-    # one swap for the smallest document that overshoots by less than what is left
-    for order, size in documents:
-        if order not in taken and size - left < left and (last is None or size < last[1]):
-            last = (order, size)
-    return taken | ({last[0]} if last else set())
+    """Of (order, size) documents, some whose sizes sum up as near to words as can be.
+
+    They are taken in order while they fit; then the last EXCHANGED taken and the first EXCHANGED left out are chosen anew by
+    dynamic programming over the sums they can have.
+    """
+    taken, left = [], words
+    for d in documents:
+        if d[1] <= left:
+            taken.append(d)
+            left -= d[1]
+    fixed, again = taken[:-EXCHANGED], taken[-EXCHANGED:]
+    chosen = {order for order, _ in taken}
+    again += [d for d in documents if d[0] not in chosen][:EXCHANGED]
+    unit = sum(size for _, size in again) // SUMS + 1
+    again = [(order, round(size / unit)) for order, size in again]
+    target = round((words - sum(size for _, size in fixed)) / unit)
+    sums = [1]  # bit s: some of the first documents sum up to s
+    for _, size in again:
+        sums.append(sums[-1] | sums[-1] << size)
+    below, above = sums[-1] & ((1 << target + 1) - 1), sums[-1] >> target
+    down = target - (below.bit_length() - 1)
+    up = (above & -above).bit_length() - 1 if above else down + 1
+    at = target - down if down <= up else target + up
+    out = {order for order, _ in fixed}
+    for (order, size), before in zip(reversed(again), reversed(sums[:-1]), strict=True):
+        if not before >> at & 1:
+            out.add(order)
+            at -= size
+    return out
 
 
 def mixed(docs: DataFrame, sources: Column | None = None, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
@@ -150,8 +170,9 @@ def mixed(docs: DataFrame, sources: Column | None = None, cycle: tuple[int, ...]
         .withColumn("words_here", F.sum("words").over(along)).withColumn("n_here", F.sum("n").over(along))
         .withColumn("inside", F.col("words_here") <= F.col("rest"))
     )
-    # The edge: the first bucket that is not wholly inside, and the next ones until FITTED_DOCUMENTS are among them.
-    edge = summed.where("not inside").groupBy("sources_key").agg(F.min("bucket").alias("edge"))
+    # The edge: where half of FITTED_DOCUMENTS remain before the first bucket that is not wholly inside, and on to all of them.
+    n_inside = summed.groupBy("sources_key").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("n_here"))), F.lit(0)).alias("n_inside"))
+    edge = summed.join(n_inside, "sources_key").where(F.col("n_here") > F.greatest(F.col("n_inside") - FITTED_DOCUMENTS // 2, F.lit(0))).groupBy("sources_key").agg(F.min("bucket").alias("edge"))
     first = summed.join(edge, "sources_key").where("bucket = edge").select("sources_key", "edge", "n", "n_here", (F.col("rest") - (F.col("words_here") - F.col("words"))).alias("left"))
     near = summed.join(first.select("sources_key", "edge", F.col("n_here").alias("n_first"), F.col("n").alias("n_own"), "left"), "sources_key").where(f"bucket >= edge and n_here - n <= n_first - n_own + {FITTED_DOCUMENTS}")
     near = near.select("sources_key", "bucket", "left")
