@@ -43,9 +43,10 @@ def groups_of_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
         docs.select(F.unhex(F.md5(text)).alias("hash"), ident.alias("id"), text.alias("text"))
         .join(found.select("hash", "keep_id"), "hash").select("hash", "text", F.col("id").eqNullSafe(F.col("keep_id")).alias("head")), "copies",
     )
-    heads = copies.where("head").groupBy("hash").agg(F.min("text").alias("head_text"))
-    collided = copies.join(heads, "hash").where("text <> head_text").select("hash").distinct()
-    collided = cut(collided, "collided")
+    # Written before the join, as Spark splits a hot hash only where nothing but exchanges feed it.
+    heads = cut(copies.where("head").groupBy("hash").agg(F.min("text").alias("head_text")), "heads")
+    differing = cut(copies.join(heads, "hash").where("text <> head_text").select("hash"), "differing")
+    collided = differing.distinct()
     # Hashes that two texts share are grouped again, by both hashes; there should be none.
     apart = grouped(rows.join(collided, "hash", "left_semi"), "hash", "sha").select("hash", "sha", *[F.col(c).alias(f"{c}_2") for c in ("n", "keep_id", "keep_place")])
     out = (
