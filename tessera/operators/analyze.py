@@ -56,10 +56,15 @@ def complete(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def contingency(df: DataFrame, columns: list[tuple[str, int]], constraints: list[Constraint] = ()) -> DataFrame:
-    """(value of each column, count) over rows without nulls in them; cuts come from all rows."""
+def all_cuts(df: DataFrame, names: list[str], bins: int) -> dict[str, list[float]]:
+    """Cuts of several columns from one job, as group_keys takes them."""
+    return {f"{n}\0{bins}": c for n, c in quantile_cuts(df, names, bins).items()}
+
+
+def contingency(df: DataFrame, columns: list[tuple[str, int]], constraints: list[Constraint] = (), cuts: dict[str, list[float]] | None = None) -> DataFrame:
+    """(value of each column, count) over rows without nulls in them; cuts come from all rows, or are given."""
     check_shape(columns, "columns", least=1)
-    keys = group_keys(df, columns)
+    keys = group_keys(df, columns, cuts)
     rows = complete(df.where(segment(constraints, df.schema)), [n for n, _ in columns])
     return rows.groupBy(*keys).agg(F.count("*").alias("count"))
 
@@ -113,12 +118,27 @@ def stratified_effect(df: DataFrame, objective: Objective, treated: list[Constra
 
 
 def exact_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """round(fraction * n) rows drawn without replacement; all rows for fraction 1."""
+    """round(fraction * n) rows drawn without replacement; all rows for fraction 1.
+
+    Rows are ordered by a seeded hash of their place. Counts of the hash's top bits say which buckets are in; only the one
+    bucket on the edge, 1 / 4096 of the rows, is sorted.
+    """
     if not 0 < fraction <= 1:
         raise RequestShape(f"fraction {fraction}")
     if fraction == 1:
         return df
-    return df.orderBy(F.rand(seed)).limit(round(fraction * df.count()))
+    draw, bucket = free_name(df, "draw"), free_name(df, "bucket")
+    drawn = df.withColumn(draw, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).withColumn(bucket, F.shiftrightunsigned(draw, 52).cast("int"))
+    counts = {r[bucket]: r["count"] for r in drawn.groupBy(bucket).count().collect()}  # at most 4096
+    wanted = round(fraction * sum(counts.values()))
+    for edge in sorted(counts):
+        if counts[edge] >= wanted:
+            break
+        wanted -= counts[edge]
+    else:
+        return df
+    inside, on_edge = drawn.where(F.col(bucket) < edge), drawn.where(F.col(bucket) == edge).orderBy(draw).limit(wanted)
+    return inside.unionByName(on_edge).drop(draw, bucket)
 
 
 def sampled_effect(df: DataFrame, objective: Objective, treated: list[Constraint], adjust: list[tuple[str, int]] = (), fraction: float = 0.7, seed: int = 0, exact: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from tessera.functions import statistics as S
-from tessera.operators.analyze import collected_moments, contingency, moments
+from tessera.operators.analyze import all_cuts, collected_moments, contingency, moments
 
 # Defaults of the sweep.
 ALPHA, MAX_CONDITIONS, BINS, COLUMN_CAP, MAX_TESTS, AT_ONCE = 0.05, 2, 4, 50, 20_000, 8
@@ -35,7 +35,7 @@ def edge(a: str, b: str) -> Edge:
     return (a, b) if a < b else (b, a)
 
 
-def independence_p(df: DataFrame, x: Variable, y: Variable, given: list[Variable] = (), bins: int = BINS) -> float | None:
+def independence_p(df: DataFrame, x: Variable, y: Variable, given: list[Variable] = (), bins: int = BINS, cuts: dict[str, list[float]] | None = None) -> float | None:
     """p-value of independence; None if untestable.
 
     Two numbers: Fisher z of the (partial) correlation, pooled over the strata of categorical conditions. Otherwise a conditional
@@ -55,7 +55,7 @@ def independence_p(df: DataFrame, x: Variable, y: Variable, given: list[Variable
             return S.fisher_p(*tests[0], len(numbers)) if tests else None
         return S.pooled_fisher_p([t[0] for t in tests], [t[1] for t in tests], len(numbers)) if tests else None
     columns = [(v.name, bins if v.numeric else 0) for v in (x, y, *given)]
-    cells = {tuple(r[:-1]): r[-1] for r in contingency(df, columns).collect()}  # bounded by bins and categories
+    cells = {tuple(r[:-1]): r[-1] for r in contingency(df, columns, cuts=cuts).collect()}  # bounded by bins and categories
     found = S.conditional_g(cells)
     return None if found is None else found[2]
 
@@ -218,7 +218,8 @@ def variables(profile: list[dict]) -> list[Variable]:
 
 def discover(df: DataFrame, columns: list[Variable], priority: Iterable[str] = (), alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, bins: int = BINS, max_tests: int = MAX_TESTS, correction: str = "bh", column_cap: int = COLUMN_CAP, prior=None) -> tuple[Skeleton, Orientation]:
     by = {v.name: v for v in columns}
-    test = lambda a, b, s: independence_p(df, by[a], by[b], [by[x] for x in s], bins)
+    cuts = all_cuts(df, [v.name for v in columns if v.numeric], bins)
+    test = lambda a, b, s: independence_p(df, by[a], by[b], [by[x] for x in s], bins, cuts)
     names, excluded = capped_columns([v.name for v in columns], list(priority), test, column_cap)
     found = skeleton(names, test, alpha, max_conditions, max_tests, correction)
     found.excluded = excluded

@@ -341,3 +341,39 @@ def grounded(retrieved: list[tuple[str, list[list[Constraint]], float]], columns
                 out.append((list(s), 1 - distance / 2))
                 kept += 1
     return out
+
+
+def same_source(origin: str, ref: str, terms: list[str], names: dict[str, str]) -> bool:
+    """Whether a heuristic's bracketed terms can be read back on this source: same reference, and every term resolves."""
+    return origin == ref and all(t in names for t in terms)
+
+
+@dataclass(frozen=True)
+class Extracted:
+    field: str
+    method: str
+    value: str
+    confidence: float
+    effect: float
+    depth: int
+
+
+def extraction(fields: list[str], methods: list[str], extract: Callable[[str, str, Extracted | None], tuple[str, float] | None], depth: int = GREEDY_DEPTH) -> list[Extracted]:
+    """Greedy growth for documents: an extractor tries each method on each field, and goes on where confidence rises.
+
+    extract: (field, method, parent) -> value and confidence, or None. The effect is the gain in confidence on the parent.
+    """
+    out: list[Extracted] = []
+
+    def grow(name: str, parent: Extracted | None, level: int) -> None:
+        for m in methods:
+            if (found := extract(name, m, parent)) is not None:
+                before = parent.confidence if parent else 0.0
+                one = Extracted(name, m, found[0], found[1], found[1] - before, level)
+                out.append(one)
+                if level < depth and found[1] > before:
+                    grow(name, one, level + 1)
+
+    for f in fields:
+        grow(f, None, 1)
+    return out
