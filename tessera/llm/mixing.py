@@ -161,15 +161,19 @@ def mixed(docs: DataFrame, sources: Column | None = None, cycle: tuple[int, ...]
         whole = min(most, words_out // words) if words else 0
         plan.append((list(p), int(whole), int(words_out - whole * words), int(sum(sizes[s] for s in p)), float(sum(targets[s] for s in p))))
     spark = docs.sparkSession
-    along = Window.partitionBy("sources_key").orderBy("bucket")
+    coarse = F.shiftright("bucket", BUCKET_BITS // 2)
     keyed = lambda df: df.withColumn("sources_key", F.to_json(F.struct("sources"), {"ignoreNullFields": "false"}))
     planned = spark.createDataFrame(plan, "sources array<string>, whole int, rest long, source_size long, target double")
     planned = F.broadcast(keyed(planned).drop("sources"))  # one row for each pattern
-    summed = (
-        keyed(buckets).join(planned, "sources_key")
-        .withColumn("words_here", F.sum("words").over(along)).withColumn("n_here", F.sum("n").over(along))
-        .withColumn("inside", F.col("words_here") <= F.col("rest"))
-    )
+    # Prefix sums in two levels, so that no task sorts more than 2^(BUCKET_BITS / 2) rows of a pattern.
+    fine = cut(keyed(buckets).select("sources_key", "bucket", "words", "n", coarse.alias("coarse")), "fine")
+    before = Window.partitionBy("sources_key").orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
+    sums = fine.groupBy("sources_key", "coarse").agg(F.sum("words").alias("w"), F.sum("n").alias("k"))
+    sums = sums.select("sources_key", "coarse", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("n_before"))
+    along = Window.partitionBy("sources_key", "coarse").orderBy("bucket")
+    summed = fine.withColumn("words_here", F.sum("words").over(along)).withColumn("n_here", F.sum("n").over(along)).join(sums, ["sources_key", "coarse"])
+    summed = summed.withColumn("words_here", F.col("words_here") + F.col("words_before")).withColumn("n_here", F.col("n_here") + F.col("n_before"))
+    summed = cut(summed.join(planned, "sources_key").withColumn("inside", F.col("words_here") <= F.col("rest")), "sums")
     # The edge: where half of FITTED_DOCUMENTS remain before the first bucket that is not wholly inside, and on to all of them.
     n_inside = summed.groupBy("sources_key").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("n_here"))), F.lit(0)).alias("n_inside"))
     edge = summed.join(n_inside, "sources_key").where(F.col("n_here") > F.greatest(F.col("n_inside") - FITTED_DOCUMENTS // 2, F.lit(0))).groupBy("sources_key").agg(F.min("bucket").alias("edge"))
