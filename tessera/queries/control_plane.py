@@ -122,3 +122,8 @@ named("doc_review_queue", lambda o: K.review_queue(o, o.select("goal_id").distin
 
 query("evt_latest_per_type", lambda t: rounded(K.latest_per_type(t("events").select("user_id", "event_type", "ts", "event_id", "value"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id", "value")), f"SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, {r6('arg_max(value, ts)')} AS value FROM events GROUP BY 1, 2")
 query("evt_ring_256", lambda t: K.ring(t("events"), "event_type", ["ts"], 256).select("event_id", "event_type"), "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) <= 256")
+
+query("ctl_earliest_admin", lambda t: K.earliest_admin(t("customer").selectExpr("c_custkey AS user_id", "CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'member' END AS role", "c_nationkey AS created_at")).select("user_id"), "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 7 = 0 ORDER BY c_nationkey, c_custkey LIMIT 1")
+named("ctl_orphaned_runs", lambda r: K.orphaned_runs(r.withColumn("status", F.when(F.col("status") == "click", "running").otherwise(F.col("status"))).withColumn("failure_reason", F.lit(None).cast("string")), "restarted").groupBy("status", "failure_reason").count(), ["runs"], "SELECT CASE WHEN status = 'click' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'click' THEN 'restarted' END AS failure_reason, count(*) AS count FROM runs GROUP BY 1, 2")
+named("ctl_running_first_top", lambda r: K.running_first(r.select("started_at", F.when(F.col("status") == "click", "running").otherwise("done").alias("status"), F.col("started_at").alias("created_at"), "goal_id")).select("goal_id", "status").limit(30), ["runs"], "SELECT goal_id, CASE WHEN status = 'click' THEN 'running' ELSE 'done' END AS status FROM runs ORDER BY status = 'click' DESC, started_at DESC LIMIT 30")
+query("doc_pages", lambda t: pages(t("documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("pages"), F.max("page_idx").cast("long").alias("last_page")), "SELECT doc_id, len(string_split(text, chr(10))) AS pages, len(string_split(text, chr(10))) - 1 AS last_page FROM documents")

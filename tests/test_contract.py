@@ -51,3 +51,19 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 140 and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_store(spark, tmp_path):
+    import pytest
+
+    from tessera.plans.errors import RequestShape
+    from tessera.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/objects")
+    assert store.keys() == []
+    store.put("a/b.csv", b"x,y\n1,2\n")
+    assert store.keys() == ["a/b.csv"] and store.get("a/b.csv") == b"x,y\n1,2\n"
+    with pytest.raises(RequestShape):
+        store.get("a/b.csv", most=3)
+    store.wipe()
+    assert store.keys() == []
