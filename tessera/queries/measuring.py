@@ -68,8 +68,8 @@ windowed("win_velocity_ratio", "avg", Arithmetic("/", Trailing("count", value, 3
 windowed("win_filter_after_window", "avg", Trailing("sum", value, 4), f"sum(value) OVER ({history} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)", [C("event_type", "eq", "click")], "event_type = 'click'")
 
 query("prof_schema", lambda t: t("lineitem").sparkSession.createDataFrame(describe(t("lineitem")), "column string, type string"), """
-    SELECT column_name AS "column", CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN data_type LIKE 'TIMESTAMP%' THEN 'temporal' ELSE 'string' END AS type
-    FROM duckdb_columns() WHERE table_name = 'lineitem' AND schema_name = 'main'""")
+    SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN column_type LIKE 'TIMESTAMP%' THEN 'temporal' ELSE 'string' END AS type
+    FROM (DESCRIBE SELECT * FROM lineitem)""")
 query("prof_distinct_capped", lambda t: distinct_values(t("customer"), ["c_mktsegment", "c_nationkey"]), """
     SELECT DISTINCT 'c_mktsegment' AS "column", c_mktsegment AS value FROM customer
     UNION ALL SELECT DISTINCT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer""")
