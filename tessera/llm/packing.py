@@ -35,7 +35,7 @@ END_ID = 1
 GAP = 2e-3
 #: Patterns that fill less of a sequence are not used; their pieces are laid end to end.
 LEAST_FILL = 0.99
-BUCKET_PIECES = 20_000
+BUCKET_PIECES = 5_000
 
 # The two tokenizer libraries split such texts alike; others, of rarer scripts, spaces or controls, go to the slower one.
 _alike = re.compile(r"[\t\n\r -~¡-ɏ‐-‧]*")
