@@ -35,7 +35,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Classes and shingles of one side of a block.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 _rng = np.random.default_rng(20240607)
 _multipliers = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

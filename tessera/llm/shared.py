@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 #: Rows whose key set may be broadcast: 2,000,000 keys of 8 bytes are 16 MB, some 60 MB as a hash relation.
 BROADCAST_KEYS = 2_000_000
 
+#: Rows that Python workers get at once while a table is written: texts, token ids and shingle sets are wide.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 _local_dirs: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,7 +44,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
