@@ -132,13 +132,13 @@ def fitted(words: int, documents: list[tuple[int, int]]) -> set[int]:
     return out
 
 
-def mixed(docs: DataFrame, sources: Column | None = None, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, sources_column: str | None = None, cycle: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", carry: bool = False) -> DataFrame:
     """Rows (id, size, sources, source_size, target, copies, taken); with carry the whole row as well.
 
-    sources: an array of the sources a document counts for; by default its one `source`.
+    sources_column: an array of the sources a document counts for; by default its one `source` is all.
     source_size and target are sums over the pattern's sources.
     """
-    member = F.array(F.col("row.source").cast("string")) if sources is None else F.array_sort(F.array_distinct(sources))
+    member = F.array(F.col("row.source").cast("string")) if sources_column is None else F.array_sort(F.array_distinct(F.col(f"row.`{sources_column}`")))
     rows = carried(docs)
     text = F.coalesce(F.col(f"row.`{text_column}`").cast("string"), F.lit(""))
     sized = rows.select(
@@ -176,9 +176,9 @@ def mixed(docs: DataFrame, sources: Column | None = None, cycle: tuple[int, ...]
     summed = cut(summed.join(planned, "sources_key").withColumn("inside", F.col("words_here") <= F.col("rest")), "sums")
     # The edge: where half of FITTED_DOCUMENTS remain before the first bucket that is not wholly inside, and on to all of them.
     n_inside = summed.groupBy("sources_key").agg(F.coalesce(F.max(F.when(F.col("inside"), F.col("n_here"))), F.lit(0)).alias("n_inside"))
-    edge = summed.join(n_inside, "sources_key").where(F.col("n_here") > F.greatest(F.col("n_inside") - FITTED_DOCUMENTS // 2, F.lit(0))).groupBy("sources_key").agg(F.min("bucket").alias("edge"))
-    first = summed.join(edge, "sources_key").where("bucket = edge").select("sources_key", "edge", "n", "n_here", (F.col("rest") - (F.col("words_here") - F.col("words"))).alias("left"))
-    near = summed.join(first.select("sources_key", "edge", F.col("n_here").alias("n_first"), F.col("n").alias("n_own"), "left"), "sources_key").where(f"bucket >= edge and n_here - n <= n_first - n_own + {FITTED_DOCUMENTS}")
+    edge = summed.join(F.broadcast(n_inside), "sources_key").where(F.col("n_here") > F.greatest(F.col("n_inside") - FITTED_DOCUMENTS // 2, F.lit(0))).groupBy("sources_key").agg(F.min("bucket").alias("edge"))
+    first = summed.join(F.broadcast(edge), "sources_key").where("bucket = edge").select("sources_key", "edge", "n", "n_here", (F.col("rest") - (F.col("words_here") - F.col("words"))).alias("left"))
+    near = summed.join(F.broadcast(first.select("sources_key", "edge", F.col("n_here").alias("n_first"), F.col("n").alias("n_own"), "left")), "sources_key").where(f"bucket >= edge and n_here - n <= n_first - n_own + {FITTED_DOCUMENTS}")
     near = near.select("sources_key", "bucket", "left")
     tried = keyed(sized.select("sources", "bucket", "order", "size")).join(F.broadcast(near), ["sources_key", "bucket"]).groupBy("sources_key", "left", "order").agg(F.sum("size").alias("size"))
     by_pattern = defaultdict(list)

@@ -268,6 +268,23 @@ def test_mixing(spark, sf, documents, awkward, nothing):
     assert mixing.mixed(nothing).count() == 0 and mixing.mixture(nothing).count() == 0
 
 
+def test_mixing_of_overlapping_sources(spark):
+    rows = [(i, "w " * (1 + i % 17), s) for i in range(900) for s in [(["a"], ["a", "b"], ["b", "c"])[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags array<string>")
+    out = mixing.mixed(df, "tags").collect()
+    sizes, taken = Counter(), Counter()
+    for r in out:
+        sizes[tuple(r.sources)] += r.size
+        taken[tuple(r.sources)] += r.taken
+    own = Counter()
+    for p, n in sizes.items():
+        for s in p:
+            own[s] += n
+    targets = mixing.source_targets(own, mixing.source_weights(list(own)))
+    flow = mixing.route(dict(sizes), targets)
+    assert {p: sum(f.values()) for p, f in flow.items()} == pytest.approx(dict(taken), abs=2) and all(r.taken <= 3 * r.size for r in out)
+
+
 def test_sharding(spark, sf, documents, awkward, nothing):
     for df, out in ((documents, QUERIES["op10_sharding"](spark, sf).collect()), (awkward, sharding.balanced_shards(awkward).collect())):
         text = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.collect())
