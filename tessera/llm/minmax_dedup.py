@@ -167,14 +167,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_of(text_column).alias("text"))
     plain = plain.withColumn("md5", F.unhex(F.md5("text")))
     signed = cut(plain.mapInArrow(_signer(width), "id long, md5 binary, n long, set binary, bands array<long>"), "signed")
-    classes = signed.where("id is not null and n > 0").groupBy("set").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # Aggregates are written before they are joined, as Spark splits a hot bucket only where nothing but exchanges feed a join.
+    classes = cut(signed.where("id is not null and n > 0").groupBy("set").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("class", "n", F.posexplode("bands").alias("band", "key"))
     # A bucket of one class proposes nothing.
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = cut(banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     members = cut(banded.join(sizes, ["band", "key"]), "members")
     fame = members.groupBy("class").agg(F.sum("m").alias("fame"))
-    famed = members.join(fame, "class")
-    hubs = famed.groupBy("band", "key").agg(F.max(F.struct("fame", (-F.col("class")).alias("first"), "n")).alias("hub"))
+    famed = cut(members.join(fame, "class"), "famed")
+    hubs = cut(famed.groupBy("band", "key").agg(F.max(F.struct("fame", (-F.col("class")).alias("first"), "n")).alias("hub")), "hubs")
     near_sizes = whole * F.least("n", "hub.n") >= part * F.greatest("n", "hub.n")
     pairs = cut(
         famed.join(hubs, ["band", "key"]).where(near_sizes).select("class", (-F.col("hub.first")).alias("hub_class")).where("class <> hub_class")
@@ -192,15 +193,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     first = cut(components(links), "first")
 
     # What hubs leave open: buckets of several components.
-    labelled = members.where("m > 2").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = famed.where("m > 2").drop("fame").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = cut(labelled, "labelled")
     counts = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     open_ = counts.groupBy("band", "key").agg(F.count("*").alias("several"), F.sum("c").alias("all_c"), F.sum("s").alias("all_s"), F.max(F.struct("c", "component", "s")).alias("top")).where("several > 1")
     blocks = lambda c, s: F.ceil(F.greatest(F.col(c) / BLOCK_CLASSES, F.col(s) / BLOCK_SHINGLES)).cast("int")
     open_ = open_.select("band", "key", F.col("top.component").alias("top"), (F.col("all_c") - F.col("top.c")).alias("few_c"), (F.col("all_s") - F.col("top.s")).alias("few_s"), "all_c", "all_s").withColumn("few_n", blocks("few_c", "few_s")).withColumn("many_n", blocks("all_c", "all_s"))
+    open_ = cut(open_, "open")
     inside = labelled.join(open_, ["band", "key"])
     few = inside.where("component <> top").select("band", "key", F.pmod(F.xxhash64("class"), F.col("few_n")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("many_n") - 1)).alias("j"), "class", "component", F.lit(True).alias("few"))
     many = inside.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("few_n") - 1)).alias("i"), F.pmod(F.xxhash64("class"), F.col("many_n")).cast("int").alias("j"), "class", "component", F.lit(False).alias("few"))
-    block = few.unionByName(many)
+    block = cut(few.unionByName(many), "blocks")
     # The same classes meet in several bands: of blocks with the same content one is compared.
     content = block.groupBy("band", "key", "i", "j").agg(F.sum(F.xxhash64("class", "few").cast("decimal(38,0)")).alias("content"), F.count("*").alias("rows"))
     once = content.groupBy("content", "rows").agg(F.min(F.struct("band", "key", "i", "j")).alias("x")).select("x.*")
