@@ -56,6 +56,7 @@ def stale_heuristics(evidence: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def trace(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     """Triplets that a heuristic's evidence touches at any of their three nodes, once each."""
+    evidence = evidence.distinct()
     parts = [evidence.join(edges, evidence["node_id"] == edges[c]).select("heuristic_id", "state_id", "intervention_id", "outcome_id") for c in ("state_id", "intervention_id", "outcome_id")]
     return reduce(DataFrame.unionByName, parts).distinct()
 
