@@ -1,14 +1,17 @@
 """Language-model scoring by cross-entropy difference of two matched bigram models.
 
 The target model is counted over the documents labelled as good, the background model over all documents. Both share one
-vocabulary, the VOCABULARY most frequent words of the whole corpus (other words are one unknown word), order and smoothing; the
-background counts are scaled to the target's total, so that smoothing weighs alike in both. A document's score is its
-per-token loss under the target model minus that under the background model: the lower, the nearer to the target.
+vocabulary, every word of the corpus, order and smoothing; the background counts are scaled to the target's total, so that
+smoothing weighs alike in both. A document's score is its per-token loss under the target model minus that under the background
+model: the lower, the nearer to the target.
 
     p(w | v) = (c(v w) + MASS p(w)) / (c(v) + MASS),  p(w) = (c(w) + 0.5) / (c + 0.5 * |words|)
 
-All counts cover all rows and whole texts. Counts are summed in tasks and by shuffles; the driver sees only the vocabulary and the
-two matrices of at most (VOCABULARY + 2)^2 cells, which is also what is broadcast.
+All counts cover all rows, whole texts and all words; what is gathered grows with the corpus. Only the way of counting differs: the
+COMMON most frequent words and their bigrams with each other are a matrix, which is broadcast; it bears the hot keys. Every
+occurrence of another word goes, with its neighbours, to the partition of that word, where the word's counts and those of its
+bigrams are complete; each partition returns sums for documents. Words are known by 64-bit hashes: among 10^9 different bigrams
+0.03 pairs are expected to be counted as one.
 
 Null texts count as empty: no tokens, no losses and score null. Without a target document both models are the background and
 every score is 0. A document repeated in the labels is a target if any of its rows says so. Null ids are no target. An empty
@@ -17,8 +20,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import cut, small_or_shuffled
 
-VOCABULARY = 1022
+#: Words of the models: None for all of them.
+VOCABULARY = None
+#: Words whose bigrams with each other are counted in a matrix.
+COMMON = 1022
 MASS = 50.0
 #: Distinct words a task counts before it passes them on.
 COUNTED = 300_000
+#: Tokens and documents that a task deals out at once.
+CHUNK, CHUNK_DOCS = 1_500_000, 60_000
+#: Ids in the matrix: any word that is not common, and the edge of a text.
 UNKNOWN, EDGE = 0, 1
 
 
@@ -89,47 +100,209 @@ def log_probabilities(counts: np.ndarray) -> np.ndarray:
     """counts: floats [before, word] -> log p(word | before)."""
     words = counts.sum(0)
     p = (words + 0.5) / (words.sum() + 0.5 * len(words))
-    return np.log((counts + MASS * p[None, :]) / (counts.sum(1, keepdims=True) + MASS))
+    out = counts + MASS * p[None, :]
+    out /= counts.sum(1, keepdims=True) + MASS
+    return np.log(out, out=out)
 
 
-def train(docs: DataFrame, good_ids: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[dict[str, int], np.ndarray]:
-    """The vocabulary and [target, background] log probabilities. good_ids: one column of ids."""
+class Model(NamedTuple):
+    """Of [target, background]: what a task needs to know of the whole corpus."""
+
+    known: dict[str, int]
+    #: [before * width + word]: log p of two common words, -log(c(v) + MASS) before another word, 0 after another word
+    logs: np.ndarray
+    #: p(w) of common words
+    p: np.ndarray
+    #: c + 0.5 * |words|
+    totals: np.ndarray
+    #: factors of the counts over good documents and over all
+    factors: np.ndarray
+
+
+def train(docs: DataFrame, good_ids: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, Model]:
+    """The ids of target documents and the common words' part of the models. good_ids: one column of ids."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    counted = rows.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    known = {w: i + 2 for i, w in enumerate(words)}
+    counted = cut(rows.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_words = counted.count()
+    known = {r.word: i + 2 for i, r in enumerate(counted.orderBy(F.desc("n"), "word").limit(COMMON).collect())}
     shared = spark.sparkContext.broadcast(known)
     good = cut(good_ids.select(F.col(good_ids.columns[0]).alias("id")).distinct().withColumn("good", F.lit(True)), "good")
-    marked = rows.join(small_or_shuffled(good, good.count()), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    cells = cut(marked.mapInArrow(_bigram_counts(shared), "cell long, n long, n_good long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "cells")
+    cells = cut(_marked(rows, good).mapInArrow(_bigram_counts(shared), "cell long, n long, n_good long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_good").alias("n_good")), "cells")
     width = len(known) + 2
     found = cells.toPandas()
     counts = np.zeros((2, width * width))
     counts[0][found["cell"]], counts[1][found["cell"]] = found["n_good"], found["n"]
+    # factors[model] = (of n_good, of n)
+    factors = np.array([[1.0, 0.0], [0.0, 1.0]])
     if counts[0].sum() == 0:
+        factors[0] = factors[1]
         counts[0] = counts[1]
     elif counts[1].sum():
-        counts[1] *= counts[0].sum() / counts[1].sum()
-    return known, np.stack([log_probabilities(c.reshape(width, width)) for c in counts])
+        factors[1, 1] = counts[0].sum() / counts[1].sum()
+        counts[1] *= factors[1, 1]
+    counts = counts.reshape(2, width, width)
+    totals = counts.sum((1, 2)) + 0.5 * (n_words + 2)
+    p = (counts.sum(1) + 0.5) / totals[:, None]
+    before = np.log(counts.sum(2) + MASS)
+    logs = np.log(counts + MASS * p[:, None, :]) - before[:, :, None]
+    logs[:, :, UNKNOWN] = -before
+    logs[:, UNKNOWN, :] = 0
+    return good, Model(known, logs.reshape(2, -1), p, totals, factors)
+
+
+def _marked(rows: DataFrame, good: DataFrame) -> DataFrame:
+    return rows.join(small_or_shuffled(good, good.count()), "id", "left").select(*[c for c in rows.columns if c != "id"], F.coalesce("good", F.lit(False)).alias("good"))
+
+
+class Codes(dict):
+    """word -> its id if it is common, else a hash beyond all ids; dropped when it is full."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, word: str) -> int:
+        code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        self[word] = code = code if code < 0 or code >= 1 << 32 else ~code
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > COUNTED:
+            self.clear()
+            self.update(self.known)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+BLOBS = ("words", "times", "before", "after", "doc", "keys", "good")
+KINDS = (np.uint64, np.int32, np.int64, np.int16, np.uint16, np.int64, np.bool_)
+
+
+def _dealt(shared, n_parts: int):
+    """Each occurrence of a word that is not common, with the word before and the common word after it, to the word's part."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(shared.value.known)
+        found, keys, goods, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            words, before, after = (np.concatenate([f[i] for f in found]) for i in range(3))
+            doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            words = words.view(np.uint64)
+            order = np.argsort(words)
+            words, before, after, doc = words[order], before[order], after[order], doc[order]
+            part = ((words >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+            ends = np.searchsorted(part, np.arange(n_parts + 1))
+            key, good = np.array(keys, np.int64), np.array(goods, np.bool_)
+            made = []
+            for k in range(n_parts):
+                at = slice(ends[k], ends[k + 1])
+                if at.start < at.stop:
+                    own, times = np.unique(words[at], return_counts=True)
+                    docs, local = np.unique(doc[at], return_inverse=True)
+                    values = (own, times, before[at], after[at], local, key[docs], good[docs])
+                    made.append([k, *[np.ascontiguousarray(v, t).tobytes() for v, t in zip(values, KINDS, strict=True)]])
+            found.clear(), keys.clear(), goods.clear()
+            columns = list(zip(*made, strict=True)) or [()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", *BLOBS])
+
+        for batch in batches:
+            for text, key, good in zip(*(batch.column(c).to_pylist() for c in ("text", "key", "good")), strict=True):
+                own = codes.of(tokens(text))
+                common = (own >= 0) & (own < 1 << 32)
+                at = np.flatnonzero(~common)
+                if len(at):
+                    before = np.concatenate([[EDGE], own[:-1]])[at]
+                    after = np.concatenate([np.where(common, own, UNKNOWN)[1:], [EDGE]])[at].astype(np.int16)
+                    found.append((own[at], before, after))
+                    keys.append(key)
+                    goods.append(good)
+                    size += len(own)
+                if size >= CHUNK or len(found) >= CHUNK_DOCS:
+                    yield out()
+                    size = 0
+        if found:
+            yield out()
+
+    return deal
+
+
+def _counts_of(inverse: np.ndarray, n: int, good: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """[target, background] counts of each of n things."""
+    return factors @ np.stack([np.bincount(inverse, good, n), np.bincount(inverse, minlength=n)])
+
+
+def _summed(shared):
+    """A part's occurrences -> sums of the documents' log probabilities that hang on its words."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        words, before, after, key, good = [], [], [], [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in BLOBS), strict=True):
+                own, times, b, a, doc, keys, goods = (np.frombuffer(x, t) for x, t in zip(row, KINDS, strict=True))
+                words.append(np.repeat(own, times))
+                before.append(b)
+                after.append(a)
+                key.append(keys[doc])
+                good.append(goods[doc])
+        if not words:
+            return
+        words, before, after, key, good = (np.concatenate(x) for x in (words, before, after, key, good))
+        own, word = np.unique(words, return_inverse=True)
+        more = after != EDGE
+        n = _counts_of(word, len(own), good, model.factors)
+        p = (n + 0.5) / model.totals[:, None]
+        followed = _counts_of(word[more], len(own), good[more], model.factors)
+        del words
+        logs = np.where(more, -np.log(followed + MASS)[:, word], 0)
+        # Bigrams that end in the word: sorted by word and predecessor.
+        order = np.lexsort((before, word))
+        first = np.concatenate([[True], (np.diff(word[order]) != 0) | (before[order][1:] != before[order][:-1])])
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(first) - 1
+        logs += np.log(_counts_of(pair, int(first.sum()), good, model.factors)[:, pair] + MASS * p[:, word])
+        # Bigrams of the word and a common one.
+        at = np.flatnonzero(after > EDGE)
+        if len(at):
+            width = model.p.shape[1]
+            pairs, pair = np.unique(word[at] * width + after[at], return_inverse=True)
+            logs[:, at] += np.log(_counts_of(pair, len(pairs), good[at], model.factors) + MASS * model.p[:, pairs % width])[:, pair]
+        keys, doc = np.unique(key, return_inverse=True)
+        sums = [np.bincount(doc, x, len(keys)) for x in logs]
+        for i in range(0, len(keys), 50_000):
+            part = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *[pa.array(x[part]) for x in sums]], ["key", "target", "background"])
+
+    return add
 
 
-def score(docs: DataFrame, known: dict[str, int], logs: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, target_loss, background_loss, score), losses per token in nats."""
+def score(docs: DataFrame, good: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (id, n_tokens, target_loss, background_loss, score), losses per token in nats. docs: those of the training."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((known, logs.reshape(2, -1)))
+    shared = spark.sparkContext.broadcast(model)
+    ident, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")
+    # Rows equal in id and text share a key, and their sums are divided by their number.
+    key = F.xxhash64(ident, text).alias("key")
 
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, tables = shared.value
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, tables = shared.value.known, shared.value.logs
         for batch in batches:
             n, out = [], []
-            for text in batch.column("text").to_pylist():
-                ids = ids_of(text, vocabulary)
+            for t in batch.column("text").to_pylist():
+                ids = ids_of(t, vocabulary)
                 n.append(len(ids))
-                out.append((-tables[:, cells_of(ids, len(vocabulary) + 2)].mean(1)).tolist() if len(ids) else (None, None))
-            target, background = ([o[i] for o in out] for i in (0, 1))
-            difference = [None if t is None else t - b for t, b in out]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *[pa.array(x, pa.float64()) for x in (target, background, difference)]], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+                out.append(tables[:, cells_of(ids, len(vocabulary) + 2)].sum(1).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), *[pa.array([o[i] for o in out], pa.float64()) for i in (0, 1)]], ["id", "key", "n_tokens", "t", "b"])
 
-    rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    return rows.mapInArrow(losses, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_column)
+    rows = docs.select(ident.cast("long").alias("id"), key, text.alias("text"))
+    base = cut(rows.mapInArrow(common, "id long, key long, n_tokens long, t double, b double"), "common")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _marked(docs.select(ident.alias("id"), key, text.alias("text")), good).mapInArrow(_dealt(shared, n_parts), "part int, " + ", ".join(f"{c} binary" for c in BLOBS))
+    sums = dealt.repartitionById(n_parts, F.col("part")).mapInArrow(_summed(shared), "key long, target double, background double")
+    rest = sums.withColumn("copies", F.lit(0)).unionByName(base.select("key", F.lit(0.0).alias("target"), F.lit(0.0).alias("background"), F.lit(1).alias("copies")))
+    rest = cut(rest.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("target", "background", "copies")]), "sums")
+    found = base.join(rest, "key")
+    loss = lambda c, r: F.when(F.col("n_tokens") > 0, -(F.col(c) + F.col(r) / F.col("copies")) / F.col("n_tokens"))
+    found = found.select("id", "n_tokens", loss("t", "target").alias("target_loss"), loss("b", "background").alias("background_loss"))
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss")).withColumnRenamed("id", id_column)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -163,6 +164,27 @@ def test_lm_scores_equal_plain_models(spark, sf, documents):
         assert r.target_loss == pytest.approx(t, abs=1e-9) and r.background_loss == pytest.approx(b, abs=1e-9) and r.score == pytest.approx(t - b, abs=1e-9)
 
 
+def test_lm_scores_tell_rare_words_apart(spark, awkward, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "COMMON", 6, raising=False)
+    rows = awkward.select("doc_id", "text").collect()
+    runs = [[None, *lm_scoring.tokens(r.text)] for r in rows]
+    good = spark.createDataFrame([(1,), (7,), (12,)], "doc_id long")
+    pairs, words, before = ([Counter(), Counter()] for _ in range(3))
+    for r, run in zip(rows, runs, strict=True):
+        for m in (0, 1) if r.doc_id in (1, 7, 12) else (1,):
+            pairs[m].update(zip(run, run[1:], strict=False))
+            words[m].update(run[1:])
+            before[m].update(run[:-1])
+    factors = (1, words[0].total() / words[1].total())
+    total, size, mass = words[0].total(), len(words[1]) + 2, lm_scoring.MASS
+    loss = lambda m, v, w: -math.log((factors[m] * pairs[m][v, w] + mass * (factors[m] * words[m][w] + 0.5) / (total + 0.5 * size)) / (factors[m] * before[m][v] + mass))
+    want = sorted((r.doc_id or 0, *[sum(loss(m, v, w) for v, w in zip(run, run[1:], strict=False)) / (len(run) - 1) for m in (0, 1)]) for r, run in zip(rows, runs, strict=True) if len(run) > 1)
+    out = lm_scoring.score(awkward, *lm_scoring.train(awkward, good)).collect()
+    found = sorted((r.doc_id or 0, r.target_loss, r.background_loss) for r in out if r.n_tokens)
+    assert len(out) == len(rows) and [f[0] for f in found] == [w[0] for w in want]
+    assert np.allclose(found, want, atol=1e-9)
+
+
 def test_lm_scores_of_awkward_rows(spark, awkward, nothing):
     good = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
     out = {r.doc_id: r for r in lm_scoring.score(awkward, *lm_scoring.train(awkward, good)).collect()}
