@@ -116,6 +116,16 @@ def test_terms_that_reveal_an_entity_are_spans(spark):
     assert all({s.rank for s in found[i].spans} == {0, 4} for i in range(6))
 
 
+@pytest.mark.parametrize(("n", "df_e", "df_t", "action"), [(305, 5, 7, "generalise"), (330, 30, 31, "remove")])
+def test_thresholds_of_disclosure(spark, n, df_e, df_t, action):
+    rng = np.random.default_rng(9)
+    words = ["w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
+    texts = [" ".join([*rng.choice(words, 9), *(["Zacharias"] if i < df_t else []), *(["bob.z@corp.example.com"] if i < df_e else []), *rng.choice(words, 9)]) for i in range(n)]
+    assert (0.9, 0.98)[action == "remove"] <= math.log2(n / df_t) / math.log2(n / df_e) < (0.95, 0.99)[action == "remove"]
+    spans = [s.value for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r.spans if s.rank == 4]
+    assert spans == [action] * df_t
+
+
 def test_sanitised_texts(spark):
     texts, df = disclosure_cases(spark)
     out = {r.doc_id: r.text for r in pii.sanitised(df.selectExpr("doc_id", "text", "'k' AS key", "1 AS spans")).collect()}
