@@ -1,6 +1,9 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A document's units are its sentences, lines, paragraphs and its whole text. A unit with n distinct bigrams can reach Dice t with a
+A document's units are its sentences, lines, paragraphs and its whole text, and beside them any window of consecutive words, across
+lines and paragraphs: for each template the windows that begin and end with one of its bigrams, within the size bounds below. A window
+is left out if it overlaps a match of its template of no lower Dice, or another template's at least as long, that is found already, the
+highest Dice first; it replaces its template's weaker units that it overlaps. A unit with n distinct bigrams can reach Dice t with a
 template of m only if m t / (2 - t) <= n <= m (2 - t) / t, so the templates, sorted by size, are cut to that range first; the
 bigrams a unit shares with any template bound its Dice with each.
 
@@ -123,8 +126,45 @@ class Templates:
                 found = name, d
         return found
 
+    def windows(self, text: str) -> list[tuple[int, int, str, float]]:
+        """For each template the best window from each place where one begins."""
+        words = normalised(text)
+        seeds = [i for i, b in enumerate(zip(words, words[1:], strict=False)) if b in self.every]
+        if len(seeds) < self.least - 1e-9:
+            return []
+        places = [(m.start(), m.end(), w) for m in _words.finditer(text) for w in normalised(m[0])]
+        pairs = list(zip((p[2] for p in places), (p[2] for p in places[1:]), strict=False))
+        seeds = [i for i, b in enumerate(pairs) if b in self.every]
+        there, t, found = {pairs[i] for i in seeds}, self.threshold, []
+        for name, b in self.sets:
+            m = len(b)
+            if len(there & b) < m * t / (2 - t) - 1e-9:
+                continue
+            most, hits = m * (2 - t) / t + 1e-9, [i for i in seeds if pairs[i] in b]
+            for first in hits:
+                own, shared, best = set(), 0, None
+                for i in range(first, len(pairs)):
+                    if pairs[i] not in own:
+                        own.add(pairs[i])
+                        if len(own) > most:
+                            break
+                        shared += pairs[i] in b
+                        d = 2 * shared / (len(own) + m)
+                        if d >= t and (best is None or d > best[3]):
+                            best = places[first][0], places[i + 1][1], name, d
+                if best:
+                    found.append(best)
+        return found
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        return [(start, end, *hit) for start, end, words in units(text) if (hit := self.best(words))]
+        found = [(start, end, *hit) for start, end, words in units(text) if (hit := self.best(words))]
+        more = []
+        for a, b, name, d in sorted(self.windows(text), key=lambda x: (-x[3], x[0] - x[1], x[2], x[0])):
+            over = [h for h in found + more if a < h[1] and h[0] < b]
+            if not any(h[3] >= d if h[2] == name else h[1] - h[0] >= b - a for h in over):
+                found = [h for h in found if h not in over or h[2] != name]
+                more.append((a, b, name, d))
+        return found + sorted(more)
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -62,6 +62,19 @@ def test_licences():
     assert [(text[a:b], n) for a, b, n, _ in t.scan(text)] == [("Released under the MIT License.", "MIT notice"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0 notice")]
 
 
+def test_licences_within_a_longer_text():
+    t = licences.Templates(licences.TEMPLATES, 0.8)
+    prose = "The river ran over the stones and the children came down to watch the boats. " * 20
+    for name in ("MIT", "Apache-2.0 header", "GPL-3.0 header"):
+        words = licences.TEMPLATES[name].split()
+        broken = "\n\n".join(" ".join(words[i : i + len(words) // 3 + 1]) for i in range(0, len(words), len(words) // 3 + 1))
+        for text in (f"{prose}\n{broken}\nint main;\n{prose}", f"{prose}{broken} {prose}"):
+            assert [h[3] for h in t.scan(text) if h[2] == name] == [1.0]
+    wrapped = f"{prose}It is Released under\nthe MIT License. {prose}"
+    assert [(wrapped[a:b], n) for a, b, n, _ in t.scan(wrapped)] == [("Released under\nthe MIT License", "MIT notice")]
+    assert t.scan(prose) == []
+
+
 def test_licences_of_awkward_rows(awkward, nothing):
     assert all(r.n_matches == 0 and r.licence is None for r in licences.scan_licences(awkward).collect())
     assert licences.scan_licences(awkward).count() == awkward.count() and licences.scan_licences(nothing).count() == 0
