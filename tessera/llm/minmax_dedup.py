@@ -12,8 +12,11 @@ Work grows with the number of different texts, not with the size of groups:
    the bucket, in blocks of bounded size, by a product of incidence matrices. A block emits one link for each class and component
    it reaches, never its pairs. Nothing is capped.
 
-Null texts count as empty. A document without words has an empty set, links with nothing and is kept. A document without id
-takes no part: it has no component and is kept. Repeated rows share id and component. An empty table gives an empty result.
+Classes are known by the place of a row, not by an id, so rows that share an id but not their text are told apart; a component's id
+is the smallest of its rows' ids. Null texts count as empty. A document without words has an empty set, links with nothing and is
+kept. A document without id takes no part: it has no component and is kept. Repeated rows share id and component. Ties of hubs go
+to the earlier place; which hub is asked changes the work, never the links. Ids may be of any ordered type. Extra columns are not
+read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import carried, components, cut, small_or_shuffled, text_of
+from tessera.llm.shared import carried, components, cut, small_or_shuffled, text_of, type_of
 
 PERMUTATIONS = 64
 ROWS = 4
@@ -104,7 +107,7 @@ def _setter(width: int):
         hashes = WordHashes()
         for batch in batches:
             found = [shingles(t, width, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["id", "set", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.binary())], ["class", "hashes"])
 
     return sets
 
@@ -150,7 +153,7 @@ def links_of_block(few: list[tuple[int, int, np.ndarray]], many: list[tuple[int,
 
 def _blocks(part: int, whole: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [[(c, p, np.frombuffer(h, np.uint64)) for c, p, h in zip(x["id"], x["component"], x["hashes"], strict=True)] for x in (group[group["few"]], group[~group["few"]])]
+        sides = [[(c, p, np.frombuffer(h, np.uint64)) for c, p, h in zip(x["class"], x["component"], x["hashes"], strict=True)] for x in (group[group["few"]], group[~group["few"]])]
         return pd.DataFrame(links_of_block(*sides, part, whole) if all(sides) else [], columns=["a", "b"]).astype("int64")
 
     return compare
@@ -164,11 +167,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     part, whole = similarity
     if not 0 < part <= whole or part / whole < 0.7:
         raise ValueError("the bands are made for similarities from 0.7 to 1")
-    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), text_of(text_column).alias("text"))
+    ident = type_of(docs, id_column)
+    plain = docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("text"))
     plain = plain.withColumn("md5", F.unhex(F.md5("text")))
-    signed = cut(plain.mapInArrow(_signer(width), "id long, md5 binary, n long, set binary, bands array<long>"), "signed")
+    placed = plain.select(F.monotonically_increasing_id().alias("place"), "id", "md5", "text")
+    signed = cut(placed.mapInArrow(_signer(width), f"place long, id {ident}, md5 binary, n long, set binary, bands array<long>"), "signed")
     # Aggregates are written before they are joined, as Spark splits a hot bucket only where nothing but exchanges feed a join.
-    classes = cut(signed.where("id is not null and n > 0").groupBy("set").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = signed.where("id is not null and n > 0").groupBy("set").agg(F.min(F.struct("place", "id", "md5")).alias("head"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("set", F.col("head.place").alias("class"), F.col("head.id").alias("head_id"), F.col("head.md5").alias("head_md5"), "id", "n", "bands"), "classes")
     banded = classes.select("class", "n", F.posexplode("bands").alias("band", "key"))
     # A bucket of one class proposes nothing.
     sizes = cut(banded.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
@@ -181,14 +187,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
         famed.join(hubs, ["band", "key"]).where(near_sizes).select("class", (-F.col("hub.first")).alias("hub_class")).where("class <> hub_class")
         .select(F.least("class", "hub_class").alias("a"), F.greatest("class", "hub_class").alias("b")).distinct(), "pairs",
     )
-    asked = cut(members.select(F.col("class").alias("id")).distinct(), "asked")
-    wanted = small_or_shuffled(asked, asked.count())
-    # A class's own set: an id that stands for several texts may have others.
-    of_class = classes.select(F.col("class").alias("id"), "set")
-    texts = plain.join(wanted, "id", "left_semi")
-    sets = texts.mapInArrow(_setter(width), "id long, set binary, hashes binary").join(of_class.join(wanted, "id", "left_semi"), ["id", "set"], "left_semi")
-    sets = cut(sets.dropDuplicates(["id"]), "sets")
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
+    asked = members.select("class").distinct().join(classes.select("class", "head_id", "head_md5"), "class")
+    asked = cut(asked.select("class", F.col("head_id").alias("id"), F.col("head_md5").alias("md5")), "asked")
+    # The head's text; rows equal in id and text give the same set.
+    sets = plain.join(small_or_shuffled(asked), ["id", "md5"]).select("class", "text").mapInArrow(_setter(width), "class long, hashes binary")
+    sets = cut(sets.dropDuplicates(["class"]), "sets")
+    side = lambda x: sets.select(F.col("class").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     links = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirmer(part, whole), "a long, b long"), "links")
     first = cut(components(links), "first")
 
@@ -207,12 +211,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     # The same classes meet in several bands: of blocks with the same content one is compared.
     content = block.groupBy("band", "key", "i", "j").agg(F.sum(F.xxhash64("class", "few").cast("decimal(38,0)")).alias("content"), F.count("*").alias("rows"))
     once = content.groupBy("content", "rows").agg(F.min(F.struct("band", "key", "i", "j")).alias("x")).select("x.*")
-    block = block.join(once, ["band", "key", "i", "j"], "left_semi").withColumnRenamed("class", "id").join(sets, "id").select("band", "key", "i", "j", "id", "component", "few", "hashes")
+    block = block.join(once, ["band", "key", "i", "j"], "left_semi").join(sets, "class").select("band", "key", "i", "j", "class", "component", "few", "hashes")
     more = cut(block.groupBy("band", "key", "i", "j").applyInPandas(_blocks(part, whole), "a long, b long"), "more")
     final = cut(components(links.unionByName(more)), "components")
 
-    named = classes.select("set", "class").join(final.withColumnRenamed("node", "class"), "class", "left").select("set", F.coalesce("component", "class").alias("component"))
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    # Written before they are joined, as one component may hold any share of the classes.
+    named = cut(classes.select("set", "class", "id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("class"), "named")
+    least = cut(named.groupBy("component").agg(F.min("id").alias("least")), "least")
+    named = cut(named.drop("id").join(least, "component").select("set", "least"), "named")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return signed.select("id", "md5", "n", "set").join(named, "set", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"),
         (F.col("id").isNull() | (component == F.col("id"))).alias("kept"), F.col("md5").alias("text_md5"),
@@ -223,5 +230,5 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[i
     """docs with one document of each component, with all its columns."""
     found = near_duplicates(docs, width, similarity, id_column, text_column)
     dropped = cut(found.where("not kept").select(F.col(f"`{id_column}`").alias("id"), "text_md5").distinct(), "dropped")
-    rows = carried(docs).withColumn("id", F.col(f"row.`{id_column}`").cast("long")).withColumn("text_md5", F.unhex(F.md5(F.coalesce(F.col(f"row.`{text_column}`").cast("string"), F.lit("")))))
-    return rows.join(small_or_shuffled(dropped, dropped.count()), ["id", "text_md5"], "left_anti").select("row.*")
+    rows = carried(docs).withColumn("id", F.col(f"row.`{id_column}`")).withColumn("text_md5", F.unhex(F.md5(F.coalesce(F.col(f"row.`{text_column}`").cast("string"), F.lit("")))))
+    return rows.join(small_or_shuffled(dropped), ["id", "text_md5"], "left_anti").select("row.*")
