@@ -9,8 +9,9 @@ to end and cut at each CAPACITY, so only its last sequence is short.
 The driver sees the histogram and the patterns only. Ranks and positions are prefix sums of bucket totals, so a length that
 a third of all documents share is still spread over tasks.
 
-Null texts count as empty; an empty document is its end id. Repeated rows are packed each on its own. The strings of special
-tokens inside a text are ordinary text. An empty table gives an empty result.
+Null texts count as empty; an empty document is its end id. Repeated rows are packed each on its own; ties of length follow their
+place in the scan. The string of an added token inside a text becomes that token's id, as the tokenizer does once it is loaded.
+Ids of any type, null ones too, are carried through; extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut
+from tessera.llm.shared import cut, type_of
 
 CAPACITY = 2048
 UNIT = 8
@@ -50,9 +51,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_str(content)
-        self.slow.encode_special_tokens = True
         spec = json.loads(content)
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         # Byte-level vocabularies write bytes as printable characters: printable Latin-1 as itself, the others from U+0100 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in plain]
@@ -61,7 +62,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if _alike.fullmatch(text):
+        if _alike.fullmatch(text) and not (self.special and self.special.search(text)):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -189,8 +190,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_c
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; its content is broadcast
         content = spark.sparkContext.broadcast(f.read())
-    schema = "place long, id long, tokens long, crcs array<long>, rest binary"
-    source = docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    schema = f"place long, id {type_of(docs, id_column)}, tokens long, crcs array<long>, rest binary"
+    source = docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     encoded = cut(source.mapInArrow(_tokenize(content), schema), "tokens")
     pieces = encoded.select("place", "id", "tokens", F.posexplode("crcs").alias("k", "crc"))
     pieces = pieces.select("place", "id", "tokens", (F.col("k") * CAPACITY).cast("long").alias("start"), F.least(F.lit(CAPACITY), F.col("tokens") - F.col("k") * CAPACITY).cast("long").alias("length"), "crc")
