@@ -14,26 +14,27 @@ bigrams are complete; each partition returns sums for documents. Words are known
 0.03 pairs are expected to be counted as one.
 
 Null texts count as empty: no tokens, no losses and score null. Without a target document both models are the background and
-every score is 0. A document repeated in the labels is a target if any of its rows says so. Null ids are no target. An empty
-table gives an empty result.
+every score is 0. A document repeated in the labels is a target if any of its rows says so. Null ids are no target. Words of equal
+counts are ranked by their code points; which of them are in the matrix changes no score. Rows equal in id and text have equal
+scores. Ids may be of any type; extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, small_or_shuffled
+from tessera.llm.shared import bounded_batches, cut, small_or_shuffled, type_of
 
-#: Words of the models: None for all of them.
-VOCABULARY = None
 #: Words whose bigrams with each other are counted in a matrix.
 COMMON = 1022
 MASS = 50.0
@@ -41,6 +42,8 @@ MASS = 50.0
 COUNTED = 300_000
 #: Tokens and documents that a task deals out at once.
 CHUNK, CHUNK_DOCS = 1_500_000, 60_000
+#: Rows of a chunk that are held before they are added up.
+MERGED = 16
 #: Ids in the matrix: any word that is not common, and the edge of a text.
 UNKNOWN, EDGE = 0, 1
 
@@ -96,15 +99,6 @@ def _bigram_counts(known):
     return count
 
 
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """counts: floats [before, word] -> log p(word | before)."""
-    words = counts.sum(0)
-    p = (words + 0.5) / (words.sum() + 0.5 * len(words))
-    out = counts + MASS * p[None, :]
-    out /= counts.sum(1, keepdims=True) + MASS
-    return np.log(out, out=out)
-
-
 class Model(NamedTuple):
     """Of [target, background]: what a task needs to know of the whole corpus."""
 
@@ -152,7 +146,7 @@ def train(docs: DataFrame, good_ids: DataFrame, id_column: str = "doc_id", text_
 
 
 def _marked(rows: DataFrame, good: DataFrame) -> DataFrame:
-    return rows.join(small_or_shuffled(good, good.count()), "id", "left").select(*[c for c in rows.columns if c != "id"], F.coalesce("good", F.lit(False)).alias("good"))
+    return rows.join(small_or_shuffled(good), "id", "left").select(*[c for c in rows.columns if c != "id"], F.coalesce("good", F.lit(False)).alias("good"))
 
 
 class Codes(dict):
@@ -184,6 +178,8 @@ def _dealt(shared, n_parts: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(shared.value.known)
         found, keys, goods, size = [], [], [], 0
+        # Only says which rows come back to one place: sums are by document in the end, whatever chunk a retried task made.
+        chunks = itertools.count(TaskContext.get().partitionId() << 32)
 
         def out() -> pa.RecordBatch:
             words, before, after = (np.concatenate([f[i] for f in found]) for i in range(3))
@@ -194,17 +190,17 @@ def _dealt(shared, n_parts: int):
             part = ((words >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
             ends = np.searchsorted(part, np.arange(n_parts + 1))
             key, good = np.array(keys, np.int64), np.array(goods, np.bool_)
-            made = []
+            made, chunk = [], next(chunks)
             for k in range(n_parts):
                 at = slice(ends[k], ends[k + 1])
                 if at.start < at.stop:
                     own, times = np.unique(words[at], return_counts=True)
                     docs, local = np.unique(doc[at], return_inverse=True)
                     values = (own, times, before[at], after[at], local, key[docs], good[docs])
-                    made.append([k, *[np.ascontiguousarray(v, t).tobytes() for v, t in zip(values, KINDS, strict=True)]])
+                    made.append([k, chunk, *[np.ascontiguousarray(v, t).tobytes() for v, t in zip(values, KINDS, strict=True)]])
             found.clear(), keys.clear(), goods.clear()
-            columns = list(zip(*made, strict=True)) or [()] * 8
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", *BLOBS])
+            columns = list(zip(*made, strict=True)) or [()] * 9
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[2:]]], ["part", "chunk", *BLOBS])
 
         for batch in batches:
             for text, key, good in zip(*(batch.column(c).to_pylist() for c in ("text", "key", "good")), strict=True):
@@ -233,19 +229,21 @@ def _counts_of(inverse: np.ndarray, n: int, good: np.ndarray, factors: np.ndarra
 
 
 def _summed(shared):
-    """A part's occurrences -> sums of the documents' log probabilities that hang on its words."""
+    """A part's occurrences -> sums of the documents' log probabilities that hang on its words, by the chunk they came from."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        words, before, after, key, good = [], [], [], [], []
+        words, before, after, key, good, chunks, ends = [], [], [], [], [], [], []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in BLOBS), strict=True):
+            for chunk, *row in zip(*(batch.column(c).to_pylist() for c in ("chunk", *BLOBS)), strict=True):
                 own, times, b, a, doc, keys, goods = (np.frombuffer(x, t) for x, t in zip(row, KINDS, strict=True))
                 words.append(np.repeat(own, times))
                 before.append(b)
                 after.append(a)
                 key.append(keys[doc])
                 good.append(goods[doc])
+                chunks.append(chunk)
+                ends.append((ends[-1] if ends else 0) + len(b))
         if not words:
             return
         words, before, after, key, good = (np.concatenate(x) for x in (words, before, after, key, good))
@@ -268,20 +266,43 @@ def _summed(shared):
             width = model.p.shape[1]
             pairs, pair = np.unique(word[at] * width + after[at], return_inverse=True)
             logs[:, at] += np.log(_counts_of(pair, len(pairs), good[at], model.factors) + MASS * model.p[:, pairs % width])[:, pair]
-        keys, doc = np.unique(key, return_inverse=True)
-        sums = [np.bincount(doc, x, len(keys)) for x in logs]
-        for i in range(0, len(keys), 50_000):
-            part = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *[pa.array(x[part]) for x in sums]], ["key", "target", "background"])
+        # A row's sums go back to the chunk that it came from: one row for each chunk and part, not for each document and part.
+        for i, (chunk, n) in enumerate(zip(chunks, ends, strict=True)):
+            at = slice(ends[i - 1] if i else 0, n)
+            keys, doc = np.unique(key[at], return_inverse=True)
+            sums = [np.bincount(doc, x[at], len(keys)) for x in logs]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (keys, *sums)]], ["chunk", "keys", "target", "background"])
 
     return add
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sums -> a row for each document of a chunk."""
+    found: dict[int, list] = {}
+
+    def merged(parts: list) -> list:
+        keys, doc = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return [(keys, *[np.bincount(doc, np.concatenate([p[i] for p in parts]), len(keys)) for i in (1, 2)])]
+
+    for batch in batches:
+        for chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "keys", "target", "background")), strict=True):
+            parts = found.setdefault(chunk, [])
+            parts.append([np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, np.float64, np.float64), strict=True)])
+            if len(parts) >= MERGED:
+                found[chunk] = merged(parts)
+    for parts in found.values():
+        ((keys, target, background),) = merged(parts)
+        for i in range(0, len(keys), 50_000):
+            part = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (keys, target, background)], ["key", "target", "background"])
+
+
 def score(docs: DataFrame, good: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (id, n_tokens, target_loss, background_loss, score), losses per token in nats. docs: those of the training."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    ident, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")
+    bounded_batches(spark)
+    ident, text, kind = F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string"), type_of(docs, id_column)
     # Rows equal in id and text share a key, and their sums are divided by their number.
     key = F.xxhash64(ident, text).alias("key")
 
@@ -295,11 +316,12 @@ def score(docs: DataFrame, good: DataFrame, model: Model, id_column: str = "doc_
                 out.append(tables[:, cells_of(ids, len(vocabulary) + 2)].sum(1).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), *[pa.array([o[i] for o in out], pa.float64()) for i in (0, 1)]], ["id", "key", "n_tokens", "t", "b"])
 
-    rows = docs.select(ident.cast("long").alias("id"), key, text.alias("text"))
-    base = cut(rows.mapInArrow(common, "id long, key long, n_tokens long, t double, b double"), "common")
+    rows = docs.select(ident.alias("id"), key, text.alias("text"))
+    base = cut(rows.mapInArrow(common, f"id {kind}, key long, n_tokens long, t double, b double"), "common")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _marked(docs.select(ident.alias("id"), key, text.alias("text")), good).mapInArrow(_dealt(shared, n_parts), "part int, " + ", ".join(f"{c} binary" for c in BLOBS))
-    sums = dealt.repartitionById(n_parts, F.col("part")).mapInArrow(_summed(shared), "key long, target double, background double")
+    dealt = _marked(docs.select(ident.alias("id"), key, text.alias("text")), good).mapInArrow(_dealt(shared, n_parts), "part int, chunk long, " + ", ".join(f"{c} binary" for c in BLOBS))
+    sums = dealt.repartitionById(n_parts, F.col("part")).mapInArrow(_summed(shared), "chunk long, keys binary, target binary, background binary")
+    sums = sums.repartition(n_parts, "chunk").mapInArrow(_gathered, "key long, target double, background double")
     rest = sums.withColumn("copies", F.lit(0)).unionByName(base.select("key", F.lit(0.0).alias("target"), F.lit(0.0).alias("background"), F.lit(1).alias("copies")))
     rest = cut(rest.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("target", "background", "copies")]), "sums")
     found = base.join(rest, "key")
