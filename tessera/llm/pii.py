@@ -1,76 +1,105 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that reveal them.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers (base spans). Each distinct value is a protected entity e.
-Terms near its mentions are candidates; corpus counts over all documents say how strongly a term t reveals e:
+Patterns find e-mail addresses, IP addresses, card and phone numbers (base spans) and secrets: runs of at least SECRET_LENGTH
+letters, digits and underscores that mix MIXED of both, such as keys and access tokens. Each distinct value is a protected entity
+e. Every term t of the texts that hold it is a candidate; corpus counts over all documents say how strongly t reveals e:
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log2(N df(t, e) / (df(t) df(e))) / log2(N / df(e))
 
-which is 1 if t never occurs without e and 0 if they are independent. Terms of at least DISCLOSURE, seen with e in EVIDENCE
-different contexts or more (copies of one context count once), are spans of kind `term`: from REMOVAL on they are removed,
-below it generalised, as base spans are.
+which is 1 if t never occurs without e and 0 if they are independent. Terms of at least DISCLOSURE are spans of kind `term`
+wherever they stand: from REMOVAL on they are removed, below it generalised, as other spans are. A pair needs EVIDENCE different
+documents; documents with the same least term hash count as one, as near copies mostly do, so that the words that one
+document's copies share are not taken for names.
 
-DataFrame functions only. Work is linear in the text: a mention has at most 2 * CONTEXT candidate terms. Counts are aggregated
-before they are shuffled. The regular expressions below match what the base patterns match, leftmost and without overlap, but
-never try a run of characters from its middle, so long runs cost no quadratic time.
+A pair (t, e) can reach the threshold only if df(t) <= df(t, e) (N / df(e))^(1 - DISCLOSURE), and the documents with any entity
+bound df(t) from below; pairs are pruned by that before they are counted, which loses none. Entities of exactly the same documents
+are counted once for all of them.
 
-Null texts count as empty and have no spans. Rows that are equal in id and text share their spans. An empty table gives an
-empty result.
+DataFrame functions only. Work on a text is linear in its length and its spans. Counts are aggregated before they are shuffled.
+The regular expressions below match what the base patterns match, leftmost and without overlap, but never try a run of characters
+from its middle, so long runs cost no quadratic time.
+
+Null texts count as empty and have no spans. Rows that are equal in id and text share their spans. Spans that start together come
+in the order of KINDS. A term that would overlap another span is covered by it. Extra columns are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import carried, cut, small_or_shuffled, text_of
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE = KINDS[:4]
+SECRET_LENGTH, MIXED = 20, 4
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": rf"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{SECRET_LENGTH},}}+",
 }
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 TERM = r"\p{L}[\p{L}\p{M}]{2,}"
-CONTEXT, CONTEXT_CHARS = 5, 160
 EVIDENCE, DISCLOSURE, REMOVAL = 3, 0.9, 0.98
+#: Spans, and characters of a text, that are taken together, so that prefix sums and pieces of a text are found in two levels.
+CHUNK, CHARACTERS = 128, 1024
+
+SPAN = "struct<start: int, rank: int, end: int, value: string>"
+NO_SPANS = f"cast(array() as array<{SPAN}>)"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: inside it the value is a variable, not an expression to be evaluated again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints (none below 0) all up to and with it combined, by + or greatest; in time O(n CHUNK + (n / CHUNK)^2)."""
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    total = lambda part: F.aggregate(part, F.lit(0), combine)
 
-def spans_of(text: Column, pattern: Column, kind: str, valid=None) -> Column:
+    def along(v: Column) -> Column:
+        chunks = F.transform(to(F.ceil(F.size(v) / CHUNK).cast("int")), lambda c: total(F.slice(v, c * CHUNK + 1, CHUNK)))
+        before = lambda chunks: F.transform(to(F.size(chunks)), lambda c: total(F.slice(chunks, F.lit(1), c)))
+        within = lambda i: total(F.slice(v, i - i % CHUNK + 1, i % CHUNK + 1))
+        return let(chunks, lambda c: let(before(c), lambda b: F.transform(to(F.size(v)), lambda i: combine(F.get(b, (i / CHUNK).cast("int")), within(i)))))
+
+    return let(values, along)
+
+
+def spans_of(text: Column, pattern: str, kind: str, valid=None) -> Column:
     """array<struct<start, rank, end, value>> of the matches: a split's pieces and the matches give their places."""
-    found, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     rank = KINDS.index(kind)
-    seed = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, rank: int, end: int, value: string>>)").alias("out"))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["value"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), pair["value"].alias("value")))
-        keep = F.lit(True) if valid is None else valid(pair["value"])
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.coalesce(F.length(p), F.lit(0)) + F.coalesce(F.length(m), F.lit(0)))
+        one = lambda m, end: F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), m.alias("value"))
+        return let(running(steps, lambda a, x: a + x), lambda ends: F.transform(found, lambda m, i: one(m, F.get(ends, i))))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(a.alias("piece"), b.alias("value")))
-    return F.aggregate(pairs, seed, step, lambda s: s["out"])
+    spans = F.filter(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed), (lambda s: valid(s["value"])) if valid else (lambda s: F.lit(True)))
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr(NO_SPANS))
 
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-NO_SPANS = "cast(array() as array<struct<start: int, rank: int, end: int, value: string>>)"
-
-
-def base_spans(text: Column) -> dict[str, Column]:
+def pattern_spans(text: Column) -> dict[str, Column]:
     valid = {
         "email": None,
         "ip": lambda v: v.rlike(OCTETS),
         "card": lambda v: F.length(digits(v)).between(12, 19) & F.call_function("luhn_check", digits(v)),
         "phone": lambda v: F.length(digits(v)).between(9, 15),
+        "secret": lambda v: (F.length(digits(v)) >= MIXED) & (F.length(F.regexp_replace(v, "[^A-Za-z]", "")) >= MIXED),
     }
     # Cheap tests first: most texts have neither.
-    some = {"email": F.contains(text, F.lit("@")), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": F.contains(text, F.lit("+"))}
-    return {k: F.when(some[k], spans_of(text, F.lit(p), k, valid[k])).otherwise(F.expr(NO_SPANS)) for k, p in PATTERNS.items()}
+    some = {"email": F.contains(text, F.lit("@")), "ip": text.rlike("[0-9]"), "card": text.rlike("[0-9]"), "phone": F.contains(text, F.lit("+")), "secret": text.rlike("[0-9]")}
+    return {k: F.when(some[k], spans_of(text, p, k, valid[k])).otherwise(F.expr(NO_SPANS)) for k, p in PATTERNS.items()}
 
 
 def joined(spans: Column) -> Column:
@@ -78,91 +107,106 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["rank"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """For each span its entity and the sorted distinct terms next to it, without other addresses."""
+def key_of(ident: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), text)))
 
-    def near(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
-        terms = lambda x: F.regexp_extract_all(F.lower(F.regexp_replace(x, F.lit(PATTERNS["email"]), F.lit(" "))), F.lit(TERM), F.lit(0))
-        left = terms(before)
-        return F.struct(
-            F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"])).alias("entity"),
-            F.array_sort(F.array_distinct(F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)), F.slice(terms(after), 1, CONTEXT)))).alias("terms"),
-        )
 
-    return F.transform(spans, near)
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def key_of(ident: Column, text: Column) -> Column:
-    return F.unhex(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), text)))
+def uncovered(spans: DataFrame) -> DataFrame:
+    """Rows (key, start, rank, end, value) without the terms that overlap a span of another kind of their text."""
+    term, at = F.col("rank") == len(KINDS) - 1, Window.partitionBy("key")
+    reached = F.max(F.when(~term, F.col("end"))).over(at.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(~term, F.col("start"))).over(at.orderBy("start").rangeBetween(0, Window.unboundedFollowing))
+    marked = spans.withColumn("reached", reached).withColumn("following", following)
+    return marked.where(~term | ((F.coalesce("reached", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("following") >= F.col("end"), F.lit(True)))).drop("reached", "following")
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, n_email, n_ip, n_card, n_phone, base_spans, spans, key), one for each row of docs.
+    """Rows (id, n_email, n_ip, n_card, n_phone, n_secret, n_term, base_spans, spans, key), one for each row of docs.
 
     base_spans and spans are arrays of struct<start, rank, end, value>; rank is the kind's place in KINDS, value is the text
-    of a base span and for terms `remove` or `generalise`.
+    of a pattern's span and for terms `remove` or `generalise`.
     """
     plain = docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("text")).withColumn("key", key_of(F.col("id"), F.col("text")))
-    found = plain.select("id", "key", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
-    found = found.withColumn("base", F.array_sort(F.concat(*PATTERNS)))
-    found = found.withColumn("context", F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"))).otherwise(F.expr("cast(array() as array<struct<entity: string, terms: array<string>>>)")))
-    found = cut(found.select("id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "context"), "base")
-
-    flagged = disclosing_terms(plain, found)
-    by_doc = flagged["documents"]
-    wanted = small_or_shuffled(by_doc, flagged["n_documents"])
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{M}])"))
-    actions = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["action"])))
-    terms = plain.select("key", "text").join(wanted, "key").withColumn("pattern", pattern)
-    terms = terms.withColumn("found", spans_of(F.col("text"), F.col("pattern"), "term")).withColumn("actions", actions)
-    terms = terms.select("key", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.col("actions")[F.lower(s["value"])].alias("value"))).alias("found"))
-    terms = terms.groupBy("key").agg(F.first("found").alias("found"))
-    # A term inside a base span is covered by it.
-    inside = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    out = found.drop("context").join(terms, "key", "left").withColumn("found", F.filter(F.coalesce("found", F.expr(NO_SPANS)), lambda s: ~inside(s)))
-    return out.select(F.col("id").alias(id_column), *[f"n_{k}" for k in PATTERNS], F.col("base").alias("base_spans"), F.array_sort(F.concat("base", "found")).alias("spans"), "key")
+    found = plain.select("id", "key", *[c.alias(k) for k, c in pattern_spans(F.col("text")).items()])
+    found = found.withColumn("found", F.array_sort(F.concat(*PATTERNS))).withColumn("base", F.array_sort(F.concat(*BASE)))
+    found = cut(found.select("id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "found"), "base")
+
+    flagged = disclosing_terms(plain, found)["documents"]  # (key, term, action)
+    words = plain.join(small_or_shuffled(cut(flagged.select("key").distinct(), "keys")), "key").dropDuplicates(["key"])
+    words = words.select("key", F.explode(spans_of(F.col("text"), TERM, "term")).alias("s")).select("key", "s.*").withColumn("term", F.lower("value"))
+    terms = words.join(flagged, ["key", "term"]).select("key", "start", "rank", "end", F.col("action").alias("value"))
+    others = found.join(flagged.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", F.explode("found").alias("s")).select("key", "s.*")
+    terms = uncovered(terms.unionByName(others)).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "value"))).alias("all"))
+    out = found.join(terms, "key", "left").withColumn("spans", F.coalesce("all", "found"))
+    n_term = F.size(F.filter("spans", lambda s: s["rank"] == len(KINDS) - 1)).cast("long").alias("n_term")
+    return out.select(F.col("id").alias(id_column), *[f"n_{k}" for k in PATTERNS], n_term, F.col("base").alias("base_spans"), "spans", "key")
 
 
 def disclosing_terms(plain: DataFrame, found: DataFrame) -> dict:
     """Which terms of which documents exceed the disclosure threshold."""
-    some = found.where(F.size("base") > 0)
-    n = found.count()
-    entities = some.select(F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    pairs_of = F.array_distinct(F.flatten(F.transform("context", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t.alias("term"))))))
-    joint = some.select(F.explode(pairs_of).alias("p")).select("p.*").groupBy("entity", "term").agg(F.count("*").alias("df_te"))
-    seen = some.select(F.explode("context").alias("c")).select("c.*").distinct().select("entity", F.explode("terms").alias("term"))
-    evidence = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= EVIDENCE)
-    # A term is in at least as many documents as it is in contexts; beyond this many it cannot reach the threshold.
-    around = some.select(F.explode(F.array_distinct(F.flatten(F.transform("context", lambda c: c["terms"])))).alias("term")).groupBy("term").agg(F.count("*").alias("df_near"))
-    possible = F.col("df_te") * F.pow(F.lit(float(n)) / F.col("df_e"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
-    candidates = evidence.join(joint, ["entity", "term"]).join(entities, "entity").join(around, "term").where(F.col("df_near") <= possible)
-    candidates = cut(candidates.drop("df_near"), "candidates")
+    n = float(found.count())
+    reach = lambda df_e: F.pow(F.lit(n) / df_e, F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
+    entity = lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))
+    mentions = found.where(F.size("found") > 0).select("key", F.explode(F.array_distinct(F.transform("found", entity))).alias("entity"))
+    # Written before it is joined, as one entity may be in any share of the documents.
+    mentions = cut(mentions, "mentions")
+    entities = cut(mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same")).where(f"df_e >= {EVIDENCE}"), "entities")
+    by_doc = mentions.join(small_or_shuffled(entities), "entity").groupBy("key").agg(F.collect_set(F.struct("df_e", "same")).alias("classes"))
+    by_doc = cut(by_doc, "classes")
+    # One row for each row of plain, so that repeated rows count; what an address is made of is no term beside it.
+    texts = plain.join(small_or_shuffled(by_doc), "key").select("classes", terms_of(F.regexp_replace("text", PATTERNS["email"], " ")).alias("terms"))
+    texts = cut(texts.withColumn("sketch", F.array_min(F.transform("terms", lambda t: F.xxhash64(t)))), "texts")
+    most = texts.select(F.explode("classes").alias("c")).agg(F.max(F.col("c.df_e") * reach(F.col("c.df_e")))).first()[0] or 0.0
+    there = cut(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_near")).where((F.col("df_near") >= EVIDENCE) & (F.col("df_near") <= most)), "near")
+    in_texts = texts.select("sketch", "classes", F.explode("terms").alias("term")).join(small_or_shuffled(there), "term")
+    possible = F.filter("classes", lambda c: F.col("df_near") <= c["df_e"] * reach(c["df_e"]))
+    pairs = in_texts.select("term", "df_near", "sketch", F.explode(possible).alias("class"))
+    joint = pairs.groupBy("class", "term", "sketch").agg(F.count("*").alias("rows"), F.first("df_near").alias("df_near"))
+    joint = joint.groupBy("class", "term").agg(F.sum("rows").alias("df_te"), F.count("*").alias("evidence"), F.first("df_near").alias("df_near"))
+    joint = joint.select("term", F.col("class.df_e").alias("df_e"), "df_te", "evidence", "df_near")
+    candidates = cut(joint.where((F.col("evidence") >= EVIDENCE) & (F.col("df_near") <= F.col("df_te") * reach(F.col("df_e")))).drop("df_near", "evidence"), "candidates")
     terms = cut(candidates.select("term").distinct(), "terms")
-    terms_in = plain.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    hits = cut(terms_in.join(small_or_shuffled(terms, terms.count()), "term"), "hits")
+    hits = cut(plain.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(small_or_shuffled(terms), "term"), "hits")
     df_t = hits.groupBy("term").agg(F.count("*").alias("df_t"))
-    information = F.log2(F.lit(float(n)) / F.col("df_e"))
-    scored = candidates.join(df_t, "term").withColumn("disclosure", F.log2(F.lit(float(n)) * F.col("df_te") / F.col("df_t") / F.col("df_e")) / F.when(information > 0, information))
-    strong = scored.where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.when(F.max("disclosure") >= REMOVAL, "remove").otherwise("generalise").alias("action"))
-    documents = cut(hits.join(strong, "term").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("term", "action"))).alias("terms")), "flagged")
-    return {"documents": documents, "n_documents": documents.count(), "scored": scored}
+    information = F.log2(F.lit(n) / F.col("df_e"))
+    scored = candidates.join(df_t, "term").withColumn("disclosure", F.log2(F.lit(n) * F.col("df_te") / F.col("df_t") / F.col("df_e")) / F.when(information > 0, information))
+    strong = cut(scored.where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.when(F.max("disclosure") >= REMOVAL, "remove").otherwise("generalise").alias("action")), "strong")
+    documents = cut(hits.distinct().join(small_or_shuffled(strong), "term").select("key", "term", "action"), "flagged")
+    return {"documents": documents, "scored": scored}
 
 
 def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with their text column sanitised: base spans become [EMAIL] and so on, terms [TERM] or nothing."""
+    """docs with their text column sanitised: pattern spans become [EMAIL] and so on, terms [TERM] or nothing.
+
+    Of spans that overlap, the first is replaced and the others' characters go with it. Texts without spans stay as they are, null too.
+    """
     spans = personal_data(docs, id_column, text_column).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
     rows = carried(docs).withColumn("text", F.coalesce(F.col(f"row.`{text_column}`").cast("string"), F.lit("")))
     rows = rows.withColumn("key", key_of(F.col(f"row.`{id_column}`"), F.col("text"))).join(spans, "key", "left")
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    label = lambda s: F.when((s["rank"] == len(KINDS) - 1) & (s["value"] == "remove"), F.lit("")).otherwise(F.element_at(labels, s["rank"] + 1))
+    chunk = lambda at: (at / CHARACTERS).cast("int")
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        """The characters from a up to b: of one chunk, or of a first, whole ones and a last."""
+        ends = lambda i, a, n: F.coalesce(F.substring(F.get(chunks, i), a % CHARACTERS + 1, n), F.lit(""))
+        far = F.concat(ends(chunk(a), a, F.lit(CHARACTERS)), F.array_join(F.slice(chunks, chunk(a) + 2, F.greatest(chunk(b) - chunk(a) - 1, F.lit(0))), ""), ends(chunk(b), F.lit(0), b % CHARACTERS))
+        return F.when(chunk(a) == chunk(b), ends(chunk(a), a, b - a)).otherwise(far)
+
+    def replaced(chunks: Column) -> Column:
+        def with_ends(ends: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+                return F.when(s["start"] >= before, F.concat(between(chunks, before, s["start"]), label(s))).otherwise(F.lit(""))
+
+            return F.concat(F.array_join(F.transform("spans", one), ""), between(chunks, F.element_at(ends, -1), F.length("text")))
 
-    def step(state: Column, s: Column) -> Column:
-        label = F.when((s["rank"] == len(KINDS) - 1) & (s["value"] == "remove"), F.lit("")).otherwise(F.element_at(labels, s["rank"] + 1))
-        fresh = s["start"] >= state["at"]
-        piece = F.when(fresh, F.concat(F.substring("text", state["at"] + 1, s["start"] - state["at"]), label)).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+        return let(running(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x)), with_ends)
 
-    parts = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring("text", s["at"] + 1, F.length("text") - s["at"])))
+    parts = let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHARACTERS}}}"), F.lit(0)), replaced)
     clean = F.when(F.col("spans").isNull(), F.col(f"row.`{text_column}`")).otherwise(parts)
     return rows.select(F.col("row").withField(f"`{text_column}`", clean).alias("row")).select("row.*")

@@ -31,10 +31,10 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.pii import PATTERNS, joined, personal_data
+    from tessera.llm.pii import BASE, joined, personal_data
 
     found = personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[f"n_{k}" for k in PATTERNS], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_secret", "n_term")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     good = load(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(docs, *train(docs, good))
+    found = score(docs, *train(docs, good))
+    # Sums of doubles depend on their order in the last digits.
+    return found.select("doc_id", "n_tokens", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
@@ -82,7 +84,57 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_licence_scan, op4_pii, op5_lm_scoring, op6_packing, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_mixing, op10_sharding)}
 
+#: CRC-32 of the UTF-8 bytes of {0}, by the table of its polynomial.
+CRC_TABLE = """
+        poly(i, k, c) AS (
+            SELECT i, 0, i FROM range(256) t(i) UNION ALL
+            SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM poly WHERE k < 8
+        ), crc_table AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8)"""
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, crc_table.t[1 + (xor(a, b) & 255)])))"
+
 ORACLES = {
+    "op5_lm_scoring": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS place, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+                   list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w
+            FROM documents
+        ), steps AS (
+            SELECT place, good, unnest(list_zip(list_prepend(' ', w[:-2]), w)) AS s FROM docs WHERE len(w) > 0
+        ), pairs AS (
+            SELECT s[1] AS v, s[2] AS x, count(*) AS n, count(*) FILTER (good) AS g FROM steps GROUP BY ALL
+        ), words AS (SELECT x, sum(n) AS n, sum(g) AS g FROM pairs GROUP BY ALL),
+        before AS (SELECT v, sum(n) AS n, sum(g) AS g FROM pairs GROUP BY ALL),
+        total AS (
+            SELECT CASE WHEN sum(g) = 0 THEN sum(n) ELSE sum(g) END::DOUBLE AS t, t / sum(n) AS f, sum(g) = 0 AS none, 0.5 * (count(*) + 2) AS size FROM words
+        ), logs AS (
+            SELECT p.v, p.x, ln((f * p.n + 50 * (f * w.n + 0.5) / (t + size)) / (f * b.n + 50)) AS lb,
+                   CASE WHEN none THEN lb ELSE ln((p.g + 50 * (w.g + 0.5) / (t + size)) / (b.g + 50)) END AS lt
+            FROM pairs p JOIN words w ON p.x = w.x JOIN before b ON p.v = b.v, total
+        ), losses AS (
+            SELECT place, -avg(lt) AS target, -avg(lb) AS background FROM steps JOIN logs ON s[1] = v AND s[2] = x GROUP BY place
+        )
+        SELECT doc_id, len(w) AS n_tokens, round(target, 6) + 0.0 AS target_loss, round(background, 6) + 0.0 AS background_loss,
+               round(target - background, 6) + 0.0 AS score
+        FROM docs LEFT JOIN losses USING (place)
+    """,
+    "op10_sharding": f"""
+        WITH RECURSIVE {CRC_TABLE}, sized AS (
+            SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents
+        ), together AS (
+            SELECT *, min(doc_id) OVER same AS first_id, sum(size) OVER same AS bytes, count(*) OVER same AS n FROM sized WINDOW same AS (PARTITION BY t)
+        ), led AS (
+            SELECT *, n > 1 AND bytes <= 0.05 * (SELECT sum(size) FROM sized) / 16 AS whole, md5(t) AS h FROM together
+        ), laid AS (
+            SELECT *, sum(size) OVER (ORDER BY first_id NULLS FIRST, h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS start,
+                   row_number() OVER (ORDER BY first_id NULLS FIRST, h, doc_id NULLS FIRST) AS place FROM led
+        ), placed AS (
+            SELECT *, ((CASE WHEN whole THEN 2 * min(start) OVER (PARTITION BY t) + bytes ELSE 2 * start + size END) * 16
+                       // (2 * (SELECT sum(size) FROM sized)))::INT AS shard FROM laid
+        )
+        SELECT doc_id, size::BIGINT AS size, {CRC.format("p.t")} AS text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard
+        FROM placed p, crc_table
+    """,
     "op7_minhash_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

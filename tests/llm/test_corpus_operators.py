@@ -189,7 +189,6 @@ def check_packing(texts, out, encode):
 
 def test_packing(spark, sf, documents, awkward, nothing):
     slow = Tokenizer.from_file(TOKENIZER)
-    slow.encode_special_tokens = True
     encode = lambda t: slow.encode(t, add_special_tokens=False).ids
     texts = [(r.doc_id, r.text) for r in documents.collect()]
     assert check_packing(texts, QUERIES["op6_packing"](spark, sf).collect(), encode) < 0.02
@@ -216,8 +215,12 @@ def encoder(kept={}):  # noqa: B006
     return kept[0]
 
 
-def test_special_strings_are_text():
-    assert 50256 not in encoder()("a <|endoftext|> b")
+def test_special_strings_are_as_the_loaded_tokenizer_has_them(spark):
+    untouched = Tokenizer.from_file(TOKENIZER)
+    encode = lambda t: untouched.encode(t, add_special_tokens=False).ids
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>é", "<|endoftext", "é <|endoftext|> 中"]
+    assert [encoder()(t) for t in texts] == [encode(t) for t in texts] and 50256 in encoder()(texts[0])
+    check_packing(list(enumerate(texts)), packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER).collect(), encode)
 
 
 @given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 60)), min_size=1, max_size=12))
@@ -285,18 +288,37 @@ def test_mixing_of_overlapping_sources(spark):
     assert {p: sum(f.values()) for p, f in flow.items()} == pytest.approx(dict(taken), abs=2) and all(r.taken <= 3 * r.size for r in out)
 
 
+def check_shards(rows, out, share=sharding.GROUP_SHARE):
+    """Rows as given, gapless slots, one global order by the group's least id, even bytes, and small groups whole."""
+    text = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == text
+    number = lambda i: -1 if i is None else i
+    lead, together, shards = {}, Counter(), defaultdict(set)
+    for r in out:
+        if r.doc_id is not None:
+            lead[r.text_crc32] = min(lead.get(r.text_crc32, r.doc_id), r.doc_id)
+        together[r.text_crc32] += r.size
+        shards[r.text_crc32].add(r.shard)
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append((r.slot, number(lead.get(r.text_crc32)), number(r.doc_id), r.size))
+    order = [x[1:3] for s in sorted(by) for x in sorted(by[s])]
+    assert order == sorted(order) and all([x[0] for x in sorted(rows)] == list(range(len(rows))) for rows in by.values())
+    total = sum(r.size for r in out)
+    limit = share * total / 16
+    assert all(len(shards[c]) == 1 for c, n in together.items() if n <= limit)
+    most = max([r.size for r in out] + [n for n in together.values() if n <= limit])
+    assert all(abs(sum(x[3] for x in by[s]) - total / 16) <= most for s in by)
+
+
 def test_sharding(spark, sf, documents, awkward, nothing):
-    for df, out in ((documents, QUERIES["op10_sharding"](spark, sf).collect()), (awkward, sharding.balanced_shards(awkward).collect())):
-        text = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.collect())
-        assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == text
-        by = defaultdict(list)
-        for r in out:
-            by[r.shard].append((r.slot, -1 if r.doc_id is None else r.doc_id, r.size))
-        ids = [i for s in sorted(by) for _, i, _ in sorted(by[s])]
-        assert ids == sorted(ids) and all([x[0] for x in sorted(rows)] == list(range(len(rows))) for rows in by.values())
-        total, most = sum(r.size for r in out), max(r.size for r in out)
-        assert all(abs(sum(x[2] for x in by[s]) - total / 16) <= most for s in by)
+    check_shards(documents.collect(), QUERIES["op10_sharding"](spark, sf).collect())
+    check_shards(awkward.collect(), sharding.balanced_shards(awkward).collect())
     assert sharding.balanced_shards(nothing).count() == 0
+    # Groups of two to sixty copies, and one text that is a third of all rows.
+    rows = [(i, "hot" if i % 3 == 0 else f"text {(i * i) % 700 if i % 5 else i % 11} " + "x" * (i % 40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_shards(df.collect(), sharding.balanced_shards(df).collect())
 
 
 def test_pipeline(spark, sf, documents):

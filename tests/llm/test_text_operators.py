@@ -31,9 +31,9 @@ def test_language_backoff():
         assert np.argmax(m.word(word)) == (0 if order in (0, 4, 1) else 1)
     assert not m.word("zzz").any()
     s = m.scorer()
-    assert s.predict(None) == s.predict("") == s.predict("12 ½ !") == (langid.UNKNOWN, 0.0)
-    assert s.predict("zzz") == ("en", 0.5)
-    assert langid.Model([]).scorer().predict("the") == (langid.UNKNOWN, 0.0)
+    assert s.predict(None) == s.predict("") == s.predict("12 ½ !") == (langid.UNKNOWN, 0.0, 0)
+    assert s.predict("zzz") == ("en", 0.5, 0)
+    assert langid.Model([]).scorer().predict("the") == (langid.UNKNOWN, 0.0, 0)
 
 
 def test_language_id_of_awkward_rows(awkward, nothing):
@@ -126,7 +126,7 @@ def test_terms_that_reveal_an_entity_are_spans(spark):
     at = texts[6].index("Zacharias")
     assert [(s.start, s.end, s.value) for s in found[6].spans] == [(at, at + 9, "generalise" if disclosure < pii.REMOVAL else "remove")]
     assert all(not found[i].spans for i in range(7, n))
-    assert all({s.rank for s in found[i].spans} == {0, 4} for i in range(6))
+    assert all({s.rank for s in found[i].spans} == {0, 5} for i in range(6))
 
 
 @pytest.mark.parametrize(("n", "df_e", "df_t", "action"), [(305, 5, 7, "generalise"), (330, 30, 31, "remove")])
@@ -135,7 +135,7 @@ def test_thresholds_of_disclosure(spark, n, df_e, df_t, action):
     words = ["w" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
     texts = [" ".join([*rng.choice(words, 9), *(["Zacharias"] if i < df_t else []), *(["bob.z@corp.example.com"] if i < df_e else []), *rng.choice(words, 9)]) for i in range(n)]
     assert (0.9, 0.98)[action == "remove"] <= math.log2(n / df_t) / math.log2(n / df_e) < (0.95, 0.99)[action == "remove"]
-    spans = [s.value for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r.spans if s.rank == 4]
+    spans = [s.value for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() for s in r.spans if s.rank == 5]
     assert spans == [action] * df_t
 
 
@@ -158,29 +158,25 @@ def test_empty_span_digest(spark, sf):
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def plain_losses(texts, good, size):
-    counts = {}
-    for t in texts:
-        for w in lm_scoring.tokens(t):
-            counts[w] = counts.get(w, 0) + 1
-    vocabulary = sorted(counts, key=lambda w: (-counts[w], w))[:size]
-    ids = {w: i + 2 for i, w in enumerate(vocabulary)}
-    width = len(vocabulary) + 2
-    tables = np.zeros((2, width, width))
-    runs = [[1, *[ids.get(w, 0) for w in lm_scoring.tokens(t)]] for t in texts]
+def plain_losses(texts, good):
+    """Plain bigram models of all words, without matrices, chunks or parts."""
+    runs = [[None, *lm_scoring.tokens(t)] for t in texts]
+    pairs, words, before = ([Counter(), Counter()] for _ in range(3))
     for run, g in zip(runs, good, strict=True):
-        for a, b in zip(run, run[1:], strict=False):
-            tables[1, a, b] += 1
-            tables[0, a, b] += g
-    tables[1] *= tables[0].sum() / tables[1].sum()
-    logs = [lm_scoring.log_probabilities(t) for t in tables]
-    return [[-np.mean([log[a, b] for a, b in zip(r, r[1:], strict=False)]) if len(r) > 1 else None for log in logs] for r in runs]
+        for m in (0, 1) if g else (1,):
+            pairs[m].update(zip(run, run[1:], strict=False))
+            words[m].update(run[1:])
+            before[m].update(run[:-1])
+    factors = (1, words[0].total() / words[1].total())
+    total, size, mass = words[0].total(), len(words[1]) + 2, lm_scoring.MASS
+    loss = lambda m, v, w: -math.log((factors[m] * pairs[m][v, w] + mass * (factors[m] * words[m][w] + 0.5) / (total + 0.5 * size)) / (factors[m] * before[m][v] + mass))
+    return [[sum(loss(m, v, w) for v, w in zip(run, run[1:], strict=False)) / (len(run) - 1) if len(run) > 1 else None for m in (0, 1)] for run in runs]
 
 
 def test_lm_scores_equal_plain_models(spark, sf, documents):
     docs = documents.orderBy("doc_id").collect()
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
-    want = plain_losses([r.text for r in docs], [r.doc_id in good for r in docs], lm_scoring.VOCABULARY)
+    want = plain_losses([r.text for r in docs], [r.doc_id in good for r in docs])
     found = {r.doc_id: r for r in QUERIES["op5_lm_scoring"](spark, sf).collect()}
     for d, (t, b) in zip(docs, want, strict=True):
         r = found[d.doc_id]
@@ -188,20 +184,12 @@ def test_lm_scores_equal_plain_models(spark, sf, documents):
 
 
 def test_lm_scores_tell_rare_words_apart(spark, awkward, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "COMMON", 6, raising=False)
+    monkeypatch.setattr(lm_scoring, "COMMON", 6)
+    monkeypatch.setattr(lm_scoring, "MERGED", 2)
     rows = awkward.select("doc_id", "text").collect()
-    runs = [[None, *lm_scoring.tokens(r.text)] for r in rows]
+    losses = plain_losses([r.text for r in rows], [r.doc_id in (1, 7, 12) for r in rows])
+    want = sorted((r.doc_id or 0, *x) for r, x in zip(rows, losses, strict=True) if x[0] is not None)
     good = spark.createDataFrame([(1,), (7,), (12,)], "doc_id long")
-    pairs, words, before = ([Counter(), Counter()] for _ in range(3))
-    for r, run in zip(rows, runs, strict=True):
-        for m in (0, 1) if r.doc_id in (1, 7, 12) else (1,):
-            pairs[m].update(zip(run, run[1:], strict=False))
-            words[m].update(run[1:])
-            before[m].update(run[:-1])
-    factors = (1, words[0].total() / words[1].total())
-    total, size, mass = words[0].total(), len(words[1]) + 2, lm_scoring.MASS
-    loss = lambda m, v, w: -math.log((factors[m] * pairs[m][v, w] + mass * (factors[m] * words[m][w] + 0.5) / (total + 0.5 * size)) / (factors[m] * before[m][v] + mass))
-    want = sorted((r.doc_id or 0, *[sum(loss(m, v, w) for v, w in zip(run, run[1:], strict=False)) / (len(run) - 1) for m in (0, 1)]) for r, run in zip(rows, runs, strict=True) if len(run) > 1)
     out = lm_scoring.score(awkward, *lm_scoring.train(awkward, good)).collect()
     found = sorted((r.doc_id or 0, r.target_loss, r.background_loss) for r in out if r.n_tokens)
     assert len(out) == len(rows) and [f[0] for f in found] == [w[0] for w in want]
