@@ -8,12 +8,11 @@ e. Every term t of the texts that hold it is a candidate; corpus counts over all
 
 which is 1 if t never occurs without e and 0 if they are independent. Terms of at least DISCLOSURE are spans of kind `term`
 wherever they stand: from REMOVAL on they are removed, below it generalised, as other spans are. A pair needs EVIDENCE different
-documents; documents with the same least term hash count as one, as near copies mostly do, so that the words that one
-document's copies share are not taken for names.
+documents; documents whose terms have the same least values under two hashes count as one, as near copies mostly do, so that the
+words that one document's copies share are not taken for names.
 
-A pair (t, e) can reach the threshold only if df(t) <= df(t, e) (N / df(e))^(1 - DISCLOSURE), and the documents with any entity
-bound df(t) from below; pairs are pruned by that before they are counted, which loses none. Entities of exactly the same documents
-are counted once for all of them.
+A pair (t, e) can reach the threshold only if df(t) <= df(e) (N / df(e))^(1 - DISCLOSURE); pairs are pruned by that before they
+are counted, which loses none. Entities of exactly the same documents are counted once for all of them.
 
 DataFrame functions only. Work on a text is linear in its length and its spans. Counts are aggregated before they are shuffled.
 The regular expressions below match what the base patterns match, leftmost and without overlap, but never try a run of characters
@@ -131,9 +130,11 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     of a pattern's span and for terms `remove` or `generalise`.
     """
     plain = docs.select(F.col(f"`{id_column}`").alias("id"), text_of(text_column).alias("text")).withColumn("key", key_of(F.col("id"), F.col("text")))
-    found = plain.select("id", "key", *[c.alias(k) for k, c in pattern_spans(F.col("text")).items()])
+    found = plain.select("id", "key", "text", *[c.alias(k) for k, c in pattern_spans(F.col("text")).items()])
     found = found.withColumn("found", F.array_sort(F.concat(*PATTERNS))).withColumn("base", F.array_sort(F.concat(*BASE)))
-    found = cut(found.select("id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "found"), "base")
+    # What an address is made of is no term beside it.
+    beside = F.when(F.size("found") > 0, terms_of(F.regexp_replace("text", PATTERNS["email"], " "))).alias("terms")
+    found = cut(found.select("id", "key", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], "base", "found", beside), "base")
 
     flagged = disclosing_terms(plain, found)["documents"]  # (key, term, action)
     words = plain.join(small_or_shuffled(cut(flagged.select("key").distinct(), "keys")), "key").dropDuplicates(["key"])
@@ -151,32 +152,27 @@ def disclosing_terms(plain: DataFrame, found: DataFrame) -> dict:
     n = float(found.count())
     reach = lambda df_e: F.pow(F.lit(n) / df_e, F.lit(1 - DISCLOSURE)) * (1 + 1e-9)
     entity = lambda s: F.concat_ws(":", s["rank"].cast("string"), F.lower(s["value"]))
-    mentions = found.where(F.size("found") > 0).select("key", F.explode(F.array_distinct(F.transform("found", entity))).alias("entity"))
+    some = found.where(F.size("found") > 0).withColumn("place", F.monotonically_increasing_id())
+    some = cut(some.select("place", "key", "terms", F.array_distinct(F.transform("found", entity)).alias("entities")), "some")
     # Written before it is joined, as one entity may be in any share of the documents.
-    mentions = cut(mentions, "mentions")
-    entities = cut(mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("same")).where(f"df_e >= {EVIDENCE}"), "entities")
-    by_doc = mentions.join(small_or_shuffled(entities), "entity").groupBy("key").agg(F.collect_set(F.struct("df_e", "same")).alias("classes"))
-    by_doc = cut(by_doc, "classes")
-    # One row for each row of plain, so that repeated rows count; what an address is made of is no term beside it.
-    texts = plain.join(small_or_shuffled(by_doc), "key").select("classes", terms_of(F.regexp_replace("text", PATTERNS["email"], " ")).alias("terms"))
-    texts = cut(texts.withColumn("sketch", F.array_min(F.transform("terms", lambda t: F.xxhash64(t)))), "texts")
-    most = texts.select(F.explode("classes").alias("c")).agg(F.max(F.col("c.df_e") * reach(F.col("c.df_e")))).first()[0] or 0.0
-    there = cut(texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_near")).where((F.col("df_near") >= EVIDENCE) & (F.col("df_near") <= most)), "near")
-    in_texts = texts.select("sketch", "classes", F.explode("terms").alias("term")).join(small_or_shuffled(there), "term")
-    possible = F.filter("classes", lambda c: F.col("df_near") <= c["df_e"] * reach(c["df_e"]))
-    pairs = in_texts.select("term", "df_near", "sketch", F.explode(possible).alias("class"))
-    joint = pairs.groupBy("class", "term", "sketch").agg(F.count("*").alias("rows"), F.first("df_near").alias("df_near"))
-    joint = joint.groupBy("class", "term").agg(F.sum("rows").alias("df_te"), F.count("*").alias("evidence"), F.first("df_near").alias("df_near"))
-    joint = joint.select("term", F.col("class.df_e").alias("df_e"), "df_te", "evidence", "df_near")
-    candidates = cut(joint.where((F.col("evidence") >= EVIDENCE) & (F.col("df_near") <= F.col("df_te") * reach(F.col("df_e")))).drop("df_near", "evidence"), "candidates")
-    terms = cut(candidates.select("term").distinct(), "terms")
-    hits = cut(plain.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(small_or_shuffled(terms), "term"), "hits")
-    df_t = hits.groupBy("term").agg(F.count("*").alias("df_t"))
+    mentions = cut(some.select("place", "key", F.explode("entities").alias("entity")), "mentions")
+    entities = cut(mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.sum(F.xxhash64("place").cast("decimal(38,0)")).alias("same")), "entities")
+    by_doc = cut(mentions.join(small_or_shuffled(entities), "entity").groupBy("place").agg(F.collect_set(F.struct("df_e", "same")).alias("classes")), "classes")
+    least = lambda more: F.array_min(F.transform("terms", lambda t: F.xxhash64(F.concat(t, F.lit(more)))))
+    texts = some.join(small_or_shuffled(by_doc), "place").select("classes", "terms", F.struct(least("").alias("a"), least("#").alias("b")).alias("sketch"))
+    in_corpus = plain.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    vocabulary = cut(in_corpus.where(F.col("df_t") >= EVIDENCE), "vocabulary")
+    in_texts = texts.select("sketch", "classes", F.explode("terms").alias("term")).join(small_or_shuffled(vocabulary), "term")
+    possible = F.filter("classes", lambda c: (c["df_e"] >= EVIDENCE) & (F.col("df_t") <= c["df_e"] * reach(c["df_e"])))
+    pairs = in_texts.select("term", "df_t", "sketch", F.explode(possible).alias("class"))
+    joint = pairs.groupBy("class", "term", "sketch").agg(F.count("*").alias("rows"), F.first("df_t").alias("df_t"))
+    joint = joint.groupBy("class", "term").agg(F.sum("rows").alias("df_te"), F.count("*").alias("evidence"), F.first("df_t").alias("df_t"))
+    scored = joint.where(F.col("evidence") >= EVIDENCE).select("term", F.col("class.df_e").alias("df_e"), "df_te", "df_t")
     information = F.log2(F.lit(n) / F.col("df_e"))
-    scored = candidates.join(df_t, "term").withColumn("disclosure", F.log2(F.lit(n) * F.col("df_te") / F.col("df_t") / F.col("df_e")) / F.when(information > 0, information))
+    scored = scored.withColumn("disclosure", F.log2(F.lit(n) * F.col("df_te") / F.col("df_t") / F.col("df_e")) / F.when(information > 0, information))
     strong = cut(scored.where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.when(F.max("disclosure") >= REMOVAL, "remove").otherwise("generalise").alias("action")), "strong")
-    documents = cut(hits.distinct().join(small_or_shuffled(strong), "term").select("key", "term", "action"), "flagged")
-    return {"documents": documents, "scored": scored}
+    hits = plain.select("key", F.explode(terms_of(F.col("text"))).alias("term")).join(small_or_shuffled(strong), "term")
+    return {"documents": cut(hits.select("key", "term", "action").distinct(), "flagged"), "scored": scored}
 
 
 def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
