@@ -1,5 +1,6 @@
 """Deduplication, packing, mixing, sharding and the pipeline: brute force, round trips and awkward rows."""
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,10 +9,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import covertree_dedup as V
-from tessera.llm import exact_dedup, mixing, packing, sharding
+from tessera.llm import exact_dedup, langid, licences, lm_scoring, mixing, packing, sharding
 from tessera.llm import minmax_dedup as M
 from tessera.llm.queries import QUERIES
 from tessera.llm.shared import components
@@ -141,8 +143,24 @@ def test_dual_traversal_equals_all_pairs():
         assert (a == 2 * want[:k, k:].sum(1)).all() and (b == want[:k, k:].sum(0)).all()
 
 
-def test_near_vectors_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(V, "BLOCK", 64)
+def test_blocks_of_many_links_take_little_time():
+    rng = np.random.default_rng(2)
+    centre = np.ones(64) / 8
+    for noise in (0.012, 0.017, 0.02):
+        a, b = (np.array([V.unit(list(v)) for v in centre + rng.normal(size=(2048, 64)) * noise]) for _ in range(2))
+        n = np.ones(2048, np.int64)
+        began = time.process_time()
+        la, lb, edges = V.linked_pairs(a, n, b, n, 0.98)
+        assert time.process_time() - began < 3
+        linked = a @ b.T >= 0.98
+        assert (la == linked.sum(1)).all() and (lb == linked.sum(0)).all() and len(edges) >= ((la > 0).sum() + (lb > 0).sum()) // 2
+
+
+@pytest.mark.parametrize(("block", "pivots", "levels"), [(64, 64, 24), (16, 3, 24), (32, 4, 1), (100_000, 64, 24)])
+def test_near_vectors_in_blocks(spark, monkeypatch, block, pivots, levels):
+    monkeypatch.setattr(V, "BLOCK", block)
+    monkeypatch.setattr(V, "PIVOTS", pivots)
+    monkeypatch.setattr(V, "LEVELS", levels)
     rng = np.random.default_rng(9)
     x = clustered(rng, 300)
     labels = [int(v) for v in rng.choice([0, 0, 0, 1], len(x))]
@@ -163,6 +181,40 @@ def test_near_vectors_in_blocks(spark, monkeypatch):
     assert V.near_vectors(df.where("false")).count() == 0
 
 
+def test_near_vectors_of_dense_balls(spark, monkeypatch):
+    """Nodes of which every pair links are settled as a whole, against all pairs."""
+    monkeypatch.setattr(V, "BLOCK", 24)
+    monkeypatch.setattr(V, "PIVOTS", 4)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(3, 16))
+    x = np.concatenate([c + rng.normal(scale=s, size=(90, 16)) for c in centres for s in (0.002, 0.05)])
+    x = np.concatenate([x, x[:40]])
+    rows = [(f"v{i:04d}", [float(f) for f in v], "a", 1, "s") for i, v in enumerate(x)]
+    out = {r.vec_id: r for r in V.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string, place int, unit string")).collect()}
+    want = plain_links(x, 0.98)
+    comps = plain_components(list(range(len(x))), list(map(tuple, np.argwhere(want))))
+    assert [(out[f"v{i:04d}"].n_links, out[f"v{i:04d}"].component_id) for i in range(len(x))] == [(int(n), f"v{comps[i]:04d}") for i, n in enumerate(want.sum(1))]
+
+
+def test_ids_of_text(spark, awkward):
+    """Ids of any type: the same results as with numbers."""
+    rows = awkward.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    a, b = ({str(r.doc_id)[-3:].lstrip("d0"): (r.n_shingles, str(r.component_id).lstrip("d0"), r.kept) for r in M.near_duplicates(d).where("doc_id is not null").collect()} for d in (rows, awkward))
+    assert a == b
+    assert {r.doc_id for r in packing.pack(rows, TOKENIZER).collect()} == {r.doc_id for r in rows.collect()}
+    assert {r.doc_id for r in licences.scan_licences(rows).collect()} == {r.doc_id for r in rows.collect()}
+    good = spark.createDataFrame([("d001",)], "doc_id string")
+    assert {r.doc_id for r in lm_scoring.score(rows, *lm_scoring.train(rows, good)).collect()} == {r.doc_id for r in rows.collect()}
+    assert {r.doc_id for r in langid.identify(rows.select("doc_id", "text"), langid.train(rows)).collect()} == {r.doc_id for r in rows.collect()}
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(7, "some other text that is like no other one at all here"), (7, base), (3, base + " more"), (9, "x " + base), (7, base)]
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(3, 297, 3), (7, 8, 7), (7, 296, 3), (7, 296, 3), (9, 297, 3)]
+
+
 def check_packing(texts, out, encode):
     """texts: (id, text) rows. Every id is in exactly one piece; sequences are gapless."""
     want = Counter()

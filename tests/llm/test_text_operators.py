@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tessera.llm import langid, licences, lm_scoring, pii
 from tessera.llm.queries import QUERIES
@@ -46,13 +47,14 @@ def test_language_id_of_awkward_rows(awkward, nothing):
 
 
 def test_licences():
-    t = licences.Templates(licences.TEMPLATES, 0.8)
+    texts = licences.known_templates()
+    t = licences.Templates(texts, 0.8)
     brute = lambda words: max(((licences.dice(licences.bigrams(words), b), n) for n, b in t.sets), key=lambda x: x[0])
-    for name, text in licences.TEMPLATES.items():
+    for name, text in texts.items():
         assert t.best(licences.normalised(text.upper())) == (name, 1.0)
     rng = np.random.default_rng(3)
-    vocabulary = sorted({w for x in licences.TEMPLATES.values() for w in licences.normalised(x)})
-    for text in licences.TEMPLATES.values():
+    vocabulary = sorted({w for x in licences.NOTICES.values() for w in licences.normalised(x)})
+    for text in texts.values():
         for share in (0.02, 0.1, 0.2):
             words = [w if rng.random() > share else str(rng.choice(vocabulary)) for w in licences.normalised(text)]
             d, _ = brute(words)
@@ -63,10 +65,11 @@ def test_licences():
 
 
 def test_licences_within_a_longer_text():
-    t = licences.Templates(licences.TEMPLATES, 0.8)
+    texts = licences.known_templates()
+    t = licences.Templates(texts, 0.8)
     prose = "The river ran over the stones and the children came down to watch the boats. " * 20
     for name in ("MIT", "Apache-2.0 header", "GPL-3.0 header"):
-        words = licences.TEMPLATES[name].split()
+        words = texts[name].split()
         broken = "\n\n".join(" ".join(words[i : i + len(words) // 3 + 1]) for i in range(0, len(words), len(words) // 3 + 1))
         for text in (f"{prose}\n{broken}\nint main;\n{prose}", f"{prose}{broken} {prose}"):
             assert [h[3] for h in t.scan(text) if h[2] == name] == [1.0]
@@ -75,6 +78,47 @@ def test_licences_within_a_longer_text():
     assert t.scan(prose) == []
 
 
+@pytest.mark.parametrize("name", licences.FULL_TEXTS)
+def test_whole_licences_alone_and_at_the_head_of_a_file(name):
+    text = licences.known_templates()[name]
+    t = licences.Templates(licences.known_templates(), 0.8)
+    commented = "/*\n" + "".join(f" * {line}\n" for line in text.splitlines()) + " */\nint main(void) { return 0; }\n" * 40
+    for whole in (text, f"Copyright (c) 2020 Somebody\n\n{text}\n", commented):
+        assert max(h[3] for h in t.scan(whole) if h[2] == name) >= 0.97
+
+
+def plain_windows(words, b, t):
+    """(first, last word, dice) of the best window from each place where one begins, by trying all."""
+    out = []
+    for i in range(len(words) - 1):
+        if (words[i], words[i + 1]) in b:
+            tried = [(licences.dice(licences.bigrams(words[i : j + 1]), b), -j) for j in range(i + 1, len(words)) if (words[j - 1], words[j]) in b]
+            d, j = max(tried)
+            if d >= t:
+                out.append((i, -j, d))
+    return out
+
+
+def test_windows_equal_all_windows():
+    rng = np.random.default_rng(17)
+    for _ in range(150):
+        templates = {n: " ".join(rng.choice(list("abcdefgh"), rng.integers(3, 12))) for n in ("x", "y")}
+        t = licences.Templates(templates, 0.6)
+        words = [str(w) for w in rng.choice(list("abcdefghijk"), rng.integers(2, 50))]
+        starts = np.cumsum([0] + [len(w) + 1 for w in words]).tolist()
+        for k, (name, b) in enumerate(t.sets):
+            got = sorted((starts.index(a), d) for a, _, n, d in t.windows(" ".join(words), [k]) if n == name)
+            assert got == [(i, d) for i, _, d in plain_windows(words, b, 0.6)]
+            if got:
+                assert k in t.candidates(words)
+
+
+def test_many_licences_in_one_text():
+    t = licences.Templates(licences.known_templates(), 0.8)
+    for text, n in (("Released under the MIT License.\n" * 5000, 5000), ("Released under the MIT License " * 5000, 5000)):
+        assert len(t.scan(text)) >= n * 0.9
+
+
 def test_licences_of_awkward_rows(awkward, nothing):
     assert all(r.n_matches == 0 and r.licence is None for r in licences.scan_licences(awkward).collect())
     assert licences.scan_licences(awkward).count() == awkward.count() and licences.scan_licences(nothing).count() == 0
@@ -153,6 +197,59 @@ def test_personal_data_of_awkward_rows(awkward, nothing):
     assert pii.sanitised(awkward).columns == awkward.columns and pii.sanitised(awkward).where("doc_id = 3").first().text is None
 
 
+def sketch(terms):
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    return tuple(min((signed(xxhash.xxh64_intdigest(t + more, seed=42)) for t in terms), default=None) for more in ("", "#"))
+
+
+def plain_disclosing(texts, matched):
+    """Terms of the highest disclosure over all pairs, counted plainly: term -> action."""
+    terms = [set(re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", t.lower()))) for t in texts]
+    raw = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for t in texts]
+    n, best = len(texts), {}
+    for e in set().union(*matched):
+        docs = [i for i, m in enumerate(matched) if e in m]
+        for t in set().union(*(terms[i] for i in docs)):
+            both = [i for i in docs if t in terms[i]]
+            df_t = sum(t in r for r in raw)
+            if len({sketch(terms[i]) for i in both}) >= pii.EVIDENCE and n > len(docs):
+                d = math.log2(n * len(both) / df_t / len(docs)) / math.log2(n / len(docs))
+                best[t] = max(best.get(t, d), d)
+    return {t: "remove" if d >= pii.REMOVAL else "generalise" for t, d in best.items() if d >= pii.DISCLOSURE}
+
+
+def test_disclosing_terms_equal_plain_counts(spark):
+    rng = np.random.default_rng(23)
+    words = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    weights = 1 / np.arange(1, len(words) + 1)
+    values = [f"p{i}@mail{i % 3}.org" for i in range(12)]
+    texts, matched = [], []
+    for _ in range(160):
+        own = [str(v) for v in rng.choice(values, rng.integers(0, 3), p=np.array([6, 5, 4, 3, 3, 2, 2, 2, 1, 1, 1, 1]) / 31)]
+        names = [f"name{chr(97 + values.index(v))}" for v in own if rng.random() < 0.9]
+        # A word of its own keeps the sketches of different texts apart.
+        texts.append(" ".join([*rng.choice(words, 8, p=weights / weights.sum()), *names, *own, "".join(rng.choice(list("abcdefghij"), 9))]))
+        matched.append(set(own))
+    want = plain_disclosing(texts, matched)
+    found = {}
+    for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.n_term == sum(s.rank == 5 for s in r.spans)
+        found |= {texts[r.doc_id][s.start : s.end].lower(): s.value for s in r.spans if s.rank == 5}
+    covered = {w for v in values for w in re.findall(r"[^\W\d_]{3,}", v)}
+    assert len(want) > 5 and found == {t: a for t, a in want.items() if t not in covered}
+
+
+def test_secrets_and_many_spans(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    many = " ".join(f"a{i}@mail.example.org and {secret[:30]}{i:06d} so" for i in range(25_000))
+    rows = [(1, f'token = "{secret}" here'), (2, "averyveryverylongwordwithoutdigits 12345678901234567890"), (3, many)]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.rank, s.value) for s in out[1].spans] == [(4, secret)] and not out[2].spans
+    assert out[3].n_email == out[3].n_secret == 25_000 and all(many[s.start : s.end] == s.value for s in out[3].spans[::997])
+    clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[1] == 'token = "[SECRET]" here' and clean[3] == " ".join(["[EMAIL] and [SECRET] so"] * 25_000)
+
+
 def test_empty_span_digest(spark, sf):
     r = QUERIES["op4_pii"](spark, sf).where("n_email + n_ip + n_card + n_phone = 0").first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -177,7 +274,9 @@ def test_lm_scores_equal_plain_models(spark, sf, documents):
     docs = documents.orderBy("doc_id").collect()
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
     want = plain_losses([r.text for r in docs], [r.doc_id in good for r in docs])
-    found = {r.doc_id: r for r in QUERIES["op5_lm_scoring"](spark, sf).collect()}
+    found = {r.doc_id: r for r in lm_scoring.score(documents, *lm_scoring.train(documents, spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id"))).collect()}
+    shown = {r.doc_id: r.score for r in QUERIES["op5_lm_scoring"](spark, sf).collect()}
+    assert shown == {i: None if r.score is None else pytest.approx(r.score, abs=1e-6) for i, r in found.items()}
     for d, (t, b) in zip(docs, want, strict=True):
         r = found[d.doc_id]
         assert r.target_loss == pytest.approx(t, abs=1e-9) and r.background_loss == pytest.approx(b, abs=1e-9) and r.score == pytest.approx(t - b, abs=1e-9)
