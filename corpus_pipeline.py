@@ -1,25 +1,29 @@
 """The training-corpus pipeline: language ID, exact dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns of
-documents. Null texts are rejected by the first stage as they hold no letter; null ids and sources pass through.
+documents. Null texts are rejected by the first stage as they hold no letter; null ids and sources pass through. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, langid, minmax_dedup, mixing, packing
-from tessera.llm.shared import carried, load, shared_dir
+from tessera.llm.shared import carried, cut, discard, load, mark, release
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is identified; `lang` stays as it is given."""
+    """Rejects documents without a letter, and those of whose words the model knows not even one character.
+
+    `lang` stays as it is given. Without labelled rows there is no model, and nothing is rejected.
+    """
     model = langid.train(docs)
+    if not model.languages:
+        return docs
     rows = carried(docs).withColumn("text", F.col("row.text").cast("string"))
-    return langid.identify(rows, model).where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    return langid.identify(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("known") > 0)).select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/corpus-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+    """The stages one after the other; what a stage wrote on its way is deleted once its result is written."""
+    docs, before = load(spark, sf_dir, "documents"), []
+    for k, (name, stage) in enumerate(STAGES):
+        since = mark()
+        found = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return found
+        docs = cut(found, f"corpus-{name.replace(' ', '-')}")
+        release(since, docs)
+        discard(*before)
+        before = [docs]
     return docs
