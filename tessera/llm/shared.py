@@ -76,10 +76,13 @@ def mark() -> int:
     return len(_written)
 
 
-def release(since: int) -> None:
-    """Deletes the tables that cut() wrote since a mark(); whatever was built on them must have been written."""
-    while len(_written) > since:
-        _delete(*_written.pop())
+def release(since: int, *kept: DataFrame) -> None:
+    """Deletes the tables that cut() wrote since a mark(), but for those kept; whatever was built on them must have been written."""
+    stay = {df._tessera_path for df in kept}
+    for spark, path in _written[since:]:
+        if path not in stay:
+            _written.remove((spark, path))
+            _delete(spark, path)
 
 
 @atexit.register

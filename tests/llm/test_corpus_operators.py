@@ -394,6 +394,27 @@ def test_pipeline(spark, sf, documents):
     check_packing([(r.doc_id, r.text) for r in seen[3]], seen[4], lambda t: slow.encode(t, add_special_tokens=False).ids)
 
 
+def test_pipeline_deletes_what_it_no_longer_needs(spark, tmp_path, documents):
+    import corpus_pipeline
+    from tessera.llm import shared
+
+    documents.withColumn("lang", F.lit(None).cast("string")).write.parquet(str(tmp_path / "documents.parquet"))
+    since = shared.mark()
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [path.rsplit("/", 1)[1].split("-")[1] for _, path in shared._written[since:]]
+    assert rows and left.count("corpus") == 1 and not {"hashes", "signed", "sizes"} & set(left)
+    # No label, no model: no document is rejected.
+    assert corpus_pipeline.identify_language(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").count() == documents.count()
+
+
+def test_pipeline_rejects_scripts_that_no_label_has(spark, documents):
+    import corpus_pipeline
+
+    own = spark.createDataFrame([(-1, "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35 \u0e04\u0e23\u0e31\u0e1a", None, "t", 9), (-2, "1234", None, "t", 4), (-3, "the river", None, "t", 9)], documents.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, documents.unionByName(own), "").collect()}
+    assert -1 not in kept and -2 not in kept and -3 in kept
+
+
 def test_pipeline_of_awkward_rows(spark, awkward, nothing, sf):
     import corpus_pipeline
 
