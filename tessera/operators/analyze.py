@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,15 +86,19 @@ def moments(df: DataFrame, variables: list[str], group_by: list[tuple[str, int]]
     return rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
 
 
-def collected_moments(df: DataFrame, k: int) -> list[dict]:
-    rows = [r.asDict() for r in df.collect()]
+def check_finite(rows: list[dict], k: int) -> list[dict]:
+    """Rows of moments of k variables; a sum, a sum of squares or a cross sum that is not finite is an error."""
     for r in rows:
-        for i in range(k):
-            if any(abs(r[f"{s}_{i}"]) == float("inf") or r[f"{s}_{i}"] != r[f"{s}_{i}"] for s in ("sum", "sumsq")):
-                raise NonFiniteValue(f"moment of variable {i}")
+        for name in [f"{s}_{i}" for i in range(k) for s in ("sum", "sumsq")] + [f"cross_{i}_{j}" for i, j in itertools.combinations(range(k), 2)]:
+            if not math.isfinite(r[name]):
+                raise NonFiniteValue(f"moment {name}")
     return rows
 
 
+def collected_moments(df: DataFrame, k: int) -> list[dict]:
+    return check_finite([r.asDict() for r in df.collect()], k)
+
+
 def stratified_effect(df: DataFrame, objective: Objective, treated: list[Constraint], adjust: list[tuple[str, int]] = (), random_bins: int = 0, seed: int = 0, sample: DataFrame | None = None) -> DataFrame:
     """(stratum..., n, seg_n, seg_agg, base_n, base_agg): the objective inside and outside a segment in each stratum.
 
@@ -117,32 +122,52 @@ def stratified_effect(df: DataFrame, objective: Objective, treated: list[Constra
     return rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
 
 
+#: Rows of one range of draws that may be sorted to find the last ones of a sample.
+SORTED_ROWS = 20_000
+
+
 def exact_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     """round(fraction * n) rows drawn without replacement; all rows for fraction 1.
 
-    Rows are ordered by a seeded hash of their place. Counts of the hash's top bits say which buckets are in; only the one
-    bucket on the edge, 1 / 4096 of the rows, is sorted.
+    Rows are ordered by a seeded hash of their content, so a sample depends on the rows alone, not on how they are split or
+    read. Counts of the draws' leading bits, 12 bits more in each pass, say which ranges are in, until the range on the edge is
+    small. Rows that share a draw to its last bit are equal, so it does not matter which of them are taken; they are told apart by place.
     """
     if not 0 < fraction <= 1:
         raise RequestShape(f"fraction {fraction}")
     if fraction == 1:
         return df
-    draw, bucket = free_name(df, "draw"), free_name(df, "bucket")
-    drawn = df.withColumn(draw, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))).withColumn(bucket, F.shiftrightunsigned(draw, 52).cast("int"))
-    counts = {r[bucket]: r["count"] for r in drawn.groupBy(bucket).count().collect()}  # at most 4096
-    wanted = round(fraction * sum(counts.values()))
-    for edge in sorted(counts):
-        if counts[edge] >= wanted:
+    draw, place = free_name(df, "draw"), free_name(df, "place")
+    content = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    rows = df.withColumn(draw, F.xxhash64(F.lit(seed), *content)).withColumn(place, F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    wanted, parts, edge = None, [], rows
+    for column, shift in [(c, 64 - 12 * k) for c in (draw, place) for k in range(1, 6)]:
+        leading = F.shiftrightunsigned(F.col(column), shift)
+        counts = {r[0]: r[1] for r in edge.groupBy(leading).count().collect()}  # at most 4096
+        if wanted is None:
+            wanted = round(fraction * sum(counts.values()))
+        inside = []
+        for bits in sorted(counts):
+            if counts[bits] > wanted:
+                break
+            inside.append(bits)
+            wanted -= counts[bits]
+        else:
+            parts.append(edge)
             break
-        wanted -= counts[edge]
-    else:
-        return df
-    inside, on_edge = drawn.where(F.col(bucket) < edge), drawn.where(F.col(bucket) == edge).orderBy(draw).limit(wanted)
-    return inside.unionByName(on_edge).drop(draw, bucket)
+        parts.append(edge.where(leading < bits) if inside else edge.where("false"))
+        edge = edge.where(leading == bits)
+        if not wanted or counts[bits] <= SORTED_ROWS:
+            parts.append(edge.orderBy(draw, place).limit(wanted))
+            break
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.drop(draw, place)
 
 
-def sampled_effect(df: DataFrame, objective: Objective, treated: list[Constraint], adjust: list[tuple[str, int]] = (), fraction: float = 0.7, seed: int = 0, exact: bool = False) -> DataFrame:
-    """A stratified effect over a sample; Bernoulli by default, which needs no sort."""
+def sampled_effect(df: DataFrame, objective: Objective, treated: list[Constraint], adjust: list[tuple[str, int]] = (), fraction: float = 0.7, seed: int = 0, exact: bool = True) -> DataFrame:
+    """A stratified effect over a sample of a fixed size; with exact=False a Bernoulli sample, which needs no pass of its own."""
     if not 0 < fraction <= 1:
         raise RequestShape(f"fraction {fraction}")
     rows = exact_sample(df, fraction, seed) if exact or fraction == 1 else df.sample(False, fraction, seed)

@@ -1,7 +1,8 @@
 """Causal discovery over columns: conditional-independence tests, a level-wise skeleton sweep, and edge orientation.
 
-All data access is through contingency tables and moments, so a test costs one aggregation; the tests of one level are independent
-of each other and are started together.
+All data access is through contingency tables and moments. The tests of one level are independent of each other, so a level takes
+their tables and moments together: each row becomes one narrow row for every distinct set of columns asked about, which partial
+aggregation folds at once, and a level costs a scan for every AT_ONCE sets, not one for every test.
 """
 
 from __future__ import annotations
@@ -9,16 +10,20 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions import statistics as S
-from tessera.operators.analyze import all_cuts, collected_moments, contingency, moments
+from tessera.operators.analyze import all_cuts, check_finite, group_keys
+from tessera.plans.errors import RequestError
+from tessera.sources.profile import resolve
 
 # Defaults of the sweep.
-ALPHA, MAX_CONDITIONS, BINS, COLUMN_CAP, MAX_TESTS, AT_ONCE = 0.05, 2, 4, 50, 20_000, 8
+ALPHA, MAX_CONDITIONS, BINS, COLUMN_CAP, MAX_TESTS = 0.05, 2, 4, 50, 20_000
+#: Column sets whose tables or moments come from one scan.
+AT_ONCE = 128
 TESTED, UNKNOWN, CAPPED = "tested", "unknown", "budget_capped"
 
 
@@ -35,29 +40,107 @@ def edge(a: str, b: str) -> Edge:
     return (a, b) if a < b else (b, a)
 
 
-def independence_p(df: DataFrame, x: Variable, y: Variable, given: list[Variable] = (), bins: int = BINS, cuts: dict[str, list[float]] | None = None) -> float | None:
-    """p-value of independence; None if untestable.
+Asked = tuple[str, str, tuple[str, ...]]
+
+
+def present(df: DataFrame) -> DataFrame:
+    """Rows without nulls; a NaN is a value, which the sums will show."""
+    for c in df.columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
+def moments_of_sets(df: DataFrame, sets: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[tuple, list[dict]]:
+    """For (variables, groups) the rows that collected_moments has, of complete cases; several sets from one scan."""
+    out: dict[tuple, list[dict]] = {s: [] for s in sets}
+    for at in range(0, len(sets), AT_ONCE):
+        part = sets[at : at + AT_ONCE]
+        k, g = max(len(v) for v, _ in part), max(len(x) for _, x in part)
+        values = lambda v: [resolve(df.schema, n).column.cast("double") for n in v] + [F.lit(0.0)] * (k - len(v))
+        keys = lambda x: [resolve(df.schema, n).column.cast("string") for n in x] + [F.lit("")] * (g - len(x))
+        wide = F.array(*[F.struct(F.lit(i).alias("set"), *[c.alias(f"g{j}") for j, c in enumerate(keys(x))], *[c.alias(f"v{j}") for j, c in enumerate(values(v))]) for i, (v, x) in enumerate(part)])
+        names = [f"g{j}" for j in range(g)]
+        rows = present(df.select(F.explode(wide).alias("x")).select("x.*"))
+        own = [F.col(f"v{j}") for j in range(k)]
+        aggregates = [F.count("*").alias("n")]
+        for i, c in enumerate(own):
+            aggregates += [F.sum(c).alias(f"sum_{i}"), F.sum(c * c).alias(f"sumsq_{i}")]
+        aggregates += [F.sum(own[i] * own[j]).alias(f"cross_{i}_{j}") for i, j in itertools.combinations(range(k), 2)]
+        for r in rows.groupBy("set", *names).agg(*aggregates).collect():  # bounded by sets and categories
+            out[part[r["set"]]].append(r.asDict())
+    for (variables, _), rows in out.items():
+        rows.sort(key=lambda r: tuple(v for f, v in r.items() if f.startswith("g")))
+        if not rows:  # as over no rows at all
+            rows.append({"n": 0} | {f"{f}_{i}": 0.0 for f in ("sum", "sumsq") for i in range(len(variables))} | {f"cross_{i}_{j}": 0.0 for i, j in itertools.combinations(range(len(variables)), 2)})
+    return out
+
+
+def tables_of_sets(df: DataFrame, sets: list[tuple[str, ...]], by: dict[str, Variable], bins: int, cuts: dict[str, list[float]]) -> dict[tuple, dict[tuple, int]]:
+    """For each set of columns its contingency table over complete cases, numbers in bins; several sets from one scan."""
+    out: dict[tuple, dict[tuple, int]] = {s: {} for s in sets}
+    for at in range(0, len(sets), AT_ONCE):
+        part = sets[at : at + AT_ONCE]
+        width = max(map(len, part))
+        used = sorted({n for s in part for n in s})
+        keyed = df.select(*[F.when(resolve(df.schema, n).column.isNotNull(), group_keys(df, [(n, bins if by[n].numeric else 0)], cuts)[0]).alias(f"k{i}") for i, n in enumerate(used)])
+        place = {n: F.col(f"k{i}") for i, n in enumerate(used)}
+        wide = F.array(*[F.struct(F.lit(i).alias("set"), *[(place[s[j]] if j < len(s) else F.lit("")).alias(f"c{j}") for j in range(width)]) for i, s in enumerate(part)])
+        rows = present(keyed.select(F.explode(wide).alias("x")).select("x.*"))
+        for r in rows.groupBy("set", *[f"c{j}" for j in range(width)]).agg(F.count("*").alias("n")).collect():  # bounded by bins and categories
+            own = part[r["set"]]
+            out[own][tuple(r)[1 : 1 + len(own)]] = r["n"]
+    return out
+
+
+def independence_ps(df: DataFrame, by: dict[str, Variable], asked: list[Asked], bins: int = BINS, cuts: dict[str, list[float]] | None = None) -> list[float | None | RequestError]:
+    """p-values of independence of the first two of each test given the others; None if untestable, an error if the data are at fault.
 
     Two numbers: Fisher z of the (partial) correlation, pooled over the strata of categorical conditions. Otherwise a conditional
     G-test, numbers in quantile bins.
     """
-    categorical, numbers = [g for g in given if not g.numeric], [g for g in given if g.numeric]
-    if x.numeric and y.numeric:
-        names = [x.name, y.name, *(g.name for g in numbers)]
-        rows = collected_moments(moments(df, names, [(g.name, 0) for g in categorical]), len(names))
-        tests = []
-        for r in rows:
-            k = range(len(names))
-            m = S.correlation_matrix(r["n"], [r[f"sum_{i}"] for i in k], [r[f"sumsq_{i}"] for i in k], {(i, j): r[f"cross_{i}_{j}"] for i, j in itertools.combinations(k, 2)})
-            if m is not None and (rho := S.partial_correlation(m)) is not None:
-                tests.append((rho, r["n"]))
-        if not categorical:
-            return S.fisher_p(*tests[0], len(numbers)) if tests else None
-        return S.pooled_fisher_p([t[0] for t in tests], [t[1] for t in tests], len(numbers)) if tests else None
-    columns = [(v.name, bins if v.numeric else 0) for v in (x, y, *given)]
-    cells = {tuple(r[:-1]): r[-1] for r in contingency(df, columns, cuts=cuts).collect()}  # bounded by bins and categories
-    found = S.conditional_g(cells)
-    return None if found is None else found[2]
+    plans, wanted, tables = [], {}, {}
+    for a, b, given in asked:
+        groups, numbers = tuple(g for g in given if not by[g].numeric), tuple(g for g in given if by[g].numeric)
+        if by[a].numeric and by[b].numeric:
+            plans.append((True, ((a, b, *numbers), groups)))
+            wanted[plans[-1][1]] = None
+        else:
+            plans.append((False, (a, b, *given)))
+            tables[plans[-1][1]] = None
+    if cuts is None:
+        cuts = all_cuts(df, sorted({n for t in tables for n in t if by[n].numeric}), bins)
+    found, cells = moments_of_sets(df, list(wanted)), tables_of_sets(df, list(tables), by, bins, cuts)
+    out: list[float | None | RequestError] = []
+    for by_moments, key in plans:
+        if by_moments:
+            try:
+                out.append(correlation_p(check_finite(found[key], len(key[0])), len(key[0]), bool(key[1])))
+            except RequestError as error:
+                out.append(error)
+        else:
+            g = S.conditional_g(cells[key])
+            out.append(None if g is None else g[2])
+    return out
+
+
+def correlation_p(rows: list[dict], k: int, pooled: bool) -> float | None:
+    """Of the moments of k variables in each stratum: the first two given the others."""
+    tests = []
+    for r in rows:
+        m = S.correlation_matrix(r["n"], [r[f"sum_{i}"] for i in range(k)], [r[f"sumsq_{i}"] for i in range(k)], {(i, j): r[f"cross_{i}_{j}"] for i, j in itertools.combinations(range(k), 2)})
+        if m is not None and (rho := S.partial_correlation(m)) is not None:
+            tests.append((rho, r["n"]))
+    if not tests:
+        return None
+    return S.pooled_fisher_p([t[0] for t in tests], [t[1] for t in tests], k - 2) if pooled else S.fisher_p(*tests[0], k - 2)
+
+
+def independence_p(df: DataFrame, x: Variable, y: Variable, given: list[Variable] = (), bins: int = BINS, cuts: dict[str, list[float]] | None = None) -> float | None:
+    """One test of independence_ps."""
+    (p,) = independence_ps(df, {v.name: v for v in (x, y, *given)}, [(x.name, y.name, tuple(g.name for g in given))], bins, cuts)
+    if isinstance(p, RequestError):
+        raise p
+    return p
 
 
 @dataclass
@@ -69,12 +152,27 @@ class Skeleton:
     tests: int = 0
     truncated: bool = False
     excluded: list[str] = field(default_factory=list)
+    #: Every column that was tested, whether or not an edge of it is left.
+    columns: list[str] = field(default_factory=list)
 
     def neighbours(self, v: str) -> set[str]:
         return {b if a == v else a for a, b in self.edges if v in (a, b)}
 
 
 Test = Callable[[str, str, tuple[str, ...]], float | None]
+Tests = Callable[[list[Asked]], list[float | None | RequestError]]
+
+
+def one_by_one(test: Test) -> Tests:
+    """A test of one pair as a test of many; only an error of the request or its data is a result, any other is raised."""
+
+    def tried(a: str, b: str, given: tuple[str, ...]) -> float | None | RequestError:
+        try:
+            return test(a, b, given)
+        except RequestError as error:
+            return error
+
+    return lambda asked: [tried(*x) for x in asked]
 
 
 def independent(ps: list[float], alpha: float, correction: str = "bh") -> list[bool]:
@@ -82,23 +180,27 @@ def independent(ps: list[float], alpha: float, correction: str = "bh") -> list[b
     return [not r for r in S.benjamini_hochberg(ps, alpha)] if correction == "bh" else [p > alpha for p in ps]
 
 
-def capped_columns(names: list[str], priority: list[str], test: Test, cap: int = COLUMN_CAP) -> tuple[list[str], list[str]]:
+def capped_columns(names: list[str], priority: list[str], tests: Tests, cap: int = COLUMN_CAP) -> tuple[list[str], list[str]]:
     """Priority columns first, then those most associated with one of them, ties by name; the others are left out."""
     if len(names) <= cap:
         return list(names), []
     first = list(dict.fromkeys(p for p in priority if p in names))[:cap]
-    strength = {n: min([1.0, *(p for q in first if (p := test(n, q, ())) is not None)]) for n in names if n not in first}
+    asked = [(n, q, ()) for n in names if n not in first for q in first]
+    strength = {n: 1.0 for n in names if n not in first}
+    for (n, _, _), p in zip(asked, tests(asked), strict=True):
+        if isinstance(p, float):
+            strength[n] = min(strength[n], p)
     chosen = first + sorted(strength, key=lambda n: (strength[n], n))[: cap - len(first)]
     return chosen, sorted(set(names) - set(chosen))
 
 
-def skeleton(names: list[str], test: Test, alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, max_tests: int = MAX_TESTS, correction: str = "bh", at_once: int = AT_ONCE) -> Skeleton:
+def skeleton(names: list[str], tests: Tests, alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, max_tests: int = MAX_TESTS, correction: str = "bh") -> Skeleton:
     """Starts complete and removes independent pairs level by level.
 
     Conditioning sets come from both ends' neighbours at the start of a level and removals are made at its end, so the result
-    does not depend on the order of pairs. A pair with a failed test is kept as unknown.
+    does not depend on the order of pairs. A pair with a failed test is kept as unknown; tests are asked for a whole level.
     """
-    out = Skeleton({edge(a, b) for a, b in itertools.combinations(sorted(names), 2)})
+    out = Skeleton({edge(a, b) for a, b in itertools.combinations(sorted(names), 2)}, columns=list(names))
     out.status = dict.fromkeys(out.edges, TESTED)
     for level in range(max_conditions + 1):
         pool = {e: sorted((out.neighbours(e[0]) | out.neighbours(e[1])) - set(e)) for e in sorted(out.edges)}
@@ -112,12 +214,11 @@ def skeleton(names: list[str], test: Test, alpha: float = ALPHA, max_conditions:
         asked = [(e, s) for e, c in pool.items() for s in itertools.combinations(c, level)]
         if not asked:
             break
-        with ThreadPoolExecutor(at_once) as threads:
-            results = list(threads.map(lambda x: _tried(test, *x), asked))
+        results = tests([(*e, given) for e, given in asked])
         out.tests += len(asked)
-        done = [(e, s, p) for (e, s), (ok, p) in zip(asked, results, strict=True) if ok and p is not None]
-        for (e, _), (ok, _) in zip(asked, results, strict=True):
-            if not ok:
+        done = [(e, given, p) for (e, given), p in zip(asked, results, strict=True) if isinstance(p, float)]
+        for (e, _), p in zip(asked, results, strict=True):
+            if isinstance(p, RequestError):
                 out.status[e] = UNKNOWN
         drop: dict[Edge, tuple] = {}
         for (e, s, p), free in zip(done, independent([p for *_, p in done], alpha, correction), strict=True):
@@ -132,13 +233,6 @@ def skeleton(names: list[str], test: Test, alpha: float = ALPHA, max_conditions:
     return out
 
 
-def _tried(test: Test, e: Edge, s: tuple[str, ...]) -> tuple[bool, float | None]:
-    try:
-        return True, test(*e, s)
-    except Exception:  # a failed test keeps its edge as unknown
-        return False, None
-
-
 class Orientation:
     """Directed and undirected edges of a skeleton."""
 
@@ -219,9 +313,9 @@ def variables(profile: list[dict]) -> list[Variable]:
 def discover(df: DataFrame, columns: list[Variable], priority: Iterable[str] = (), alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, bins: int = BINS, max_tests: int = MAX_TESTS, correction: str = "bh", column_cap: int = COLUMN_CAP, prior=None) -> tuple[Skeleton, Orientation]:
     by = {v.name: v for v in columns}
     cuts = all_cuts(df, [v.name for v in columns if v.numeric], bins)
-    test = lambda a, b, s: independence_p(df, by[a], by[b], [by[x] for x in s], bins, cuts)
-    names, excluded = capped_columns([v.name for v in columns], list(priority), test, column_cap)
-    found = skeleton(names, test, alpha, max_conditions, max_tests, correction)
+    tests = lambda asked: independence_ps(df, by, asked, bins, cuts)
+    names, excluded = capped_columns([v.name for v in columns], list(priority), tests, column_cap)
+    found = skeleton(names, tests, alpha, max_conditions, max_tests, correction)
     found.excluded = excluded
     return found, oriented(found, prior)
 

@@ -29,15 +29,20 @@ class Plan:
 
 
 def adjustment(graph: Orientation, objective: Objective, treated: list[Constraint]) -> Plan:
-    """The treatment columns' parents, without treatment and outcome. An open edge at a treatment or adjusted column blocks."""
+    """The treatment columns' parents, without treatment and outcome. An open edge at a treatment or adjusted column blocks.
+
+    Names are compared whatever their case. A treatment column that was tested and has no edge left has no parents; one that was
+    not tested is not identifiable.
+    """
     if objective.expression.has_window():
         return Plan(UNSUPPORTED)
-    treatment, outcome = {c.field for c in treated}, set(objective.expression.columns())
-    known = set(graph.nodes())
-    if not treatment <= known:
-        return Plan(NOT_IDENTIFIABLE, blocking=tuple(sorted(treatment - known)))
-    parents = {a for a, b in graph.directed if b in treatment} - treatment - outcome
-    open_ = sorted(f"{a} - {b}" for a, b in graph.open if {a, b} & (treatment | parents))
+    lower = lambda names: {n.lower() for n in names}
+    treatment, outcome = lower(c.field for c in treated), lower(objective.expression.columns())
+    known = lower([*graph.found.columns, *graph.nodes()])
+    if unknown := [c.field for c in treated if c.field.lower() not in known]:
+        return Plan(NOT_IDENTIFIABLE, blocking=tuple(sorted(set(unknown))))
+    parents = {a for a, b in graph.directed if b.lower() in treatment and a.lower() not in treatment | outcome}
+    open_ = sorted(f"{a} - {b}" for a, b in graph.open if {a.lower(), b.lower()} & (treatment | lower(parents)))
     return Plan(NOT_IDENTIFIABLE, tuple(sorted(parents)), tuple(open_)) if open_ else Plan("", tuple(sorted(parents)))
 
 
@@ -113,8 +118,10 @@ def stability(rows: list[dict], reference: float, draws: int = DRAWS, band: floa
 
 def placebo_columns(profile: list[dict], graph: Orientation, treatment: set[str], outcome: set[str], adjust: tuple[str, ...]) -> list[dict]:
     """Text columns with known values that neither take part nor touch the outcome."""
-    near = {v for o in outcome for v in graph.found.neighbours(o)}
-    return [c for c in profile if c["type"] == "string" and c["values"] and len(c["values"]) > 1 and c["name"] not in treatment | outcome | near | set(adjust)]
+    out = {o.lower() for o in outcome}
+    near = {v for e in graph.found.edges for v in e if {x.lower() for x in e} & out}
+    taken = {n.lower() for n in treatment | near | set(adjust)} | out
+    return [c for c in profile if c["type"] == "string" and c["values"] and len(c["values"]) > 1 and c["name"].lower() not in taken]
 
 
 def verify(df: DataFrame, objective: Objective, treated: list[Constraint], graph: Orientation, profile: list[dict], finding: str = "", tau: float = TAU, floor: int = SUPPORT_FLOOR, draws: int = DRAWS) -> Verification:

@@ -7,6 +7,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+from tessera.functions.statistics import shrunk_score
 from tessera.operators.measure import Measurement
 from tessera.plans.canonical import component, key
 from tessera.plans.errors import RequestError
@@ -37,7 +38,8 @@ class Finding:
 class Atom:
     constraint: Constraint
     sources: set[str] = field(default_factory=set)
-    prior: float = 1.0
+    #: What a critic's ranking gave its column; 0 if nothing ranked it.
+    prior: float = 0.0
 
     @property
     def key(self) -> str:
@@ -171,21 +173,34 @@ def beam(search: Search, atoms: list[Atom], width: int = BEAM_WIDTH) -> Search:
     return search
 
 
+@dataclass(frozen=True)
+class Proposal:
+    """A whole conjunction taken from a heuristic, with the similarity it was retrieved by."""
+
+    segment: tuple[Constraint, ...]
+    prior: float = 0.0
+    heuristic: str = ""
+
+
 class _Place:
-    """A segment in the tree: its moves still to try, its visits and the sum of its normalised gains."""
+    """A measured segment in the tree: its moves still to try, its visits and the sum of what was found at and below it."""
 
-    def __init__(self, segment: list[Constraint], moves: list[Atom], prior: float):
-        self.segment, self.moves, self.prior = segment, moves, prior
+    def __init__(self, segment: list[Constraint], prior: float, moves: Iterable[Atom], parent: _Place | None = None):
+        self.segment, self.prior, self.parent, self.moves = segment, prior, parent, list(moves)
         self.children: list[_Place] = []
-        self.visits, self.gain = 0, 0.0
+        self.visits, self.total, self.spent = 0, 0.0, False
+
+    @property
+    def estimate(self) -> float:
+        return self.total / self.visits if self.visits else 0.0
 
 
-def column_rounds(atoms: list[Atom]) -> list[Atom]:
-    """One atom of each column in every round, columns by their best prior."""
+def column_rounds(atoms: list[Atom], floor: float = 0.0) -> list[Atom]:
+    """One atom of each column in every round, columns by their prior, the strongest first, otherwise in order."""
     columns: dict[str, list[Atom]] = {}
-    for a in sorted(atoms, key=lambda a: (-a.prior, a.key)):
+    for a in atoms:
         columns.setdefault(a.constraint.field.lower(), []).append(a)
-    ranked = sorted(columns.values(), key=lambda c: (-c[0].prior, c[0].key))
+    ranked = sorted(columns.values(), key=lambda c: -(c[0].prior if c[0].prior > 0 else floor))
     return [a for row in itertools.zip_longest(*ranked) for a in row if a]
 
 
@@ -193,70 +208,74 @@ def causal_multiplier(sources: Iterable[str], confidence: dict[str, float], scal
     return 1 + scale * max((confidence.get(s, 0.0) for s in sources), default=0.0)
 
 
-def tree_search(search: Search, atoms: list[Atom], proposals: list[tuple[list[Constraint], float]] = (), confidence: dict[str, float] | None = None, exploration: float = EXPLORATION, proposal_share: float = PROPOSAL_SHARE) -> Search:
-    """Expands before it descends, then follows prior-weighted upper confidence bounds; proposals get a share of the budget at the root."""
-    known = confidence or {}
-    ordered = column_rounds(atoms)
-    by_key = {a.key: a for a in atoms}
-    weight = {a.key: a.prior * causal_multiplier(a.sources, known) for a in atoms}
-    root = _Place([], list(ordered), 1.0)
-    waiting = [(s, p) for s, p in proposals if 2 <= len(s) <= search.max_order and not contradictory(s)]
-    proposed, low, high, claimed = 0, math.inf, -math.inf, set()
-
-    def moves_of(segment: list[Constraint]) -> list[Atom]:
-        return [] if len(segment) >= search.max_order else [a for a in ordered if not contradictory([*segment, a.constraint])]
-
-    def try_move(at: _Place) -> list[Constraint] | None:
-        while at.moves:
-            a = at.moves.pop(0)
-            s = [*at.segment, a.constraint]
-            if (k := key(s)) not in claimed and not search.starved(s):
-                claimed.add(k)
-                return s
-        return None
+def tree_search(search: Search, atoms: list[Atom], proposals: Iterable[Proposal] = (), confidence: dict[str, float] | None = None, exploration: float = EXPLORATION, proposal_share: float = PROPOSAL_SHARE, causal_scale: float = CAUSAL_SCALE) -> Search:
+    """Expands before it descends, then follows prior-weighted upper confidence bounds.
+
+    A measured segment is worth its shrunk gain times the causal weight of what it was built from (its atoms' findings, or the
+    heuristic that proposed it), and nothing if it failed. A place's estimate is the mean worth at and below it; children are
+    ranked by their estimate now, scaled to the range of all estimates so far. Proposals are tried at the root, the strongest
+    first, as long as they have had less than their share of the root's expansions; they are pruned by support like any segment.
+    """
+    known, offered = confidence or {}, sorted(proposals, key=lambda p: (-p.prior, p.heuristic))
+    floor = 1 / max(1, len(atoms) + len(offered))
+    ordered = column_rounds(atoms, floor)
+    sources = {a.key: a.sources for a in atoms}
+    offered = [p for p in offered if 2 <= len(p.segment) <= search.max_order and not contradictory(p.segment)]
+    root = _Place([], 1.0, ordered)
+    claimed, expanded, taken = {key([])}, 0, 0
+    low, high = math.inf, -math.inf
+
+    def admissible(segment: list[Constraint]) -> bool:
+        return len(segment) <= search.max_order and key(segment) not in claimed and not contradictory(segment) and not search.starved(segment)
+
+    def peek(at: _Place) -> Proposal | Atom | None:
+        """The next move; one that is not admissible now never will be again."""
+        while at is root and offered and not admissible(list(offered[0].segment)):
+            offered.pop(0)
+        while at.moves and not admissible([*at.segment, at.moves[0].constraint]):
+            at.moves.pop(0)
+        if at is root and offered and (not at.moves or (taken < proposal_share * expanded if expanded else proposal_share > 0)):
+            return offered[0]
+        return at.moves[0] if at.moves else None
+
+    def settle(at: _Place) -> bool:
+        """Whether nothing is left to try at or below a place."""
+        if not at.spent:
+            at.spent = all([settle(c) for c in at.children]) and peek(at) is None
+        return at.spent
+
+    def rank(parent: _Place, child: _Place) -> tuple[float, str]:
+        scaled = (child.estimate - low) / (high - low) if high > low else 0.0
+        return -(scaled + exploration * child.prior * math.sqrt(parent.visits) / (1 + child.visits)), key(child.segment)
 
     while not search.stopped:
-        path, segment, prior = [root], None, 1.0
-        if waiting and proposed < proposal_share * (len(search.seen) + 1):
-            segment, prior = waiting.pop(0)
-            proposed += 1
-            if key(segment) in claimed:
-                continue
-            claimed.add(key(segment))
-        while segment is None:
-            at = path[-1]
-            segment = try_move(at)
-            if segment is not None:
-                prior = weight.get(component(segment[-1]), 1.0)
-                break
-            live = [c for c in at.children if c.moves or c.children]
-            if not live:
-                at.children = []
-                if len(path) == 1:
-                    break
-                path.pop()
-                continue
-            total = math.sqrt(max(1, at.visits))
-            path.append(min(live, key=lambda c: (-(c.gain / max(1, c.visits) + exploration * c.prior * total / (1 + c.visits)), key(c.segment))))
-        if segment is None:
-            if waiting:
-                proposed = -len(waiting)
-                continue
+        if settle(root):
             search.stopped = "exhausted"
             break
+        at = root
+        while (move := peek(at)) is None:
+            at = min((c for c in at.children if not c.spent), key=lambda c, parent=at: rank(parent, c))
+        if isinstance(move, Proposal):
+            segment, built_from = list(offered.pop(0).segment), {move.heuristic}
+            taken += 1
+        else:
+            segment, built_from = [*at.segment, at.moves.pop(0).constraint], set()
+        expanded += at is root
+        k = key(segment)
         if not search.run([segment]):
             break
-        k = key(segment)
-        d = search.delta(k)
-        child = _Place(segment, [] if search.below_floor(k) else moves_of(segment), prior)
-        path[-1].children.append(child)
-        if math.isfinite(d):
-            low, high = min(low, d), max(high, d)
-        gain = (d - low) / (high - low) if math.isfinite(d) and high > low else 0.5 if math.isfinite(d) else 0.0
-        for p in (*path, child):
-            p.visits += 1
-            p.gain += gain
-    del by_key
+        claimed.add(k)
+        for c in segment:
+            built_from |= sources.get(component(c), set())
+        m = search.seen[k]
+        worth = 0.0 if m is None else shrunk_score(search.delta(k), m.support, search.min_support) * causal_multiplier(built_from, known, causal_scale)
+        child = _Place(segment, move.prior if move.prior > 0 else floor, () if search.below_floor(k) else ordered, at)
+        at.children.append(child)
+        while child is not None:
+            child.visits += 1
+            child.total += worth
+            low, high = min(low, child.estimate), max(high, child.estimate)
+            child = child.parent
     return search
 
 
@@ -327,18 +346,18 @@ def schema_proposer(atoms: list[Atom], measure: Measure, objective: Objective, b
     return propose
 
 
-def grounded(retrieved: list[tuple[str, list[list[Constraint]], float]], columns: list[dict], max_order: int = MAX_ORDER, kept_each: int = 3, tried_each: int = 9) -> list[tuple[list[Constraint], float]]:
+def grounded(retrieved: list[tuple[str, list[list[Constraint]], float]], columns: list[dict], max_order: int = MAX_ORDER, kept_each: int = 3, tried_each: int = 9) -> list[Proposal]:
     """Proposals from retrieved heuristics (id, conjunctions, distance): of known columns and values, prior 1 - distance / 2."""
     from tessera.sources.profile import unknown_columns, unknown_values
 
     names, out = [c["name"] for c in columns], []
-    for _, conjunctions, distance in retrieved:
+    for heuristic, conjunctions, distance in retrieved:
         kept = 0
         for s in conjunctions[:tried_each]:
             if kept == kept_each:
                 break
             if 2 <= len(s) <= max_order and not contradictory(s) and not unknown_columns([c.field for c in s], names) and not unknown_values(s, columns):
-                out.append((list(s), 1 - distance / 2))
+                out.append(Proposal(tuple(s), 1 - distance / 2, heuristic))
                 kept += 1
     return out
 

@@ -14,10 +14,10 @@ from tessera.sources.tabular import document_sample, pages, registered
 # Derived tables: expressions that both engines read alike.
 TABLES = {
     "edges": ("orders", ["'s' || CAST(o_custkey % 7 AS STRING) AS state_id", "'i' || CAST(o_custkey AS STRING) AS intervention_id", "'o' || CAST(o_orderkey AS STRING) AS outcome_id", "o_totalprice AS effect_size", "CAST((o_orderkey * 37) % 1009 AS DOUBLE) / 1009 AS confidence", "CASE WHEN o_orderkey % 3 = 0 THEN 'causal_inferred' WHEN o_orderkey % 3 = 1 THEN 'observational' END AS epistemic_source", "o_orderkey % 11 = 0 AS superseded", "CAST(o_orderkey % 5 AS INT) AS graph_version"]),
-    "interventions": ("customer", ["'i' || CAST(c_custkey AS STRING) AS intervention_id", "c_custkey % 4 = 0 AS sleep_derived", "CASE WHEN c_custkey % 5 = 0 THEN 'extract' ELSE 'filter' END AS type", "c_mktsegment AS effective_filters", "CASE WHEN c_custkey % 6 = 0 THEN '[]' WHEN c_custkey % 6 = 1 THEN 'bad' ELSE '[{\"field\":\"a\",\"op\":\"eq\",\"value\":\"b\"}]' END AS new_filters"]),
+    "interventions": ("customer", ["'i' || CAST(c_custkey AS STRING) AS intervention_id", "c_custkey % 4 = 0 AS sleep_derived", "CASE WHEN c_custkey % 5 = 0 THEN 'extract' ELSE 'filter' END AS type", "'g' || CAST(c_custkey % 50 AS STRING) AS goal_id", "CASE WHEN c_custkey % 7 = 0 THEN 'bad' ELSE '[{\"field\":\"seg\",\"op\":\"eq\",\"value\":\"' || c_mktsegment || '\"},{\"field\":\"n\",\"op\":\"gte\",\"value\":' || CAST(c_custkey % 9 AS STRING) || '.5}]' END AS effective_filters", "c_mktsegment AS segment", "CAST(c_custkey % 9 AS STRING) AS digit", "CASE WHEN c_custkey % 6 = 0 THEN '[]' WHEN c_custkey % 6 = 1 THEN 'bad' ELSE '[{\"field\":\"a\",\"op\":\"eq\",\"value\":\"b\"}]' END AS new_filters"]),
     "outcomes": ("orders", ["'o' || CAST(o_orderkey AS STRING) AS outcome_id", "CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'rejected' ELSE 'pending' END AS status", "o_totalprice AS value", "'g' || CAST(o_custkey % 50 AS STRING) AS goal_id", "CAST((o_orderkey * 37) % 1009 AS DOUBLE) / 1009 AS confidence"]),
     "evidence": ("supplier", ["'h' || CAST(s_suppkey % 20 AS STRING) AS heuristic_id", "CASE s_suppkey % 3 WHEN 0 THEN 'i' || CAST(s_suppkey AS STRING) WHEN 1 THEN 's' || CAST(s_suppkey % 7 AS STRING) ELSE 'o' || CAST(s_suppkey AS STRING) END AS node_id"]),
-    "causal_edges": ("lineitem", ["CASE l_linenumber % 2 WHEN 0 THEN 'g0' ELSE 'g1' END AS goal", "l_returnflag AS ref", "CAST(l_suppkey % 4 AS INT) AS version", "'c' || CAST(l_suppkey AS STRING) AS col_a", "'d' || CAST(l_partkey AS STRING) AS col_b", "'a_to_b' AS direction", "'discovered' AS provenance", "CAST(0.5 AS DOUBLE) AS confidence"]),
+    "causal_edges": ("lineitem", ["CASE l_linenumber % 2 WHEN 0 THEN 'g0' ELSE 'g1' END AS goal", "l_returnflag AS ref", "CAST(l_suppkey % 4 AS INT) AS version", "'c' || CAST(l_suppkey AS STRING) AS col_a", "'d' || CAST(l_partkey AS STRING) AS col_b", "'a_to_b' AS direction", "'discovered' AS provenance", "CAST(0.5 AS DOUBLE) AS confidence", "'tested' AS status"]),
     "metas": ("supplier", ["CASE s_suppkey % 2 WHEN 0 THEN 'g0' ELSE 'g1' END AS goal", "CASE s_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS ref", "CAST(s_suppkey % 3 AS INT) AS version"]),
     "datasets": ("customer", ["c_custkey AS dataset_id", "c_name AS name", "'u' || CAST(c_nationkey AS STRING) AS owner_id", "c_mktsegment AS ref", "CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 17 END AS last_accessed_at", "c_custkey % 23 AS created_at"]),
     "goals": ("orders", ["o_orderkey AS goal_id", "o_custkey AS dataset_id", "CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 5 AS INT) END AS budget", "o_orderpriority AS ref"]),
@@ -52,16 +52,58 @@ named("g_stale", G.stale_heuristics, ["evidence", "outcomes"], "SELECT heuristic
 named("g_supersede", lambda e: G.supersede(e, "i7", 3, True).select("outcome_id", "superseded"), ["edges"], "SELECT outcome_id, CASE WHEN intervention_id = 'i7' AND epistemic_source = 'causal_inferred' AND graph_version < 3 THEN true ELSE superseded END AS superseded FROM edges")
 named("g_supersede_unconfirmed", lambda e: G.supersede(e, "i7", 3, False).select("outcome_id", "superseded"), ["edges"], "SELECT outcome_id, CASE WHEN intervention_id = 'i7' AND epistemic_source = 'causal_inferred' AND graph_version <= 3 THEN true ELSE superseded END AS superseded FROM edges")
 named("g_latest_graph", lambda c, m: G.latest_graph(m, c).select("goal", "ref", "version", "col_a", "col_b"), ["causal_edges", "metas"], "SELECT goal, ref, version, col_a, col_b FROM causal_edges WHERE (goal, ref, version) IN (SELECT goal, ref, max(version) FROM metas GROUP BY 1, 2)")
-named("g_correct_edge", lambda c: G.correct_edge(c, 1, "flip", "c1", "d5").groupBy("version", "direction", "provenance").count(), ["causal_edges"], "SELECT CAST(2 AS INT) AS version, CASE WHEN col_a = 'c1' AND col_b = 'd5' THEN 'b_to_a' ELSE direction END AS direction, CASE WHEN col_a = 'c1' AND col_b = 'd5' THEN 'analyst' ELSE provenance END AS provenance, count(*) AS count FROM causal_edges WHERE version = 1 GROUP BY ALL")
+GRAPH_HERE = "goal = 'g0' AND ref = 'A'"
+CORRECTED = ["direction", "provenance", "confidence", "status", "version"]
+
+
+def corrected(action: str, source: str, target: str):
+    """One correction of the graph of g0 over A; source and target: expressions over its edges at the served version."""
+
+    def make(c, m):
+        names = c.select("goal", "ref", F.col("col_a").alias("name")).union(c.select("goal", "ref", F.col("col_b").alias("name"))).distinct()
+        served = c.join(m.where(GRAPH_HERE).groupBy("goal", "ref").agg(F.max("version").alias("version")), ["goal", "ref", "version"], "left_semi")
+        pair = served.agg(F.min(F.struct("col_a", "col_b")).alias("first"), F.min("col_a").alias("low"), F.max("col_a").alias("high")).selectExpr(f"upper({source}) AS s", f"{target} AS t").first()  # one row
+        return G.correct_edge(m, names, c, "g0", "A", action, pair.s, pair.t).groupBy(*CORRECTED).count()
+
+    return make
+
+
+def corrected_sql(action: str) -> str:
+    served = f"served AS (SELECT * FROM causal_edges WHERE {GRAPH_HERE} AND version = (SELECT max(version) FROM metas WHERE {GRAPH_HERE}))"
+    hit = "(col_a, col_b) = (SELECT (f.col_a, f.col_b) FROM (SELECT col_a, col_b FROM served ORDER BY col_a, col_b LIMIT 1) f)"
+    kept = f"SELECT direction, provenance, confidence, status, version + 1 AS version FROM served WHERE NOT {hit}"
+    more = {
+        "flip": f" UNION ALL SELECT 'b_to_a', 'analyst', 1.0, 'tested', version + 1 FROM served WHERE {hit}",
+        "delete": "",
+        "add": f" UNION ALL SELECT direction, provenance, confidence, status, version + 1 FROM served WHERE {hit} UNION ALL SELECT 'b_to_a', 'analyst', 1.0, 'tested', max(version) + 1 FROM metas WHERE {GRAPH_HERE}",
+    }
+    return f", {served}, r AS ({kept}{more[action]}) SELECT direction, provenance, confidence, status, CAST(version AS INT) AS version, count(*) AS count FROM r GROUP BY ALL"
+
+
+for action, source, target in (("flip", "first.col_b", "first.col_a"), ("delete", "first.col_a", "first.col_b"), ("add", "high", "low")):
+    base, sql = corrected(action, source, target), corrected_sql(action)
+    ctes = ", ".join(f"{n} AS (SELECT {', '.join(TABLES[n][1])} FROM {TABLES[n][0]})" for n in ("causal_edges", "metas"))
+    query(f"g_correct_edge_{action}", lambda t, make=base: make(table(t, "causal_edges"), table(t, "metas")), f"WITH {ctes} {sql}")
 named("g_missing_ids", lambda e, n: G.unresolved_ids(e.select("node_id"), n.select(F.col("intervention_id").alias("node_id"))), ["evidence", "edges"], "SELECT node_id, found FROM (SELECT a.node_id, count(e.intervention_id) AS found FROM (SELECT DISTINCT node_id FROM evidence) a LEFT JOIN edges e ON e.intervention_id = a.node_id GROUP BY 1) WHERE found <> 1")
 named("g_source_conjunctions", lambda i: G.source_conjunctions(i).select("intervention_id", F.size("filters").cast("long").alias("n")), ["interventions"], "SELECT intervention_id, CAST(1 AS BIGINT) AS n FROM interventions WHERE new_filters NOT IN ('[]', 'bad')")
-named("g_extraction_outcomes", lambda e, i: G.extraction_outcomes(e, i).select("outcome_id", "intervention_id"), ["edges", "interventions"], "SELECT outcome_id, intervention_id FROM edges JOIN interventions USING (intervention_id) WHERE type = 'extract'")
+named("g_extraction_outcomes", lambda e, i: G.extraction_outcomes(e, i, "g10"), ["edges", "interventions"], """
+    SELECT outcome_id, intervention_id, confidence FROM edges JOIN interventions USING (intervention_id)
+    WHERE type = 'extract' AND goal_id = 'g10' AND coalesce(epistemic_source, 'observational') = 'observational'""")
 named("g_labelled_matches", lambda v, e: G.labelled_matches(v.select("heuristic_id").distinct(), G.strongest_evidence(v, e)).select("heuristic_id", "confidence", "epistemic_source"), ["evidence", "edges"], f"""
     SELECT heuristic_id, confidence, CASE WHEN confidence IS NULL THEN 'observational' ELSE 'causal_inferred' END AS epistemic_source
     FROM (SELECT DISTINCT heuristic_id FROM evidence) LEFT JOIN (SELECT heuristic_id, max(confidence) AS confidence FROM evidence JOIN edges ON node_id = intervention_id WHERE {live} GROUP BY 1) USING (heuristic_id)""")
-named("g_records_with_segments", lambda e, i: G.with_segments(e.select("outcome_id", "intervention_id"), i.where("type = 'extract'")).select("outcome_id", "segment"), ["edges", "interventions"], "SELECT outcome_id, coalesce(effective_filters, '') AS segment FROM edges LEFT JOIN (SELECT * FROM interventions WHERE type = 'extract') i USING (intervention_id)")
+named("g_records_with_segments", lambda e, i: G.with_segments(e.select("outcome_id", "intervention_id"), i.where("type = 'extract'")).select("outcome_id", "segment"), ["edges", "interventions"], """
+    SELECT outcome_id, CASE WHEN effective_filters IS NULL OR effective_filters = 'bad' THEN '' ELSE 'seg = ' || segment || ' AND n >= ' || digit || '.5' END AS segment
+    FROM edges LEFT JOIN (SELECT * FROM interventions WHERE type = 'extract') i USING (intervention_id)""")
 named("g_upsert", lambda o: G.upsert(o.select("outcome_id", "status", "goal_id"), o.where("value > 200000").select("outcome_id", F.lit("confirmed").alias("status"), F.lit("").alias("goal_id")), ["outcome_id"], keep_known=["goal_id"]), ["outcomes"], "SELECT outcome_id, CASE WHEN value > 200000 THEN 'confirmed' ELSE status END AS status, goal_id FROM outcomes")
-named("g_resolve_outcome", lambda o: rounded(G.resolve_outcome(o, "o5", "corrected", 1.5).select("outcome_id", "status", "value")), ["outcomes"], f"SELECT outcome_id, CASE WHEN outcome_id = 'o5' THEN 'corrected' ELSE status END AS status, {r6('CASE WHEN outcome_id = ' + chr(39) + 'o5' + chr(39) + ' THEN 1.5 ELSE value END')} AS value FROM outcomes")
+resolvable = "EXISTS (SELECT 1 FROM edges e WHERE e.outcome_id = outcomes.outcome_id AND coalesce(epistemic_source, 'observational') = 'observational')"
+for name, outcome in (("g_resolve_outcome", "o5"), ("g_resolve_causal_outcome", "o3")):
+    named(name, lambda o, e, x=outcome: rounded(G.resolve_outcome(o, e, x, "corrected", 0.9, 1.5)[0].select("outcome_id", "status", "value")), ["outcomes", "edges"], f"""
+        SELECT outcome_id, CASE WHEN outcome_id = '{outcome}' AND {resolvable} THEN 'corrected' ELSE status END AS status,
+               {r6(f"CASE WHEN outcome_id = '{outcome}' AND {resolvable} THEN 1.5 ELSE value END")} AS value FROM outcomes""")
+named("g_resolve_edges", lambda o, e: rounded(G.resolve_outcome(o, e, "o5", "verified", 0.9)[1].select("outcome_id", "confidence")), ["outcomes", "edges"], f"SELECT outcome_id, {r6('CASE WHEN outcome_id = ' + chr(39) + 'o5' + chr(39) + ' THEN 0.9 ELSE confidence END')} AS confidence FROM edges")
+named("g_delete_goal", lambda i, e: G.delete_goal(i.select(F.col("intervention_id").alias("node_id"), "goal_id"), e, "g7")[1].select("outcome_id", "intervention_id"), ["interventions", "edges"], "SELECT outcome_id, intervention_id FROM edges WHERE intervention_id NOT IN (SELECT intervention_id FROM interventions WHERE goal_id = 'g7')")
+named("g_delete_node", lambda i, e: G.delete_node(i.select(F.col("intervention_id").alias("node_id"), "goal_id"), e, "i7")[1].groupBy("intervention_id").count(), ["interventions", "edges"], "SELECT intervention_id, count(*) AS count FROM edges WHERE intervention_id <> 'i7' GROUP BY 1")
 named("g_without_goal", lambda o: G.without_goal(o, "g7").groupBy("goal_id").count(), ["outcomes"], "SELECT goal_id, count(*) AS count FROM outcomes WHERE goal_id IS DISTINCT FROM 'g7' GROUP BY 1")
 
 DISTANCE = "1 - list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"

@@ -1,9 +1,13 @@
 """Discovery and verification on a planted dataset, and search against planted segments."""
 
+import itertools
+import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import statistics as S
 from tessera.operators import discovery as D
 from tessera.operators import effects as E
 from tessera.operators import publish as P
@@ -11,6 +15,7 @@ from tessera.operators import search as R
 from tessera.operators.cube import CubeMeasurer
 from tessera.operators.measure import Measurement, execute
 from tessera.plans.canonical import key
+from tessera.plans.errors import NonFiniteValue
 from tessera.plans.model import Constraint, Objective, Ref
 from tessera.sources.profile import profile
 
@@ -56,6 +61,45 @@ def test_verification(planted, found):
     assert E.adjustment(open_, goal, [C("A", "gt", 0.0)]).status == E.NOT_IDENTIFIABLE
 
 
+def test_adjustment_knows_every_tested_column():
+    goal, o = Objective("avg", Ref("Y")), orientation(["AY", "ZA", "ZY"], directed=["AY", "ZA", "ZY"])
+    o.found.columns = ["A", "Y", "Z", "region"]
+    assert E.adjustment(o, goal, [C("region", "eq", "north")]) == E.Plan()
+    assert E.adjustment(o, goal, [C("a", "gt", 0.0)]) == E.Plan("", ("Z",))
+    assert E.adjustment(o, goal, [C("nope", "eq", "x")]) == E.Plan(E.NOT_IDENTIFIABLE, blocking=("nope",))
+    assert E.adjustment(o, Objective("avg", Ref("z")), [C("A", "gt", 0.0)]) == E.Plan()
+
+
+def test_tests_of_a_level_equal_single_tests(planted, spark):
+    """One scan for all sets of columns, nulls in some of them, against a plain computation by numpy."""
+    df = planted.withColumn("Z", F.when(F.abs("A") < 1.5, F.col("Z"))).withColumn("region", F.when(F.col("Y") > -2, F.col("region"))).cache()
+    by = {v.name: v for v in D.variables(profile(df))}
+    asked = [(a, b, s) for a, b in itertools.combinations(sorted(by), 2) for n in range(3) for s in itertools.combinations(sorted(set(by) - {a, b}), n)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("level", "level")
+    together = D.independence_ps(df, by, asked)
+    sets = len({(a, b, *s) for a, b, s in asked})
+    assert len(jobs.getJobIdsForGroup("level")) < sets / 4
+    pd = df.toPandas()
+    for (a, b, s), p in list(zip(asked, together, strict=True))[::7]:
+        if by[a].numeric and by[b].numeric and all(by[x].numeric for x in s):
+            m = pd[[a, b, *s]].dropna().to_numpy(float)
+            r = -np.linalg.inv(np.corrcoef(m.T))
+            rho = r[0, 1] / np.sqrt(r[0, 0] * r[1, 1])
+            assert p == pytest.approx(math.erfc(abs(math.sqrt(len(m) - len(s) - 3) * math.atanh(rho)) / math.sqrt(2)), abs=1e-9)
+        elif not s:
+            cuts = {n: np.quantile(pd[n].dropna().to_numpy(float), [0.25, 0.5, 0.75]) for n in (a, b) if by[n].numeric}
+            own = pd[[a, b]].dropna()
+            codes = [np.searchsorted(cuts[n], own[n].to_numpy(float)) if n in cuts else own[n].astype("category").cat.codes for n in (a, b)]
+            table = np.zeros((codes[0].max() + 1, codes[1].max() + 1))
+            np.add.at(table, tuple(np.asarray(c) for c in codes), 1)
+            expected = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+            g, dof = 2 * (table[table > 0] * np.log((table / expected)[table > 0])).sum(), (np.array(table.shape) - 1).prod()
+            assert p == pytest.approx(S.chi_square_tail(g, dof), abs=1e-9)
+    bad = df.withColumn("A", F.when(F.col("A") > 2, float("inf")).otherwise(F.col("A")))
+    assert [isinstance(p, NonFiniteValue) for p in D.independence_ps(bad, by, [("A", "X", ()), ("X", "Y", ()), ("A", "Y", ("X",))])] == [True, False, True]
+
+
 def orientation(edges, separators=None, directed=(), status=None):
     s = D.Skeleton({D.edge(*e) for e in edges}, {D.edge(*k): v for k, v in (separators or {}).items()})
     s.status = {e: (status or {}).get(e, D.TESTED) for e in s.edges}
@@ -87,13 +131,15 @@ def test_orientation_rules():
 
 def test_failed_tests_and_budgets_keep_edges():
     def broken(a, b, s):
-        raise RuntimeError
+        raise NonFiniteValue(a)
 
-    s = D.skeleton(["a", "b", "c"], broken)
+    s = D.skeleton(["a", "b", "c"], D.one_by_one(broken))
     assert len(s.edges) == 3 and set(s.status.values()) == {D.UNKNOWN}
-    s = D.skeleton(["a", "b", "c"], lambda a, b, s: 0.0, max_tests=4)
+    with pytest.raises(ZeroDivisionError):  # an error of the program is no result
+        D.skeleton(["a", "b", "c"], D.one_by_one(lambda a, b, s: 1 / 0))
+    s = D.skeleton(["a", "b", "c"], D.one_by_one(lambda a, b, s: 0.0), max_tests=4)
     assert s.truncated and set(s.status.values()) == {D.CAPPED}
-    assert D.capped_columns(["a", "b", "c", "d"], ["b"], lambda x, y, s: {"a": 0.5, "c": 0.1, "d": 0.2}[x], 3) == (["b", "c", "d"], ["a"])
+    assert D.capped_columns(["a", "b", "c", "d"], ["b"], D.one_by_one(lambda x, y, s: {"a": 0.5, "c": 0.1, "d": 0.2}[x]), 3) == (["b", "c", "d"], ["a"])
     assert D.layers({("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")}) == {"a": 0, "b": 1, "c": 2, "x": 3, "y": 3}
 
 
@@ -148,7 +194,7 @@ def test_search_rules():
     assert R.materially_better(goal, 1.05, 1.0) and not R.materially_better(goal, 1.04, 1.0)
     assert [x.constraint for x in R.finding_atoms(findings)] == [a] and len(R.finding_atoms(findings)[0].sources) == 4
     order = [x.constraint.field for x in R.column_rounds([R.Atom(C("a", "eq", str(i))) for i in range(3)] + [R.Atom(C("b", "eq", "x"), prior=0.5)])]
-    assert order == ["a", "b", "a", "a"]
+    assert order == ["b", "a", "a", "a"]  # the ranked column first, then one atom of each column in every round
 
 
 def test_greedy_growth():
