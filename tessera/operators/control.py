@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values
-CONFIDENCE_BINS, REVIEW_THRESHOLD, DEFAULT_BUDGET = 10, 0.8, 10
+CONFIDENCE_BINS, REVIEW_THRESHOLD, DEFAULT_BUDGET, LEASE_SECONDS = 10, 0.8, 10, 90
 
 
 def dataset_counts(datasets: DataFrame, goals: DataFrame) -> DataFrame:
@@ -108,6 +109,35 @@ def dispatch_decision(in_flight: int, cap: int, budgeted: bool, used: int, budge
     return "over_budget" if budgeted and used >= budget else "accepted"
 
 
+def renew(verifications: DataFrame, holder: Column, now, seconds: int = LEASE_SECONDS) -> DataFrame:
+    """A heartbeat: the pending verifications that holder selects, and whose lease has not run out, get a lease from now on."""
+    alive = holder & (F.col("status") == "pending") & (F.col("lease_deadline") >= F.lit(now))
+    fresh = F.lit(now).cast("timestamp_ntz") + F.expr(f"interval {int(seconds)} seconds")
+    return verifications.withColumn("lease_deadline", F.when(alive, fresh).otherwise(F.col("lease_deadline")))
+
+
+def dispatch(verifications: DataFrame, goals: DataFrame, goal, intervention, version: int, now, cap: int, budgeted: bool, default: int = DEFAULT_BUDGET, seconds: int = LEASE_SECONDS) -> tuple[str, DataFrame]:
+    """(decision, verifications afterwards) of one request, as one transaction over the table.
+
+    Expired leases are reaped first. A request that is pending already is coalesced; then the cap on pending ones counts, of which
+    one is kept free of budgeted requests; then the goal's budget. An accepted one is pending under a fresh lease: it replaces the row
+    of its key (goal_id, intervention_id, graph_version), or is added.
+    """
+    reaped = reap(verifications, now)
+    mine = (F.col("goal_id") == goal) & (F.col("intervention_id") == intervention) & (F.col("graph_version") == version)
+    spent = (F.col("goal_id") == goal) & F.col("budgeted") & (F.col("status") != "failed")
+    pending = F.col("status") == "pending"
+    row = reaped.agg(F.count(F.when(mine & pending, 1)).alias("same"), F.count(F.when(pending, 1)).alias("flying"), F.count(F.when(spent, 1)).alias("used")).first()
+    own = goals.where(F.col("goal_id") == goal).agg(F.max("budget")).first()[0]
+    decision = dispatch_decision(row.flying, cap, budgeted, row.used, default if own is None else own, row.same > 0)
+    if decision != "accepted":
+        return decision, reaped
+    kinds = dict(verifications.dtypes)
+    fresh = {"goal_id": F.lit(goal), "intervention_id": F.lit(intervention), "graph_version": F.lit(version), "budgeted": F.lit(budgeted), "status": F.lit("pending"), "lease_deadline": F.lit(now).cast("timestamp_ntz") + F.expr(f"interval {int(seconds)} seconds")}
+    added = verifications.sparkSession.range(1).select(*[fresh.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in verifications.columns])
+    return decision, reaped.where(~mine).unionByName(added)
+
+
 def stale_by_columns(verifications: DataFrame, columns: list[str]) -> DataFrame:
     """Interventions whose adjustment set has one of the columns, once each, in order."""
     return verifications.where(F.arrays_overlap("adjustment_set", F.array(*map(F.lit, columns)))).select("intervention_id").distinct().orderBy("intervention_id")
@@ -129,6 +159,12 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows") for n, t in sorted(tables.items())])
 
 
+def reset(tables: dict[str, DataFrame], kept: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """The tables after a reset: those named are kept, the others are empty, and all have their columns."""
+    names = set(kept)
+    return {n: t if n in names else t.where("false") for n, t in tables.items()}
+
+
 def append_audit(df: DataFrame, path: str, actor: str, action: str) -> None:
     """Insert-only: each row of df becomes a JSON detail."""
     df.select(F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.to_json(F.struct("*")).alias("detail")).write.mode("append").parquet(path)
@@ -176,3 +212,26 @@ def resolution(status: str | None, verdict: str, stored: str | None = None) -> t
 
 def resolved_confidence(verdict: str, rejected: float = 0.0) -> float:
     return rejected if verdict == "reject" else 1.0
+
+
+def resolve_outcomes(queue: DataFrame, outcomes: DataFrame, edges: DataFrame, outcome: str, verdict: str, value: float | None = None, rejected: float = 0.0) -> tuple[str, DataFrame, DataFrame, DataFrame]:
+    """(action, queue, outcomes, edges) after an analyst's verdict on an outcome: confirm, correct or reject.
+
+    An entry that is open is resolved, and an outcome that was never queued gets a resolved entry. One that was resolved by
+    the same verdict is repaired: outcome and edge are written again from the stored verdict. One resolved otherwise is a conflict, and
+    nothing changes.
+    """
+    from tessera.operators.graph import resolve_outcome
+
+    found = queue.where(F.col("outcome_id") == outcome).agg(F.max("status").alias("status"), F.max("resolution").alias("resolution")).first()
+    action, stored = resolution(found.status, verdict, found.resolution)
+    if action == "conflict":
+        return action, queue, outcomes, edges
+    if action == "resolve":
+        queue = queue.withColumns({"resolution": F.when(F.col("outcome_id") == outcome, verdict).otherwise(F.col("resolution")), "status": F.when(F.col("outcome_id") == outcome, "resolved").otherwise(F.col("status"))})
+    elif action == "insert_resolved":
+        own = {"outcome_id": F.lit(outcome), "status": F.lit("resolved"), "resolution": F.lit(verdict)}
+        queue = queue.unionByName(queue.sparkSession.range(1).select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in queue.dtypes]))
+    status = {"confirm": "confirmed", "correct": "corrected", "reject": "rejected"}[stored]
+    outcomes, edges = resolve_outcome(outcomes, edges, outcome, status, resolved_confidence(stored, rejected), value if stored == "correct" else None)
+    return action, queue, outcomes, edges

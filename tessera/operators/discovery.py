@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.functions import statistics as S
 from tessera.operators.analyze import all_cuts, check_finite, group_keys
 from tessera.plans.errors import RequestError
+from tessera.plans.interfaces import OrientationPrior, abstaining_prior
+from tessera.plans.model import Constraint, Objective
 from tessera.sources.profile import resolve
 
 # Defaults of the sweep.
@@ -291,14 +293,14 @@ class Orientation:
                 elif self.implied(b, a):
                     changed |= self.orient(b, a)
 
-    def apply_prior(self, prior: Callable[[list[Edge]], dict[Edge, tuple[str, str] | None]] | None) -> None:
-        """An interface to outside knowledge: it may orient edges that are left, never add or remove one. Default: it abstains."""
-        for e, d in (prior(sorted(self.open)) if prior else {}).items():
+    def apply_prior(self, prior: OrientationPrior) -> None:
+        """Outside knowledge, asked once for all edges that are left: it may orient them, never add or remove one."""
+        for e, d in prior(sorted(self.open)).items():
             if d and edge(*d) == e and e in self.open:
                 self.orient(*d)
 
 
-def oriented(found: Skeleton, prior=None) -> Orientation:
+def oriented(found: Skeleton, prior: OrientationPrior = abstaining_prior) -> Orientation:
     out = Orientation(found)
     out.colliders()
     out.propagate()
@@ -310,7 +312,14 @@ def variables(profile: list[dict]) -> list[Variable]:
     return [Variable(c["name"], c["type"] == "numeric") for c in profile if c["type"] != "temporal"]
 
 
-def discover(df: DataFrame, columns: list[Variable], priority: Iterable[str] = (), alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, bins: int = BINS, max_tests: int = MAX_TESTS, correction: str = "bh", column_cap: int = COLUMN_CAP, prior=None) -> tuple[Skeleton, Orientation]:
+def priority_columns(objective: Objective, constraints: Iterable[Constraint], findings: Iterable[Iterable[Constraint]], names: list[str]) -> list[str]:
+    """Columns that discovery must keep: the objective's, then the hard constraints', then those that findings filter on."""
+    asked = [*objective.expression.columns(), *(c.field for c in constraints), *(c.field for f in findings for c in f)]
+    spelling = {n.lower(): n for n in names}
+    return list(dict.fromkeys(spelling[a.lower()] for a in asked if a.lower() in spelling))
+
+
+def discover(df: DataFrame, columns: list[Variable], priority: Iterable[str] = (), alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, bins: int = BINS, max_tests: int = MAX_TESTS, correction: str = "bh", column_cap: int = COLUMN_CAP, prior: OrientationPrior = abstaining_prior) -> tuple[Skeleton, Orientation]:
     by = {v.name: v for v in columns}
     cuts = all_cuts(df, [v.name for v in columns if v.numeric], bins)
     tests = lambda asked: independence_ps(df, by, asked, bins, cuts)

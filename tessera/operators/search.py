@@ -11,6 +11,7 @@ from tessera.functions.statistics import shrunk_score
 from tessera.operators.measure import Measurement
 from tessera.plans.canonical import component, key
 from tessera.plans.errors import RequestError
+from tessera.plans.interfaces import Critic, Proposer
 from tessera.plans.model import Constraint, Objective
 
 # Defaults of the search.
@@ -37,7 +38,8 @@ class Finding:
 @dataclass
 class Atom:
     constraint: Constraint
-    sources: set[str] = field(default_factory=set)
+    #: Ids of the findings that it comes from, in order of first sight.
+    sources: dict[str, None] = field(default_factory=dict)
     #: What a critic's ranking gave its column; 0 if nothing ranked it.
     prior: float = 0.0
 
@@ -51,7 +53,7 @@ def finding_atoms(findings: Iterable[Finding]) -> list[Atom]:
     out: dict[str, Atom] = {}
     for f in findings:
         for c in f.new_filters:
-            out.setdefault(component(c), Atom(c)).sources.add(f.id)
+            out.setdefault(component(c), Atom(c)).sources.setdefault(f.id)
     return [out[k] for k in sorted(out)]
 
 
@@ -99,6 +101,22 @@ def kept_columns(named: list[str], schema: list[str]) -> list[str]:
     return list(dict.fromkeys(spelling[n.lower()] for n in named if n.lower() in spelling))
 
 
+def vocabulary(found: list[Atom], profile: list[dict], critic: Critic, objective: Objective) -> list[Atom]:
+    """The atoms of a search: the findings', and those of the schema's columns that a critic does not leave out, with its priors.
+
+    Of the critic's lists only columns of the schema count, and a column that is left out is not ranked. If the critic fails there
+    are the findings' atoms only.
+    """
+    names = [c["name"] for c in profile]
+    try:
+        ranked, excluded = (kept_columns(x, names) for x in critic(names, objective.label))
+    except RequestError:
+        return found
+    atoms = merged_atoms(found, schema_atoms(profile, exclude=objective.expression.columns()), excluded)
+    ranked_priors(atoms, [r for r in ranked if r not in excluded])
+    return atoms
+
+
 class Search:
     """Measurements memoised by canonical key, within a budget, with support pruning."""
 
@@ -266,7 +284,7 @@ def tree_search(search: Search, atoms: list[Atom], proposals: Iterable[Proposal]
             break
         claimed.add(k)
         for c in segment:
-            built_from |= sources.get(component(c), set())
+            built_from |= set(sources.get(component(c), ()))
         m = search.seen[k]
         worth = 0.0 if m is None else shrunk_score(search.delta(k), m.support, search.min_support) * causal_multiplier(built_from, known, causal_scale)
         child = _Place(segment, move.prior if move.prior > 0 else floor, () if search.below_floor(k) else ordered, at)
@@ -307,7 +325,7 @@ class Recorded:
     depth: int
 
 
-def greedy(objective: Objective, measure: Measure, propose: Callable[[tuple[Constraint, ...], int], list[Constraint]], root_value: float, constraints: list[Constraint] = (), breadth: int = GREEDY_BREADTH, depth: int = GREEDY_DEPTH) -> list[Recorded]:
+def greedy(objective: Objective, measure: Measure, propose: Proposer, root_value: float, constraints: list[Constraint] = (), breadth: int = GREEDY_BREADTH, depth: int = GREEDY_DEPTH) -> list[Recorded]:
     """Depth-first growth: siblings are measured in one call, every one with rows is recorded, and those that improve on their parent grow on.
 
     An expansion whose segments all lack rows is proposed once more. Effects are relative to the parent.
@@ -333,7 +351,7 @@ def greedy(objective: Objective, measure: Measure, propose: Callable[[tuple[Cons
     return out
 
 
-def schema_proposer(atoms: list[Atom], measure: Measure, objective: Objective, baseline: float) -> Callable[[tuple[Constraint, ...], int], list[Constraint]]:
+def schema_proposer(atoms: list[Atom], measure: Measure, objective: Objective, baseline: float) -> Proposer:
     """The deterministic proposer: atoms by their single gain, the best first; a second attempt goes further down the list."""
     found = measure([[a.constraint] for a in atoms])
     gains = {a.key: objective.delta(m.value, baseline) for a, m in zip(atoms, found, strict=True) if m and m.value is not None}

@@ -38,7 +38,7 @@ def nearest(vectors: DataFrame, query: list[float], k: int | None = None, floor:
 
 
 def in_scope(vectors: DataFrame, goals: DataFrame, goal: str | None = None, dataset: str | None = None, visible: DataFrame | None = None) -> DataFrame:
-    """Vectors of one goal, of one dataset's goals (or of no goal), or of any goal; visible: goals that a user may see."""
+    """Vectors of one goal, of one dataset's goals (or of no goal), or of any goal; visible: goals that a user may see, whatever the scope."""
     if goal is not None:
         vectors = vectors.where(F.col("goal_id") == goal)
     elif dataset is not None:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,15 +88,27 @@ def bind_targets(schema: T.StructType, fields: list[str]) -> list[tuple[str, str
     return out
 
 
+#: Rows that are looked at first: a column with more than the cap of values among them is settled.
+HEAD_ROWS = 2000
+
+
 def distinct_values(df: DataFrame, columns: list[str] | None = None, cap: int = DISTINCT_CAP) -> DataFrame:
-    """Rows (column, value): the distinct non-null values as text of probed columns with at most cap of them, in one scan.
+    """Rows (column, value): the distinct non-null values as text of probed columns with at most cap of them.
 
-    A column with more than cap values has no rows at all.
+    A column with more than cap values has no rows at all. Most such columns, ids above all, show more than cap values in the first
+    HEAD_ROWS rows that come to hand, which settles them without a scan; the others are counted in full, all in one scan.
     """
     chosen = [f for f in df.schema.fields if has_probe(f.dataType) and (columns is None or f.name in columns)]
+    empty = df.sparkSession.createDataFrame([], "column string, value string")
     if not chosen:
-        return df.sparkSession.createDataFrame([], "column string, value string")
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in chosen])
+        return empty
+    # Beginnings are enough to tell values apart, and bound what is gathered.
+    text = [F.substring(F.col(f"`{f.name}`").cast("string"), 1, 64).alias(f"c{i}") for i, f in enumerate(chosen)]
+    head = df.select(*text).limit(max(HEAD_ROWS, 4 * (cap + 1))).collect()
+    left = [f for i, f in enumerate(chosen) if len({r[i] for r in head} - {None}) <= cap]
+    if not left:
+        return empty
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in left])
     pairs = df.select(F.explode(cells).alias("x")).select("x.*").where("value is not null").distinct()
     few = pairs.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("column")
     return pairs.join(F.broadcast(few), "column", "left_semi")  # a row for each column
@@ -104,14 +118,62 @@ def cut_shares(bins: int) -> list[float]:
     return [round(i / bins, 6) for i in range(1, bins)]
 
 
-def quantile_cuts(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
-    """bins - 1 interpolated quantiles of each numeric column, nulls left out, non-finite cuts dropped; exact, in one job."""
+#: Different values of a column up to which one aggregate holds them all; beyond it they are ranked over range partitions.
+HELD_VALUES = 2_000_000
+
+
+def quantile_cuts(df: DataFrame, columns: list[str], bins: int, held: int = HELD_VALUES) -> dict[str, list[float]]:
+    """bins - 1 interpolated quantiles of each numeric column, nulls left out, non-finite cuts dropped; exact.
+
+    A quantile lies between the values of two ranks. Columns of few different values (an estimate decides, as both ways give the
+    same) take one job; the others' values are counted, ordered by range partitions, and ranked by prefix sums of partition totals.
+    """
     check_bins(bins)
     if not bins or not columns:
         return {c: [] for c in columns}
-    own = [numeric(df.schema, c) for c in columns]
-    row = df.agg(*[F.percentile(c.column.cast("double"), F.array(*map(F.lit, cut_shares(bins)))).alias(f"q{i}") for i, c in enumerate(own)]).first()
-    return {c: [x for x in row[i] or [] if x is not None and abs(x) != float("inf") and x == x] for i, c in enumerate(columns)}
+    own = {c: numeric(df.schema, c).column.cast("double") for c in dict.fromkeys(columns)}
+    estimate = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    many: list[str] = []
+    if estimate > held:
+        row = df.agg(*[F.approx_count_distinct(x).alias(f"n{i}") for i, x in enumerate(own.values())]).first()
+        many = [c for i, c in enumerate(own) if row[i] > held]
+    found: dict[str, list] = {}
+    if few := [c for c in own if c not in many]:
+        row = df.agg(*[F.percentile(own[c], F.array(*map(F.lit, cut_shares(bins)))).alias(f"q{i}") for i, c in enumerate(few)]).first()
+        found = {c: row[i] or [] for i, c in enumerate(few)}
+    if many:
+        found |= ranked_cuts(df, {c: own[c] for c in many}, cut_shares(bins))
+    return {c: [x for x in found[c] if x is not None and abs(x) != float("inf") and x == x] for c in columns}
+
+
+def ranked_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
+    """Exact interpolated quantiles without any task that holds a column's values."""
+    names = list(own)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), x.alias("v")) for i, x in enumerate(own.values())])
+    counts = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    ordered = counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        totals = ordered.groupBy("part", "c").agg(F.sum("n").alias("n")).collect()  # a row for each partition and column
+        before, total = {}, dict.fromkeys(range(len(names)), 0)
+        for part, c, n in sorted((r.part, r.c, r.n) for r in totals):
+            before[part, c] = total[c]
+            total[c] += n
+        # Ranks that are asked for, by column and partition.
+        asked = {(c, k) for c, n in total.items() for p in shares for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) if n}
+        starts = df.sparkSession.createDataFrame([(part, c, b) for (part, c), b in before.items()], "part int, c int, before long")
+        here = Window.partitionBy("part", "c").orderBy("v")
+        ranked = ordered.join(F.broadcast(starts), ["part", "c"]).withColumn("last", F.col("before") + F.sum("n").over(here) - 1)
+        wanted = F.broadcast(df.sparkSession.createDataFrame(sorted(asked), "c int, k long"))
+        hit = ranked.alias("r").join(wanted.alias("w"), (F.col("r.c") == F.col("w.c")) & (F.col("k") <= F.col("last")) & (F.col("k") > F.col("last") - F.col("n")))
+        at = {(r.c, r.k): r.v for r in hit.select("w.c", "k", "v").collect()}  # two for each quantile
+    finally:
+        ordered.unpersist()
+    out = {}
+    for c, name in enumerate(names):
+        place = [p * (total[c] - 1) for p in shares] if total[c] else []
+        low, high = [at[c, math.floor(x)] for x in place], [at[c, math.ceil(x)] for x in place]
+        out[name] = [a if x == math.floor(x) else (math.ceil(x) - x) * a + (x - math.floor(x)) * b for x, a, b in zip(place, low, high, strict=True)]
+    return out
 
 
 def profile(df: DataFrame, cap: int = DISTINCT_CAP, bins: int = 0) -> list[dict]:

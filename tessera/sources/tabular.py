@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
+from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,20 +36,62 @@ def to_parquet(df: DataFrame, path: str) -> str:
     return path
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """What a source holds, by the names, sizes and times of its files: the same path with new files is another source."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
+
+
+class _Kept:
+    def __init__(self):
+        self.filled, self.users, self.df, self.error = threading.Event(), 0, None, None
+
+
 class Stage:
-    """Sources scanned once and kept in executor memory and disk, the least recently used let go beyond capacity."""
+    """Sources read once and kept in executor memory and disk, known by what their files hold.
+
+    Threads that ask for the same source at once wait for one fill. A source in use is never let go; beyond capacity the least
+    recently used of the others is. A fill that fails is told to all who wait and is not kept.
+    """
 
     def __init__(self, spark: SparkSession, capacity: int = 8):
-        self.spark, self.capacity, self.kept = spark, capacity, {}
-
-    def get(self, path: str) -> DataFrame:
-        df = self.kept.pop(path, None)
-        if df is None:
-            df = scan(self.spark, path).persist(StorageLevel.MEMORY_AND_DISK)
-            while len(self.kept) >= self.capacity:
-                self.kept.pop(next(iter(self.kept))).unpersist()
-        self.kept[path] = df
-        return df
+        self.spark, self.capacity, self.lock = spark, capacity, threading.Lock()
+        self.kept: OrderedDict[str, _Kept] = OrderedDict()
+
+    @contextmanager
+    def use(self, path: str) -> Iterator[DataFrame]:
+        key = fingerprint(self.spark, path)
+        with self.lock:
+            fills = key not in self.kept
+            own = self.kept.setdefault(key, _Kept())
+            own.users += 1
+            self.kept.move_to_end(key)
+        try:
+            if fills:
+                try:
+                    own.df = scan(self.spark, path).persist(StorageLevel.MEMORY_AND_DISK)
+                except Exception as error:
+                    own.error = error
+                    with self.lock:
+                        del self.kept[key]
+                    raise
+                finally:
+                    own.filled.set()
+            own.filled.wait()
+            if own.df is None:
+                raise own.error
+            yield own.df
+        finally:
+            with self.lock:
+                own.users -= 1
+                idle = [k for k, x in self.kept.items() if not x.users and x.filled.is_set()]
+                for k in idle[: max(0, len(self.kept) - self.capacity)]:
+                    self.kept.pop(k).df.unpersist()
 
 
 def registered(requests: DataFrame, registry: DataFrame, ref: str = "ref") -> DataFrame:

@@ -1,6 +1,8 @@
 """Measurement and analytics over tiny tables with known results, and agreement of the ways to measure."""
 
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,12 +141,50 @@ def test_scans(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,name\n1,a\n,b\n")
     df = scan(spark, str(tmp_path / "a.csv"))
     assert [tuple(r) for r in df.orderBy("name").collect()] == [(1, "a"), (None, "b")]
-    again = Stage(spark).get(to_parquet(df, str(tmp_path / "a.parquet")))
-    assert again.count() == 2
+    stage, path = Stage(spark, capacity=1), to_parquet(df, str(tmp_path / "a.parquet"))
+    with stage.use(path) as first, stage.use(path) as again:
+        assert first is again and again.count() == 2 and len(stage.kept) == 1
+        other = to_parquet(df.limit(1), str(tmp_path / "b.parquet"))
+        with stage.use(other) as third:  # both are in use
+            assert third.count() == 1 and len(stage.kept) == 2
+        assert len(stage.kept) == 1
+    to_parquet(spark.createDataFrame([(1, "a")] * 5, "x int, name string"), path)
+    with stage.use(path) as fresh:  # new files under an old name are another source
+        assert fresh.count() == 5
+    with pytest.raises(Exception), stage.use(str(tmp_path / "none.parquet")):
+        pass
+    assert len(stage.kept) == 1
+    fills = []
+    with ThreadPoolExecutor(4) as pool:
+        def one(_):
+            with stage.use(other) as d:
+                fills.append(d)
+        list(pool.map(one, range(4)))
+    assert len({id(d) for d in fills}) == 1
     with pytest.raises(UnsupportedFormat):
         scan(spark, "a.xlsx")
 
 
+def test_quantiles_of_many_values_equal_the_aggregate(spark):
+    df = spark.range(5000).selectExpr("id", "cast(pow(id % 997, 2) as double) AS a", "case when id % 3 > 0 then cast(id * 7919 % 5003 as double) end AS b", "cast(null as double) AS c", "case when id = 7 then double('infinity') else 1.0 end AS d")
+    for bins in (2, 4, 7, 32):
+        assert quantile_cuts(df, ["a", "b", "c", "d", "id"], bins, held=1) == quantile_cuts(df, ["a", "b", "c", "d", "id"], bins)
+
+
+def test_samples_of_a_fixed_size(spark):
+    hot = spark.range(60_000).selectExpr("if(id % 3 = 0, -1, id) AS n", "map('k', id % 2) AS m")
+    for f in (0.1, 0.5, 0.7, 0.999):
+        a, b = A.exact_sample(hot, f, 3), A.exact_sample(hot.repartition(7, "n"), f, 3)
+        assert a.count() == round(60_000 * f) and a.columns == ["n", "m"]
+        assert a.groupBy("n").count().exceptAll(b.groupBy("n").count()).isEmpty()  # the same rows, however they are split
+
+
+def test_distinct_values_beyond_the_head(spark):
+    df = spark.range(30_000).selectExpr("if(id < 20000, 1, id) AS late", "id % 50 AS fifty", "id % 51 AS more", "'x' AS one")
+    found = {c: v for c, v in distinct_values(df).groupBy("column").count().collect()}
+    assert found == {"fifty": 50, "one": 1}
+
+
 def test_text(spark):
     df = spark.createDataFrame([("äb term_x Term [ p ][]",)], "text string")
     r = df.select(X.byte_start(F.col("text"), F.lit("b")).alias("at"), X.excerpt(F.col("text"), F.lit(0), F.lit(3)).alias("e"), X.leaked_terms(F.col("text"), ["term", "term_", "[ p"]).alias("t"), X.bracketed_terms(F.col("text")).alias("b")).first()
