@@ -82,7 +82,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_licence_scan, op4_pii, op5_lm_scoring, op6_packing, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_mixing, op10_sharding)}
+def llm_language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1's result what SQL can say: the fold of each document, and whether it has no language."""
+    return op1_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
+
+def llm_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4's result what SQL can say: the base spans."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def llm_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9's result what SQL can say: sizes and targets, and that each source's words come within its largest document of the target."""
+    found = op9_mixing(spark, sf_dir).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    by_source = found.groupBy("source").agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.round(F.max("target"), 4).alias("target"), (F.abs(F.sum("taken") - F.max("target")) <= F.max("size")).alias("near"))
+    return by_source
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_licence_scan, op4_pii, op5_lm_scoring, op6_packing, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_mixing, op10_sharding, llm_language_folds, llm_base_spans, llm_mix_targets)}
 
 #: CRC-32 of the UTF-8 bytes of {0}, by the table of its polynomial.
 CRC_TABLE = """
@@ -92,7 +109,57 @@ CRC_TABLE = """
         ), crc_table AS (SELECT list(c ORDER BY i) AS t FROM poly WHERE k = 8)"""
 CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, crc_table.t[1 + (xor(a, b) & 255)])))"
 
+SPAN_KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([ -]?[0-9])+"), ("phone", r"\+[0-9][ ().0-9-]+[0-9]"))
+
+
+def spans_sql(rank: int, kind: str, pattern: str) -> str:
+    """Rows (doc_id, kind, rank, start, stop, value, digits) of all matches: a split's pieces and the matches give their places."""
+    length = "list_sum(list_transform({0}, lambda x: length(x)))"
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(list_transform(range(1, len(m) + 1), lambda i: {length.format("p[1:i]")} + coalesce({length.format("m[1:i-1]")}, 0))) AS start,
+               unnest(m) AS value, regexp_replace(value, '[^0-9]', '', 'g') AS digits
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM texts)"""
+
+
+LUHN = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substring(reverse(digits), i, 1)::INT WHEN 2 * substring(reverse(digits), i, 1)::INT > 9 THEN 2 * substring(reverse(digits), i, 1)::INT - 9 ELSE 2 * substring(reverse(digits), i, 1)::INT END)) % 10 = 0"
+
 ORACLES = {
+    "llm_language_folds": f"""
+        WITH RECURSIVE {CRC_TABLE}
+        SELECT doc_id, {CRC.format("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS undetermined FROM documents, crc_table
+    """,
+    "llm_base_spans": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({" UNION ALL ".join(spans_sql(i, k, p) for i, (k, p) in enumerate(SPAN_KINDS))}),
+        valid AS (
+            SELECT doc_id, kind, rank, start, start + length(value) AS stop FROM found
+            WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_max(list_transform(string_split(value, '.'), lambda x: x::HUGEINT)) <= 255
+                  WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND {LUHN} ELSE length(digits) BETWEEN 9 AND 15 END
+        )
+        SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _ in SPAN_KINDS)},
+               sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '')) AS base_sha256
+        FROM texts LEFT JOIN valid USING (doc_id) GROUP BY doc_id
+    """,
+    "llm_mix_targets": r"""
+        WITH RECURSIVE words AS (
+            SELECT source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM documents
+        ), sizes AS (
+            SELECT source, sum(n)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) AS k, 1 + (k - 1) % 3 AS weight FROM words GROUP BY source
+        ), rounds(i, full_sources) AS (
+            SELECT 0, []::BIGINT[]
+            UNION ALL
+            SELECT i + 1, coalesce((
+                SELECT list(s.k ORDER BY s.k) FROM sizes s, (
+                    SELECT (SELECT sum(size) FROM sizes) - coalesce(sum(3 * size) FILTER (list_contains(full_sources, k)), 0) AS open_words, sum(weight) FILTER (NOT list_contains(full_sources, k)) AS open_weight FROM sizes) o
+                WHERE list_contains(full_sources, s.k) OR open_words * s.weight / open_weight > 3 * s.size), [])
+            FROM rounds WHERE i < 64
+        ), last AS (SELECT coalesce(full_sources, []) AS full_sources FROM rounds ORDER BY i DESC LIMIT 1),
+        open AS (
+            SELECT full_sources, (SELECT sum(size) FROM sizes) - coalesce(sum(3 * size) FILTER (list_contains(full_sources, k)), 0) AS words, sum(weight) FILTER (NOT list_contains(full_sources, k)) AS weight
+            FROM sizes, last GROUP BY full_sources
+        )
+        SELECT source, size, size AS source_size, round(CASE WHEN list_contains(full_sources, k) THEN 3.0 * size ELSE words * sizes.weight / open.weight END, 4) AS target, true AS near FROM sizes, open
+    """,
     "op5_lm_scoring": r"""
         WITH docs AS (
             SELECT row_number() OVER () AS place, doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
