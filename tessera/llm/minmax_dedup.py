@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
         famed.join(hubs, ["band", "key"]).where(near_sizes).select("class", (-F.col("hub.first")).alias("hub_class")).where("class <> hub_class")
         .select(F.least("class", "hub_class").alias("a"), F.greatest("class", "hub_class").alias("b")).distinct(), "pairs",
     )
-    asked = members.select("class").distinct().join(classes.select("class", "head_id", "head_md5"), "class")
-    asked = cut(asked.select("class", F.col("head_id").alias("id"), F.col("head_md5").alias("md5")), "asked")
+    asked = classes.select("class", F.col("head_id").alias("id"), F.col("head_md5").alias("md5")).join(members.select("class").distinct(), "class", "left_semi")
+    asked = cut(asked, "asked")
     # The head's text; rows equal in id and text give the same set.
     sets = plain.join(small_or_shuffled(asked), ["id", "md5"]).select("class", "text").mapInArrow(_setter(width), "class long, hashes binary")
     sets = cut(sets.dropDuplicates(["class"]), "sets")
@@ -215,10 +215,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     more = cut(block.groupBy("band", "key", "i", "j").applyInPandas(_blocks(part, whole), "a long, b long"), "more")
     final = cut(components(links.unionByName(more)), "components")
 
-    # Written before they are joined, as one component may hold any share of the classes.
-    named = cut(classes.select("set", "class", "id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("class"), "named")
-    least = cut(named.groupBy("component").agg(F.min("id").alias("least")), "least")
-    named = cut(named.drop("id").join(least, "component").select("set", "least"), "named")
+    # Only classes of several: the others are their own component. Written first, as one component may hold any share of them.
+    linked = cut(final.withColumnRenamed("node", "class").join(classes.select("class", "id", "set"), "class").drop("class"), "linked")
+    least = cut(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
+    named = linked.join(small_or_shuffled(least), "component").select("set", "least")
+    # Rows that share a set without any link beyond it have their class's smallest id.
+    named = classes.select("set", "id").withColumnRenamed("id", "own").join(named, "set", "left").select("set", F.coalesce("least", "own").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return signed.select("id", "md5", "n", "set").join(named, "set", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"),

@@ -7,8 +7,12 @@ only. A pattern's flow then becomes whole documents: every document as often as
 order of a seeded hash once more until the rest is met; the last step tries the next documents in that order and takes
 those that still fit.
 
-Sizes are word counts. Null texts have size 0. A null source is a source of its own, ordered last. Rows that are
-equal in id and text are taken alike. An empty table gives an empty result.
+Sizes are word counts. Null texts have size 0. A null source is a source of its own, ordered last. Ties of the seeded order are
+rows equal in id and text, which are taken alike: a row that is repeated so often that its copies have more words than a target is
+off by can miss the target by them. Extra columns are not read; `mixture` passes them through. An empty table gives an empty result.
+
+The driver holds a row for each pattern, as a flow network is one problem: MOST_PATTERNS bounds it, and more patterns are an error
+that asks for coarser sources, never a sample.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ FITTED_DOCUMENTS, EXCHANGED = 512, 32
 #: Sums that are told apart; beyond it sizes are rounded.
 SUMS = 1 << 21
 BUCKET_BITS = 16
+#: Membership patterns that a flow is computed for.
+MOST_PATTERNS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -148,7 +154,10 @@ def mixed(docs: DataFrame, sources_column: str | None = None, cycle: tuple[int,
     sized = cut(sized, "sizes")
     # At most 2^BUCKET_BITS rows for each pattern.
     buckets = cut(sized.groupBy("sources", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "buckets")
-    patterns = {tuple(r.sources or ()): r.words for r in buckets.groupBy("sources").agg(F.sum("words").alias("words")).collect()}
+    by_pattern_words = buckets.groupBy("sources").agg(F.sum("words").alias("words")).limit(MOST_PATTERNS + 1).collect()
+    if len(by_pattern_words) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} membership patterns; make the sources coarser")
+    patterns = {tuple(r.sources or ()): r.words for r in by_pattern_words}
     sizes: dict = defaultdict(int)
     for p, words in patterns.items():
         for s in p:

@@ -1,5 +1,6 @@
 """Deduplication, packing, mixing, sharding and the pipeline: brute force, round trips and awkward rows."""
 
+import itertools
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -307,6 +308,38 @@ def test_routes_repeat_no_pattern_while_another_is_free():
     assert sum(max(0, sum(f.values()) - words[p]) for p, f in flow.items()) == 270 - 250
 
 
+def plain_routes(patterns, quotas, most):
+    """(words routed, cost) of the best flow by trying all: the most words first, then the least cost."""
+    arcs = [(p, s) for p in patterns for s in p]
+    cost = lambda p, words: sum(r * min(patterns[p], max(0, words - r * patterns[p])) for r in range(most))
+    best = None
+    for flow in itertools.product(*[range(min(patterns[p] * most, quotas[s]) + 1) for p, s in arcs]):
+        out, into = Counter(), Counter()
+        for (p, s), words in zip(arcs, flow, strict=True):
+            out[p] += words
+            into[s] += words
+        if all(out[p] <= most * patterns[p] for p in patterns) and all(into[s] <= quotas[s] for s in quotas):
+            found = (-sum(flow), sum(cost(p, out[p]) for p in patterns))
+            best = found if best is None else min(best, found)
+    return -best[0], best[1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_routes_equal_the_best_of_all_flows(seed):
+    rng = np.random.default_rng(seed)
+    options = [("a",), ("b",), ("a", "b"), ("b", "c"), ("c",)]
+    patterns = {options[i]: int(rng.integers(1, 4)) for i in rng.choice(5, 3, replace=False)}
+    quotas = {s: int(rng.integers(0, 7)) for p in patterns for s in p}
+    flow = mixing.route(patterns, quotas)
+    out = {p: sum(f.values()) for p, f in flow.items()}
+    cost = sum(sum(r * min(n, max(0, out[p] - r * n)) for r in range(3)) for p, n in patterns.items())
+    assert (sum(out.values()), cost) == plain_routes(patterns, quotas, 3)
+    into = Counter()
+    for f in flow.values():
+        into.update(f)
+    assert all(into[s] <= quotas[s] for s in into) and all(out[p] <= 3 * patterns[p] for p in patterns)
+
+
 def test_mixing(spark, sf, documents, awkward, nothing):
     out = QUERIES["op9_mixing"](spark, sf).collect()
     assert sorted(map(str, out)) == sorted(map(str, QUERIES["op9_mixing"](spark, sf).collect()))
