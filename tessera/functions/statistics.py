@@ -140,6 +140,16 @@ def benjamini_hochberg(ps: list[float], alpha: float) -> list[bool]:
     return [i in rejected for i in range(m)]
 
 
+def rejection_threshold(counted: list[tuple[float, int]], alpha: float) -> float:
+    """The largest p-value that Benjamini-Hochberg rejects, from (p, number of hypotheses); below 0 if none is."""
+    m, rank, out = sum(n for _, n in counted), 0, -1.0
+    for p, n in sorted(counted):
+        rank += n
+        if p <= rank * alpha / m:
+            out = p
+    return out
+
+
 def attenuation(value: float, reference: float) -> float:
     """1 for a vanished effect, 0 for one as large as the reference."""
     return 0.0 if reference == 0 else 1 - min(1.0, abs(value / reference))

@@ -56,7 +56,7 @@ def swept(t, prior=D.abstaining_prior):
 
 
 def rows_sql(rows, columns) -> str:
-    quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v)
+    quote = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v!r}::{'DOUBLE' if isinstance(v, float) else 'BIGINT'}"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) v({', '.join(columns)})"
 
 

@@ -8,6 +8,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,16 +110,14 @@ def document_sample(documents: DataFrame, text_column: str, characters: int = 40
 
 
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page_idx, text) of PDF files; needs pypdf on the executors. A bad page fails the read."""
+    """(path, page_idx, text) of PDF files. A bad page fails the read."""
 
     def read(batches):
-        import io
-
-        import pandas as pd
-        from pypdf import PdfReader
+        from tessera.sources.pdf import page_texts
 
         for batch in batches:
-            rows = [(r.path, i, p.extract_text()) for r in batch.itertuples() for i, p in enumerate(PdfReader(io.BytesIO(r.content)).pages)]
-            yield pd.DataFrame(rows, columns=["path", "page_idx", "text"])
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                texts = list(page_texts(content))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(range(len(texts)), pa.int32()), pa.array(texts, pa.string())], ["path", "page_idx", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, page_idx int, text string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, page_idx int, text string")
