@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     least = cut(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
     named = linked.join(small_or_shuffled(least), "component").select("set", "least")
     # Rows that share a set without any link beyond it have their class's smallest id.
-    named = classes.select("set", "id").withColumnRenamed("id", "own").join(named, "set", "left").select("set", F.coalesce("least", "own").alias("least"))
+    # Written, so that Spark can split the rows of a set that many share.
+    named = cut(classes.select("set", "id").withColumnRenamed("id", "own").join(named, "set", "left").select("set", F.coalesce("least", "own").alias("least")), "named")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return signed.select("id", "md5", "n", "set").join(named, "set", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"),
