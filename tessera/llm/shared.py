@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of values, with ROW_BYTES for each row, of a table that may be broadcast: some 100 MB as a hash relation.
-BROADCAST_BYTES, ROW_BYTES = 32_000_000, 16
+#: Bytes of values, with ROW_BYTES for each row, of a table that may be broadcast: some 40 MB as a hash relation.
+BROADCAST_BYTES, ROW_BYTES = 12_000_000, 16
 
 #: Rows that Python workers get at once: texts, token ids and shingle sets are wide.
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
