@@ -51,7 +51,7 @@ from tessera.queries.registry import query, r6, rounded
 from tessera.queries.statistics import NAMES, atoms_of_flags, flag_sql, frame, g_test, matrix, single_findings, singles_sql
 from tessera.sources import profile as PR
 from tessera.sources.store import Store
-from tessera.sources.tabular import Stage, scan, to_parquet
+from tessera.sources.tabular import Stage, pdf_pages, scan, to_parquet
 
 C = Constraint
 
@@ -106,7 +106,7 @@ query("src_store", stored, "SELECT 'r/' || r_regionkey || '.txt' AS key, r_name
 def staged(t) -> DataFrame:
     df = t("supplier").select("s_suppkey")
     at = scratch(df.sparkSession)
-    stage, paths = Stage(df.sparkSession, capacity=1), [to_parquet(df, f"{at}/a.parquet"), to_parquet(df.where("s_suppkey < 3"), f"{at}/b.parquet")]
+    stage, paths = Stage(df.sparkSession, capacity=1), [to_parquet(df, f"{at}/a.parquet"), to_parquet(df.where("s_suppkey % 2 = 0"), f"{at}/b.parquet")]
     rows = []
     for use, i in enumerate((0, 0, 1)):
         with stage.use(paths[i]) as d:
@@ -119,7 +119,7 @@ def staged(t) -> DataFrame:
 
 query("src_stage", staged, """
     SELECT CAST(0 AS INT) AS use, count(*) AS rows, CAST(1 AS BIGINT) AS kept FROM supplier UNION ALL SELECT 1, count(*), 1 FROM supplier
-    UNION ALL SELECT 2, count(*), 2 FROM supplier WHERE s_suppkey < 3 UNION ALL SELECT 3, 0, 0""")
+    UNION ALL SELECT 2, count(*), 2 FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 3, 0, 0""")
 
 # Profiles.
 KINDS = {"event_id": "numeric", "user_id": "numeric", "ts": "temporal", "event_type": "string", "value": "numeric", "props": "string"}
@@ -287,7 +287,7 @@ def starved(t) -> tuple[bool, bool]:
 
 
 query("publish_promotion", lambda t: frame(t, [(int(x.id),) for x in P.claim_matches(single_findings(t), [a, q])], "segment int"), "SELECT CAST(unnest([0, 5]) AS INT) AS segment")
-query("publish_union", lambda t: P.union_all(t("orders").select("o_orderstatus"), t("orders").where("o_orderkey < 5").select("o_orderstatus")).groupBy("o_orderstatus").count(), "SELECT o_orderstatus, count(*) AS count FROM (SELECT o_orderstatus FROM orders UNION ALL SELECT o_orderstatus FROM orders WHERE o_orderkey < 5) GROUP BY 1")
+query("publish_union", lambda t: P.union_all(t("orders").select("o_orderstatus"), t("orders").where("o_orderpriority = '1-URGENT'").select("o_orderstatus")).groupBy("o_orderstatus").count(), "SELECT o_orderstatus, count(*) AS count FROM (SELECT o_orderstatus FROM orders UNION ALL SELECT o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
 query("publish_keys", lambda t: frame(t, [(key([a, f]) == key([f, a, f]), key([C("L_RETURNFLAG", "eq", "A")]) == key([a]), key([C("x", "in", ("b", "a", "b"))]) == key([C("x", "in", ("a", "b"))]), key([a]) == key([n]))], "order_free boolean, case_free boolean, set_free boolean, other boolean"), "SELECT true AS order_free, true AS case_free, true AS set_free, false AS other")
 query("publish_top", lambda t: rounded(P.top(t("orders").select("o_orderkey", "o_totalprice"), 20, "o_totalprice", "o_orderkey"), 2), "SELECT o_orderkey, round(o_totalprice, 2) + 0.0 AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 20")
 query("rank_improvements", lambda t: frame(t, [(int(x.id), objective.improves(x.value, 38000.0), objective.delta(x.value, 38000.0) > 0) for x in single_findings(t)], "segment int, improves boolean, gains boolean"), f"{singles_sql} SELECT segment, value > 38000 AS improves, value > 38000 AS gains FROM f")
@@ -362,3 +362,99 @@ def audited(t) -> DataFrame:
 
 query("ctl_audit", audited, "SELECT 'u1' AS actor, unnest(['created', 'deleted']) AS action, r_name FROM region")
 query("planted_interaction", lambda t: rounded(frame(t, [(m["avg(Y)"] if "avg(Y)" in m else m["Y"], m[ROW_COUNT]) for m in [execute(planted(t), Objective("avg", Ref("Y")), [C("B", "eq", "b1"), C("C", "eq", True)])]], "value double, support long")), f"WITH {PLANTED} SELECT {r6('avg(Y)')} AS value, count(*) AS support FROM planted WHERE B = 'b1' AND C")
+
+
+# Document pages, extraction and the shell.
+def page_file(lines: list[str]) -> bytes:
+    """A PDF file of one line a page."""
+    kids = " ".join(f"{10 + i} 0 R" for i in range(len(lines)))
+    out = ["%PDF-1.4", "1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", f"2 0 obj << /Type /Pages /Kids [{kids}] /Count {len(lines)} >> endobj"]
+    for i, line in enumerate(lines):
+        shown = f"BT 72 700 Td ({line}) Tj ET"
+        out += [f"{10 + i} 0 obj << /Type /Page /Parent 2 0 R /Contents {100 + i} 0 R >> endobj", f"{100 + i} 0 obj << /Length {len(shown)} >> stream\n{shown}\nendstream endobj"]
+    return "\n".join([*out, "%%EOF"]).encode("latin-1")
+
+
+def paged(t) -> DataFrame:
+    spark = t("nation").sparkSession
+    store = Store(spark, scratch(spark))
+    names = [r.n_name for r in t("nation").orderBy("n_nationkey").select("n_name").collect()]  # 25 rows
+    return pdf_pages(spark, store.put("nations.pdf", page_file(names))).select("page_idx", "text")
+
+
+query("src_pdf_pages", paged, "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS page_idx, n_name AS text FROM nation")
+EXTRACTED = [("total", "regex", 0.3, 0.3, 1), ("total", "regex", 0.5, 0.2, 2), ("total", "table", 0.4, 0.1, 2), ("total", "regex", 0.5, 0.0, 3), ("total", "table", 0.4, -0.1, 3), ("total", "regex", 0.5, 0.1, 3), ("total", "regex", 0.5, 0.0, 4), ("total", "table", 0.4, -0.1, 4), ("total", "table", 0.4, 0.0, 3), ("total", "table", 0.4, 0.4, 1), ("total", "regex", 0.5, 0.1, 2), ("total", "regex", 0.5, 0.0, 3), ("total", "table", 0.4, -0.1, 3), ("total", "table", 0.4, 0.0, 2)]
+
+
+def extract(field: str, method: str, parent) -> tuple[str, float]:
+    """Tables are as sure at any depth; expressions get surer once."""
+    return "7", 0.4 if method == "table" else 0.3 if parent is None else 0.5
+
+
+query("extraction_loop", lambda t: rounded(frame(t, [(x.field, x.method, x.confidence, x.effect, x.depth) for x in R.extraction(["total"], ["regex", "table"], extract)], "field string, method string, confidence double, effect double, depth long")), rows_sql(EXTRACTED, ["field", "method", "confidence", "effect", "depth"]).replace("SELECT *", f"SELECT field, method, {r6('confidence')} AS confidence, {r6('effect')} AS effect, depth"))
+query("graph_same_source", lambda t: frame(t, [(i, R.same_source(*x)) for i, x in enumerate((("a", "a", ["x"], {"x": "c"}), ("a", "b", ["x"], {"x": "c"}), ("a", "a", ["y"], {"x": "c"}), ("a", "a", [], {})))], "i long, same boolean"), rows_sql([(0, True), (1, False), (2, False), (3, True)], ["i", "same"]))
+
+
+def fail_closed(t) -> DataFrame:
+    """A column with an infinite value: its tests fail, and its edges stay as unknown."""
+    df = planted(t).withColumn("A", F.when(F.col("A") < 0.5, F.col("A")).otherwise(F.lit(float("inf"))))
+    s = D.skeleton(["A", "X", "Z"], lambda asked: D.independence_ps(df, {n: D.Variable(n, True) for n in "AXZ"}, asked), max_conditions=0)
+    return frame(t, [(a, b, s.status[a, b]) for a, b in sorted(s.edges)], "a string, b string, status string")
+
+
+query("planted_unknown", fail_closed, rows_sql([("A", "X", "unknown"), ("A", "Z", "unknown"), ("X", "Z", "tested")], ["a", "b", "status"]))
+
+
+def account_changes(t) -> DataFrame:
+    from tessera.service import accounts
+
+    users = t("region").selectExpr("CAST(r_regionkey AS STRING) AS user_id", "r_name AS username", "'h' AS password_hash", "CASE WHEN r_regionkey = 0 THEN 'admin' ELSE 'member' END AS role", "r_regionkey < 4 AS active")
+    changes = {"last admin": ("0", {"role": "member"}), "last active": ("0", {"active": False}), "taken": ("1", {"username": t("region").where("r_regionkey = 2").first().r_name.lower()}), "unknown": ("9", {"active": True}), "field": ("1", {"created_at": 1}), "promoted": ("1", {"role": "admin"})}
+    rows = [(n, refused(lambda i=i, c=c: accounts.update_user(users, i, **c))) for n, (i, c) in changes.items()]
+    own = accounts.hash_password("x", 1000)
+    return frame(t, [*rows, ("password", str(accounts.verify_password("x", own) and not accounts.verify_password("y", own)))], "name string, outcome string")
+
+
+query("acc_changes", account_changes, rows_sql([("last admin", "RequestShape"), ("last active", "RequestShape"), ("taken", "RequestShape"), ("unknown", "UnknownField"), ("field", "RequestShape"), ("promoted", "ok"), ("password", "True")], ["name", "outcome"]))
+
+
+def answers(t) -> DataFrame:
+    from tessera.service.http import Service
+
+    service = Service(lambda ref: t(ref))
+    ask = {"aggregation": "count", "field": "o_orderkey", "filters": [{"field": "o_orderstatus", "op": "eq", "value": "F"}]}
+    cases = [("/execute", ask | {"data_source_ref": "orders"}), ("/execute", ask), ("/execute", ask | {"data_source_ref": "orders", "aggregation": "mode"}), ("/nothing", {"data_source_ref": "orders"}), ("/execute", ask | {"data_source_ref": "missing"})]
+    return frame(t, [(i, status, body.get(ROW_COUNT, -1)) for i, (status, body) in enumerate(service.answer(*c) for c in cases)], "i long, status long, rows long")
+
+
+query("svc_requests", answers, "SELECT CAST(0 AS BIGINT) AS i, CAST(200 AS BIGINT) AS status, count(*) AS rows FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT i, status, -1 FROM (VALUES (1, 400), (2, 400), (3, 404), (4, 500)) v(i, status)")
+
+
+def streamed(t) -> DataFrame:
+    from tessera.service.http import frames
+    from tessera.streaming.hub import Hub
+
+    hub = Hub()
+    for r in t("region").orderBy("r_regionkey").select("r_name").collect():  # five rows
+        hub.publish("g", "candidate", r.r_name)
+    stream = frames(hub, "g", keepalive=0.01)
+    rows = [(i, next(stream).decode()) for i in range(6)]
+    stream.close()
+    return frame(t, rows, "i long, frame string")
+
+
+query("svc_stream", streamed, """SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS i, 'data: {"type": "candidate", "payload": "' || r_name || '"}' || chr(10) || chr(10) AS frame FROM region UNION ALL SELECT 5, ': keepalive' || chr(10) || chr(10)""")
+
+
+def traced(evidence: DataFrame, edges: DataFrame) -> DataFrame:
+    import json
+
+    from tessera.service.tools import TRACE, Tools
+
+    tools = Tools({"evidence": evidence, "edges": edges}, HashedEmbedder(), lambda *x: "", lambda *x: "")
+    found = tools.answer({"id": 1, "method": "tools/call", "params": {"name": TRACE, "arguments": {"meta_heuristic_id": "h2"}}})
+    rows = [(r["intervention_id"], r["outcome_id"], r["epistemic_source"], "caveat" in r) for r in json.loads(found["result"]["content"][0]["text"])["triplets"]]
+    return evidence.sparkSession.createDataFrame(rows, "intervention_id string, outcome_id string, epistemic_source string, warned boolean")
+
+
+named("svc_tools_trace", traced, ["evidence", "edges"], "SELECT DISTINCT intervention_id, outcome_id, coalesce(epistemic_source, 'observational') AS epistemic_source, coalesce(epistemic_source, '') = 'causal_inferred' AS warned FROM evidence JOIN edges ON node_id IN (state_id, intervention_id, outcome_id) WHERE heuristic_id = 'h2'")
