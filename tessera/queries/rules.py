@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,18 +48,12 @@ from tessera.queries.planted import PLANTED, planted, rows_sql
 from tessera.queries.registry import query, r6, rounded
 from tessera.queries.statistics import NAMES, atoms_of_flags, flag_sql, frame, g_test, matrix, single_findings, singles_sql
 from tessera.sources import profile as PR
-from tessera.sources.store import Store
+from tessera.sources.store import Store, scratch
 from tessera.sources.tabular import Stage, pdf_pages, scan, to_parquet
 
 C = Constraint
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at.rstrip('/') if at else 'file://' + tempfile.mkdtemp(prefix='tessera-')}/{uuid.uuid4().hex}"
-
-
 def refused(make) -> str:
     """The name of the error that a request is refused with, or `ok`."""
     try:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 from tessera.plans.errors import RequestShape
@@ -10,6 +13,15 @@ from tessera.plans.errors import RequestShape
 MAX_OBJECT = 512 * 2**20
 
 
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder that all executors see: below spark.checkpoint.dir, or below the default file system's home where that
+    is unset; only a local master gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if spark.sparkContext.master.startswith("local[") else ".tessera"
+    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
