@@ -186,6 +186,7 @@ def test_near_vectors_of_dense_balls(spark, monkeypatch):
     """Nodes of which every pair links are settled as a whole, against all pairs."""
     monkeypatch.setattr(V, "BLOCK", 24)
     monkeypatch.setattr(V, "PIVOTS", 4)
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)  # pivots by a join
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(3, 16))
     x = np.concatenate([c + rng.normal(scale=s, size=(90, 16)) for c in centres for s in (0.002, 0.05)])
@@ -197,6 +198,21 @@ def test_near_vectors_of_dense_balls(spark, monkeypatch):
     assert [(out[f"v{i:04d}"].n_links, out[f"v{i:04d}"].component_id) for i in range(len(x))] == [(int(n), f"v{comps[i]:04d}") for i, n in enumerate(want.sum(1))]
 
 
+def test_tables_are_measured_before_they_are_broadcast(spark, monkeypatch):
+    from tessera.llm import shared
+
+    df = shared.cut(spark.range(100).selectExpr("id", "repeat('x', 50) AS s", "array(id, id) AS a", "cast(null as string) AS n"), "measured")
+    assert shared.bytes_of(df) == 100 * (shared.ROW_BYTES + 8 + 50) + sum(len(f'{{"a":[{i},{i}]}}') for i in range(100))
+    plan = lambda: df.join(shared.small_or_shuffled(df), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 100)
+    assert "strategy=broadcast" not in plan()
+    assert shared.bytes_of(df.where("false")) == 0
+    shared.discard(df)
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_ids_of_text(spark, awkward):
     """Ids of any type: the same results as with numbers."""
     rows = awkward.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
