@@ -45,8 +45,8 @@ PATTERNS = {
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 TERM = r"\p{L}[\p{L}\p{M}]{2,}"
 EVIDENCE, DISCLOSURE, REMOVAL = 3, 0.9, 0.98
-#: Spans, and characters of a text, that are taken together, so that prefix sums and pieces of a text are found in two levels.
-CHUNK, CHARACTERS = 128, 1024
+#: Characters of a text that are taken together, so that a piece of it is found in two levels.
+CHARACTERS = 1024
 
 SPAN = "struct<start: int, rank: int, end: int, value: string>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
@@ -58,17 +58,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """For each of an array of ints (none below 0) all up to and with it combined, by + or greatest; in time O(n CHUNK + (n / CHUNK)^2)."""
+    """For each of an array of ints (none below 0) all up to and with it combined, by + or greatest.
+
+    Of n values some (2 n)^(1/3) are taken together, so that the steps inside a group and those over groups before it are few:
+    O(n^(4/3)) in all.
+    """
     to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
     total = lambda part: F.aggregate(part, F.lit(0), combine)
 
-    def along(v: Column) -> Column:
-        chunks = F.transform(to(F.ceil(F.size(v) / CHUNK).cast("int")), lambda c: total(F.slice(v, c * CHUNK + 1, CHUNK)))
-        before = lambda chunks: F.transform(to(F.size(chunks)), lambda c: total(F.slice(chunks, F.lit(1), c)))
-        within = lambda i: total(F.slice(v, i - i % CHUNK + 1, i % CHUNK + 1))
-        return let(chunks, lambda c: let(before(c), lambda b: F.transform(to(F.size(v)), lambda i: combine(F.get(b, (i / CHUNK).cast("int")), within(i)))))
+    def along(v: Column, together: Column) -> Column:
+        groups = F.transform(to(F.ceil(F.size(v) / together).cast("int")), lambda g: total(F.slice(v, g * together + 1, together)))
+        before = lambda groups: F.transform(to(F.size(groups)), lambda g: total(F.slice(groups, F.lit(1), g)))
+        within = lambda i: total(F.slice(v, i - i % together + 1, i % together + 1))
+        return let(groups, lambda g: let(before(g), lambda b: F.transform(to(F.size(v)), lambda i: combine(F.get(b, (i / together).cast("int")), within(i)))))
 
-    return let(values, along)
+    return let(values, lambda v: let(F.greatest(F.ceil(F.cbrt(2 * F.size(v))), F.lit(1)).cast("int"), lambda together: along(v, together)))
 
 
 def spans_of(text: Column, pattern: str, kind: str, valid=None) -> Column:
