@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.statistics import attenuation
 from tessera.operators.analyze import group_keys, stratified_effect
-from tessera.operators.discovery import Orientation, edge
+from tessera.operators.discovery import Orientation
 from tessera.operators.expressions import aggregated, free_name, segment, with_value
 from tessera.operators.measure import execute
 from tessera.plans.canonical import finding_seed
