@@ -22,7 +22,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import carried, cut, text_of
+from tessera.llm.shared import carried, cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A pattern's last partial repetition is rounded to whole documents among at least so many of them, in seeded order.
