@@ -1,8 +1,10 @@
 """Causal discovery over columns: conditional-independence tests, a level-wise skeleton sweep, and edge orientation.
 
-All data access is through contingency tables and moments. The tests of one level are independent of each other, so a level takes
-their tables and moments together: each row becomes one narrow row for every distinct set of columns asked about, which partial
-aggregation folds at once, and a level costs a scan for every AT_ONCE sets, not one for every test.
+All data access is through contingency tables and moments. A sweep folds the rows once into cells, one for each combination of bins
+and categories with its sums, and every test is a sum over cells. Where the cells would be too many, rows are read again: the tests of
+one level are independent of each other, so a level takes their tables and moments together. Each row becomes one narrow row for every
+distinct set of columns asked about, which partial aggregation folds at once, and a level costs a scan for every AT_ONCE sets, not
+one for every test.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import statistics as S
@@ -26,6 +29,8 @@ from tessera.sources.profile import resolve
 ALPHA, MAX_CONDITIONS, BINS, COLUMN_CAP, MAX_TESTS = 0.05, 2, 4, 50, 20_000
 #: Column sets whose tables or moments come from one scan.
 AT_ONCE = 128
+#: Cells and sums of a cell up to which a sweep folds its rows.
+MAX_CELLS, MAX_SUMS = 100_000, 200
 TESTED, UNKNOWN, CAPPED = "tested", "unknown", "budget_capped"
 
 
@@ -52,11 +57,66 @@ def present(df: DataFrame) -> DataFrame:
     return df
 
 
-def moments_of_sets(df: DataFrame, sets: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[tuple, list[dict]]:
+@dataclass(frozen=True)
+class Folded:
+    """Cells (k_i: key of the i-th column; n: rows; s_i, q_i, x_i_j: sums of numbers, squares and products) and the columns' places.
+
+    A key is null where its column is, so a cell's rows have the same nulls, and a sum is null where there is nothing to sum.
+    """
+
+    cells: DataFrame
+    place: dict[str, int]
+
+    def keys(self, names: Iterable[str]) -> list[str]:
+        return [f"k_{self.place[n]}" for n in names]
+
+    def sums(self, names: tuple[str, ...]) -> dict[str, str]:
+        """The columns of moments, each with its column of the cells."""
+        own = [self.place[n] for n in names]
+        out = {f"{f}_{i}": f"{c}_{p}" for i, p in enumerate(own) for f, c in (("sum", "s"), ("sumsq", "q"))}
+        return out | {f"cross_{i}_{j}": f"x_{min(own[i], own[j])}_{max(own[i], own[j])}" for i, j in itertools.combinations(range(len(own)), 2)}
+
+
+def binned_keys(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[str, list[float]]) -> list[Column]:
+    """The key of each column, null where the column is."""
+    return [F.when(resolve(df.schema, v.name).column.isNotNull(), group_keys(df, [(v.name, bins if v.numeric else 0)], cuts)[0]) for v in columns]
+
+
+def folded(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[str, list[float]]) -> Folded | None:
+    """The cells of all columns, kept until they are unpersisted; None if there may be too many of them or of their sums."""
+    numbers = [i for i, v in enumerate(columns) if v.numeric]
+    if len(numbers) * (len(numbers) + 3) // 2 > MAX_SUMS:
+        return None
+    keys = [k.alias(f"k_{i}") for i, k in enumerate(binned_keys(df, columns, bins, cuts))]
+    if df.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0] > MAX_CELLS:
+        return None
+    value = {i: resolve(df.schema, columns[i].name).column.cast("double").alias(f"v_{i}") for i in numbers}
+    rows, v = df.select(*keys, *value.values()), {i: F.col(f"v_{i}") for i in numbers}
+    sums = [x for i in numbers for x in (F.sum(v[i]).alias(f"s_{i}"), F.sum(v[i] * v[i]).alias(f"q_{i}"))]
+    sums += [F.sum(v[i] * v[j]).alias(f"x_{i}_{j}") for i, j in itertools.combinations(numbers, 2)]
+    cells = rows.groupBy(*[f"k_{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"), *sums)
+    return Folded(cells.persist(StorageLevel.MEMORY_AND_DISK), {c.name: i for i, c in enumerate(columns)})
+
+
+def of_cells(cells: Folded, part: list[tuple], keys: Callable, sums: Callable) -> list:
+    """For each entry of part its cells, summed by its keys: rows (set, keys..., n, sums...)."""
+    k, s = [keys(x) for x in part], [sums(x) for x in part]
+    width, names = max(map(len, k)), list(max(s, key=len))
+    fill = lambda own: [F.col(own[j]) if j < len(own) else F.lit("") for j in range(width)]
+    wide = F.array(*[F.struct(F.lit(i).alias("set"), *[c.alias(f"g{j}") for j, c in enumerate(fill(k[i]))], F.col("n"), *[(F.col(s[i][f]) if f in s[i] else F.lit(0.0)).alias(f) for f in names]) for i in range(len(part))])
+    rows = present(cells.cells.select(F.explode(wide).alias("x")).select("x.*"))
+    return rows.groupBy("set", *[f"g{j}" for j in range(width)]).agg(F.sum("n").alias("n"), *[F.sum(f).alias(f) for f in names]).collect()  # bounded by sets and categories
+
+
+def moments_of_sets(df: DataFrame, sets: list[tuple[tuple[str, ...], tuple[str, ...]]], cells: Folded | None = None) -> dict[tuple, list[dict]]:
     """For (variables, groups) the rows that collected_moments has, of complete cases; several sets from one scan."""
     out: dict[tuple, list[dict]] = {s: [] for s in sets}
     for at in range(0, len(sets), AT_ONCE):
         part = sets[at : at + AT_ONCE]
+        if cells:
+            for r in of_cells(cells, part, lambda s: cells.keys(s[1]), lambda s: cells.sums(s[0])):
+                out[part[r["set"]]].append(r.asDict())
+            continue
         k, g = max(len(v) for v, _ in part), max(len(x) for _, x in part)
         values = lambda v: [resolve(df.schema, n).column.cast("double") for n in v] + [F.lit(0.0)] * (k - len(v))
         keys = lambda x: [resolve(df.schema, n).column.cast("string") for n in x] + [F.lit("")] * (g - len(x))
@@ -77,14 +137,19 @@ def moments_of_sets(df: DataFrame, sets: list[tuple[tuple[str, ...], tuple[str,
     return out
 
 
-def tables_of_sets(df: DataFrame, sets: list[tuple[str, ...]], by: dict[str, Variable], bins: int, cuts: dict[str, list[float]]) -> dict[tuple, dict[tuple, int]]:
+def tables_of_sets(df: DataFrame, sets: list[tuple[str, ...]], by: dict[str, Variable], bins: int, cuts: dict[str, list[float]], cells: Folded | None = None) -> dict[tuple, dict[tuple, int]]:
     """For each set of columns its contingency table over complete cases, numbers in bins; several sets from one scan."""
     out: dict[tuple, dict[tuple, int]] = {s: {} for s in sets}
     for at in range(0, len(sets), AT_ONCE):
         part = sets[at : at + AT_ONCE]
+        if cells:
+            for r in of_cells(cells, part, cells.keys, lambda s: {}):
+                own = part[r["set"]]
+                out[own][tuple(r)[1 : 1 + len(own)]] = r["n"]
+            continue
         width = max(map(len, part))
         used = sorted({n for s in part for n in s})
-        keyed = df.select(*[F.when(resolve(df.schema, n).column.isNotNull(), group_keys(df, [(n, bins if by[n].numeric else 0)], cuts)[0]).alias(f"k{i}") for i, n in enumerate(used)])
+        keyed = df.select(*[k.alias(f"k{i}") for i, k in enumerate(binned_keys(df, [by[n] for n in used], bins, cuts))])
         place = {n: F.col(f"k{i}") for i, n in enumerate(used)}
         wide = F.array(*[F.struct(F.lit(i).alias("set"), *[(place[s[j]] if j < len(s) else F.lit("")).alias(f"c{j}") for j in range(width)]) for i, s in enumerate(part)])
         rows = present(keyed.select(F.explode(wide).alias("x")).select("x.*"))
@@ -94,7 +159,7 @@ def tables_of_sets(df: DataFrame, sets: list[tuple[str, ...]], by: dict[str, Var
     return out
 
 
-def independence_ps(df: DataFrame, by: dict[str, Variable], asked: list[Asked], bins: int = BINS, cuts: dict[str, list[float]] | None = None) -> list[float | None | RequestError]:
+def independence_ps(df: DataFrame, by: dict[str, Variable], asked: list[Asked], bins: int = BINS, cuts: dict[str, list[float]] | None = None, cells: Folded | None = None) -> list[float | None | RequestError]:
     """p-values of independence of the first two of each test given the others; None if untestable, an error if the data are at fault.
 
     Two numbers: Fisher z of the (partial) correlation, pooled over the strata of categorical conditions. Otherwise a conditional
@@ -111,7 +176,7 @@ def independence_ps(df: DataFrame, by: dict[str, Variable], asked: list[Asked],
             tables[plans[-1][1]] = None
     if cuts is None:
         cuts = all_cuts(df, sorted({n for t in tables for n in t if by[n].numeric}), bins)
-    found, cells = moments_of_sets(df, list(wanted)), tables_of_sets(df, list(tables), by, bins, cuts)
+    found, counts = moments_of_sets(df, list(wanted), cells), tables_of_sets(df, list(tables), by, bins, cuts, cells)
     out: list[float | None | RequestError] = []
     for by_moments, key in plans:
         if by_moments:
@@ -120,7 +185,7 @@ def independence_ps(df: DataFrame, by: dict[str, Variable], asked: list[Asked],
             except RequestError as error:
                 out.append(error)
         else:
-            g = S.conditional_g(cells[key])
+            g = S.conditional_g(counts[key])
             out.append(None if g is None else g[2])
     return out
 
@@ -322,9 +387,14 @@ def priority_columns(objective: Objective, constraints: Iterable[Constraint], fi
 def discover(df: DataFrame, columns: list[Variable], priority: Iterable[str] = (), alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, bins: int = BINS, max_tests: int = MAX_TESTS, correction: str = "bh", column_cap: int = COLUMN_CAP, prior: OrientationPrior = abstaining_prior) -> tuple[Skeleton, Orientation]:
     by = {v.name: v for v in columns}
     cuts = all_cuts(df, [v.name for v in columns if v.numeric], bins)
-    tests = lambda asked: independence_ps(df, by, asked, bins, cuts)
-    names, excluded = capped_columns([v.name for v in columns], list(priority), tests, column_cap)
-    found = skeleton(names, tests, alpha, max_conditions, max_tests, correction)
+    cells = folded(df, columns, bins, cuts)
+    tests = lambda asked: independence_ps(df, by, asked, bins, cuts, cells)
+    try:
+        names, excluded = capped_columns([v.name for v in columns], list(priority), tests, column_cap)
+        found = skeleton(names, tests, alpha, max_conditions, max_tests, correction)
+    finally:
+        if cells:
+            cells.cells.unpersist()
     found.excluded = excluded
     return found, oriented(found, prior)
 

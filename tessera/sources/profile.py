@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -118,34 +119,78 @@ def cut_shares(bins: int) -> list[float]:
     return [round(i / bins, 6) for i in range(1, bins)]
 
 
-#: Different values of a column up to which one aggregate holds them all; beyond it they are ranked over range partitions.
+#: Rows up to which one aggregate holds all values of the columns; beyond it no task does.
 HELD_VALUES = 2_000_000
+#: Estimated quantiles are off by at most one row in so many.
+NEAR = 10_000
+#: Brackets of quantiles that one scan counts.
+BRACKETS = 32
 
 
 def quantile_cuts(df: DataFrame, columns: list[str], bins: int, held: int = HELD_VALUES) -> dict[str, list[float]]:
     """bins - 1 interpolated quantiles of each numeric column, nulls left out, non-finite cuts dropped; exact.
 
-    A quantile lies between the values of two ranks. Columns of few different values (an estimate decides, as both ways give the
-    same) take one job; the others' values are counted, ordered by range partitions, and ranked by prefix sums of partition totals.
+    A quantile lies between the values of two ranks. Up to `held` rows take one aggregate. Of more, estimates bracket each quantile, and
+    only the values within a bracket are ranked; should a rank be in none, all values of its column are.
     """
     check_bins(bins)
     if not bins or not columns:
         return {c: [] for c in columns}
     own = {c: numeric(df.schema, c).column.cast("double") for c in dict.fromkeys(columns)}
-    estimate = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
-    many: list[str] = []
-    if estimate > held:
-        row = df.agg(*[F.approx_count_distinct(x).alias(f"n{i}") for i, x in enumerate(own.values())]).first()
-        many = [c for i, c in enumerate(own) if row[i] > held]
-    found: dict[str, list] = {}
-    if few := [c for c in own if c not in many]:
-        row = df.agg(*[F.percentile(own[c], F.array(*map(F.lit, cut_shares(bins)))).alias(f"q{i}") for i, c in enumerate(few)]).first()
-        found = {c: row[i] or [] for i, c in enumerate(few)}
-    if many:
-        found |= ranked_cuts(df, {c: own[c] for c in many}, cut_shares(bins))
+    if df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"] > held:
+        found = bracketed_cuts(df, own, cut_shares(bins))
+        if missed := {c: x for c, x in own.items() if c not in found}:
+            found |= ranked_cuts(df, missed, cut_shares(bins))
+    else:
+        row = df.agg(*[F.percentile(x, F.array(*map(F.lit, cut_shares(bins)))).alias(f"q{i}") for i, x in enumerate(own.values())]).first()
+        found = {c: row[i] or [] for i, c in enumerate(own)}
     return {c: [x for x in found[c] if x is not None and abs(x) != float("inf") and x == x] for c in columns}
 
 
+def ranks(share: float, n: int) -> tuple[int, int]:
+    """The ranks, from 0, between whose values a quantile of n values lies."""
+    return math.floor(share * (n - 1)), math.ceil(share * (n - 1))
+
+
+def between(share: float, n: int, low: float, high: float) -> float:
+    x = share * (n - 1)
+    return low if x == math.floor(x) else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+
+
+def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
+    """Exact interpolated quantiles of the columns whose ranks the brackets hold, which is all but for a fault of the estimates.
+
+    One scan estimates both sides of each quantile. Another one, for BRACKETS of them, counts each value inside a bracket, some 4 in NEAR
+    rows, and the rows between two brackets as one; ordered, the counts are ranks.
+    """
+    names, spark = list(own), df.sparkSession
+    asked = F.array(*[F.lit(min(max(p + d / NEAR, 0.0), 1.0)) for p in shares for d in (-2, 2)])
+    row = df.agg(*[x for i, v in enumerate(own.values()) for x in (F.count(v).alias(f"n{i}"), F.percentile_approx(v, asked, NEAR).alias(f"q{i}"))]).first()
+    total = {c: row[f"n{c}"] for c in range(len(names))}
+    at = {}
+    step = max(1, BRACKETS // len(shares))
+    for first in range(0, len(names), step):
+        part = [c for c in range(len(names))[first : first + step] if total[c]]
+        if not part:
+            continue
+        edges = [(F.col("c") == c, *row[f"q{c}"][2 * i : 2 * i + 2]) for c in part for i in range(len(shares))]
+        inside = reduce(Column.__or__, [here & F.col("v").between(low, high) for here, low, high in edges])
+        passed = reduce(Column.__add__, [F.when(here & (F.col("v") > high), 1).otherwise(0) for here, _, high in edges])
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), own[names[c]].alias("v")) for c in part])
+        values = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
+        counts = values.groupBy("c", passed.alias("passed"), F.when(inside, F.col("v")).alias("value")).agg(F.count("*").alias("n"), F.max("v").alias("most"))
+        last = counts.withColumn("last", F.sum("n").over(Window.partitionBy("c").orderBy("most")) - 1)
+        wanted = F.broadcast(spark.createDataFrame(sorted({(c, k) for c in part for p in shares for k in ranks(p, total[c])}), "c int, k long"))
+        hit = last.join(wanted, "c").where("k <= last and k > last - n and value is not null")
+        at |= {(r.c, r.k): r.value for r in hit.select("c", "k", "value").collect()}  # two for each quantile
+    out = {}
+    for c, name in enumerate(names):
+        ends = [(p, *[at.get((c, k)) for k in ranks(p, total[c])]) for p in shares if total[c]]
+        if all(x is not None for e in ends for x in e):
+            out[name] = [between(p, total[c], low, high) for p, low, high in ends]
+    return out
+
+
 def ranked_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
     """Exact interpolated quantiles without any task that holds a column's values."""
     names = list(own)
@@ -159,7 +204,7 @@ def ranked_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> d
             before[part, c] = total[c]
             total[c] += n
         # Ranks that are asked for, by column and partition.
-        asked = {(c, k) for c, n in total.items() for p in shares for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1))) if n}
+        asked = {(c, k) for c, n in total.items() for p in shares for k in ranks(p, n) if n}
         starts = df.sparkSession.createDataFrame([(part, c, b) for (part, c), b in before.items()], "part int, c int, before long")
         here = Window.partitionBy("part", "c").orderBy("v")
         ranked = ordered.join(F.broadcast(starts), ["part", "c"]).withColumn("last", F.col("before") + F.sum("n").over(here) - 1)
@@ -170,9 +215,7 @@ def ranked_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> d
         ordered.unpersist()
     out = {}
     for c, name in enumerate(names):
-        place = [p * (total[c] - 1) for p in shares] if total[c] else []
-        low, high = [at[c, math.floor(x)] for x in place], [at[c, math.ceil(x)] for x in place]
-        out[name] = [a if x == math.floor(x) else (math.ceil(x) - x) * a + (x - math.floor(x)) * b for x, a, b in zip(place, low, high, strict=True)]
+        out[name] = [between(p, total[c], *[at[c, k] for k in ranks(p, total[c])]) for p in shares] if total[c] else []
     return out
 
 

@@ -241,3 +241,24 @@ def test_planted_columns_at_the_edges_of_thirds(spark):
     con.executemany("INSERT INTO lineitem VALUES (?, ?)", [(k // 8, k % 8) for k in keys])
     same = con.execute(f"WITH {Q.PLANTED} SELECT B, Y FROM planted ORDER BY 1, 2").fetchall()
     assert keys and [tuple(r) for r in Q.planted(lambda _: rows).select("B", "Y").orderBy("B", "Y").collect()] == same
+
+
+def test_a_sweep_reads_the_rows_a_few_times(planted, spark, monkeypatch):
+    """Tests over cells equal tests over rows, nulls and infinities too; a sweep scans the rows a fixed number of times, whatever its tests."""
+    df = planted.withColumn("Z", F.when(F.abs("A") < 1.5, F.col("Z"))).withColumn("region", F.when(F.col("Y") > -2, F.col("region")))
+    by = {v.name: v for v in D.variables(profile(df))}
+    asked = [(a, b, s) for a, b in itertools.combinations(sorted(by), 2) for n in range(3) for s in itertools.combinations(sorted(set(by) - {a, b}), n)]
+    for rows in (df, df.withColumn("A", F.when(F.col("A") > 2, float("inf")).otherwise(F.col("A"))), df.where("A > 100")):
+        cuts = D.all_cuts(rows, [n for n in by if by[n].numeric], 4)
+        cells = D.folded(rows, list(by.values()), 4, cuts)
+        plain, over_cells = (D.independence_ps(rows, by, asked, 4, cuts, c) for c in (None, cells))
+        cells.cells.unpersist()
+        assert [str(p) if isinstance(p, Exception) else p for p in over_cells] == [str(p) if isinstance(p, Exception) else p and pytest.approx(p, rel=1e-6, abs=1e-12) for p in plain]
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda a: seen.add(1) or a, "double")
+    own = planted.select(*[F.col(c) for c in planted.columns if c != "A"], counted("A").alias("A"))
+    few = D.discover(own, list(by.values()))
+    assert few[0].tests > 50 and 0 < seen.value <= 4 * 2000
+    monkeypatch.setattr(D, "MAX_CELLS", 1)
+    many = D.discover(planted, list(by.values()))
+    assert (few[0].edges, few[0].separators, few[1].directed) == (many[0].edges, many[0].separators, many[1].directed)
