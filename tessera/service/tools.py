@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -47,15 +48,20 @@ class Tools:
             labelled = G.labelled_matches(hits, G.strongest_evidence(t["evidence"], t["edges"])).orderBy("distance", "heuristic_id")
             return {"heuristics": [self.match(r) for r in labelled.collect()]}  # at most MAX_K
         if name == TRACE:
-            own = t["evidence"].where(F.col("heuristic_id") == given["meta_heuristic_id"])
-            found = G.trace(own, t["edges"]).join(t["edges"], ["state_id", "intervention_id", "outcome_id"])
-            rows = found.select("state_id", "intervention_id", "outcome_id", F.coalesce("epistemic_source", F.lit(G.OBSERVATIONAL)).alias("epistemic_source")).distinct()
-            return {"triplets": [r.asDict() | ({"caveat": CAVEAT} if r.epistemic_source == G.CAUSAL else {}) for r in rows.orderBy("intervention_id", "outcome_id").collect()]}  # one heuristic's evidence
+            rows = self.traced(given["meta_heuristic_id"]).orderBy("intervention_id", "outcome_id", "state_id", "epistemic_source")
+            return {"triplets": [{k: v for k, v in r.asDict().items() if k != "caveat" or v} for r in rows.toLocalIterator()]}  # the message holds one heuristic's evidence
         if name == SUBMIT:
             return {"optimization_function_id": self.submit(given["goal"], given["import_path"])}
         detail = self.verify(given["goal_id"], given["finding_id"])
         return {"dispatched": detail in ("accepted", "coalesced"), "detail": detail}
 
+    def traced(self, heuristic: str) -> DataFrame:
+        """The triplets that the tool tells of, as a table, for heuristics whose evidence no message holds; caveat: null if there is none."""
+        own = self.tables["evidence"].where(F.col("heuristic_id") == heuristic).select("node_id").distinct()
+        edges = self.tables["edges"].select("state_id", "intervention_id", "outcome_id", F.coalesce("epistemic_source", F.lit(G.OBSERVATIONAL)).alias("epistemic_source")).distinct()
+        touched = [edges.join(own.withColumnRenamed("node_id", c), c, "left_semi").select(*edges.columns) for c in ("state_id", "intervention_id", "outcome_id")]
+        return reduce(DataFrame.unionByName, touched).distinct().withColumn("caveat", F.when(F.col("epistemic_source") == G.CAUSAL, CAVEAT))
+
     @staticmethod
     def match(r) -> dict[str, Any]:
         out = {"id": r.heuristic_id, "definition": r.definition, "epistemic_source": r.epistemic_source}

@@ -107,6 +107,22 @@ def test_agent_tools(spark):
     assert ask("nothing")["error"]["code"] == -32601 and tools.answer({"method": "notifications/initialized"}) is None
 
 
+def test_traces_stay_tables(spark):
+    """The query's rows do not pass through the driver, and are those of the tool's message; nulls in ids and repeated edges too."""
+    from tessera.queries.rules import traced
+
+    evidence = spark.createDataFrame([("h2", "s1"), ("h2", "s1"), ("h2", "i2"), ("h1", "o9")], "heuristic_id string, node_id string")
+    rows = [("s1", "i1", "o1", "causal_inferred"), ("s1", "i1", "o1", "causal_inferred"), ("s2", "i2", "o2", None), (None, "i2", "o3", "observational"), ("s9", "i9", "o9", None)]
+    edges = spark.createDataFrame(rows, "state_id string, intervention_id string, outcome_id string, epistemic_source string")
+    spark.sparkContext.setJobGroup("trace", "trace")
+    found = traced(evidence, edges)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("trace")
+    tools = Tools({"evidence": evidence, "edges": edges}, None, None, None)
+    told = tools.call("trace_causal_chain", {"meta_heuristic_id": "h2"})["triplets"]
+    assert [(x["intervention_id"], x["outcome_id"], x["epistemic_source"], "caveat" in x) for x in told] == [("i1", "o1", "causal_inferred", True), ("i2", "o2", "observational", False), ("i2", "o3", "observational", False)]
+    assert sorted(map(tuple, found.collect())) == sorted((x["intervention_id"], x["outcome_id"], x["epistemic_source"], "caveat" in x) for x in told)
+
+
 def pdf(*pages: bytes, packed: bool = False) -> bytes:
     """A file of plain pages; packed: streams deflated, pages in an object stream."""
     n = len(pages)
