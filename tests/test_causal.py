@@ -277,7 +277,7 @@ def repeated(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["planted_verify", "planted_verify_confounded", "planted_refutations", "planted_placebo_columns", "planted_oriented", "planted_oriented_by_prior", "planted_layers", "planted_separator", "planted_verify_edgeless"])
+@pytest.mark.parametrize("name", ["planted_verify", "planted_verify_confounded", "planted_refutations", "planted_placebo_columns", "planted_oriented", "planted_oriented_by_prior", "planted_layers", "planted_separator", "planted_verify_edgeless", "planted_verify_open"])
 def test_rows_that_repeat_a_draw_are_no_evidence(spark, repeated, name):
     import duckdb
 
