@@ -1,7 +1,8 @@
 """Causal discovery over columns: conditional-independence tests, a level-wise skeleton sweep, and edge orientation.
 
 All data access is through contingency tables and moments. A sweep folds the rows once into cells, one for each combination of bins
-and categories with its sums, and every test is a sum over cells. Where the cells would be too many, rows are read again: the tests of
+and categories with its sums, and every test is a sum over cells, on the driver if all cells together are at most HELD_NUMBERS keys
+and sums. Where the cells would be too many to fold, rows are read again: the tests of
 one level are independent of each other, so a level takes their tables and moments together. Each row becomes one narrow row for every
 distinct set of columns asked about, which partial aggregation folds at once, and a level costs a scan for every AT_ONCE sets, not
 one for every test.
@@ -14,8 +15,9 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.functions import statistics as S
@@ -31,6 +33,8 @@ ALPHA, MAX_CONDITIONS, BINS, COLUMN_CAP, MAX_TESTS = 0.05, 2, 4, 50, 20_000
 AT_ONCE = 128
 #: Cells and sums of a cell up to which a sweep folds its rows.
 MAX_CELLS, MAX_SUMS = 100_000, 200
+#: Keys and sums of all cells up to which the driver holds them.
+HELD_NUMBERS = 1_000_000
 TESTED, UNKNOWN, CAPPED = "tested", "unknown", "budget_capped"
 
 
@@ -57,6 +61,35 @@ def present(df: DataFrame) -> DataFrame:
     return df
 
 
+class Held:
+    """Cells gathered on the driver, a column an array."""
+
+    def __init__(self, cells: DataFrame):
+        table = cells.toArrow()  # at most HELD_NUMBERS of keys and sums
+        self.valid, self.value, self.labels = {}, {}, {}
+        for name in table.column_names:
+            column = table[name].combine_chunks()
+            self.valid[name] = column.is_valid().to_numpy(zero_copy_only=False)
+            if name.startswith("k_"):
+                column = column.dictionary_encode()
+                self.labels[name], column = column.dictionary.to_pylist(), column.indices
+            self.value[name] = column.fill_null(0).to_numpy(zero_copy_only=False)
+
+    def summed(self, keys: list[str], sums: dict[str, str]) -> list[dict]:
+        """Rows (g_i: key, n, sums...) over the cells without nulls in keys and sums."""
+        whole = np.ones(len(self.value["n"]), dtype=bool)
+        for c in (*keys, *sums.values()):
+            whole &= self.valid[c]
+        group = np.zeros(whole.sum(), dtype=np.int64)
+        for c in keys:
+            group = np.unique(group * len(self.labels[c]) + self.value[c][whole], return_inverse=True)[1]
+        first = np.unique(group, return_index=True)[1]
+        own = {f"g{j}": [self.labels[c][i] for i in self.value[c][whole][first]] for j, c in enumerate(keys)}
+        own["n"] = [round(x) for x in np.bincount(group, self.value["n"][whole])]
+        own |= {f: np.bincount(group, self.value[c][whole]).tolist() for f, c in sums.items()}
+        return [dict(zip(own, r, strict=True)) for r in zip(*own.values(), strict=True)]
+
+
 @dataclass(frozen=True)
 class Folded:
     """Cells (k_i: key of the i-th column; n: rows; s_i, q_i, x_i_j: sums of numbers, squares and products) and the columns' places.
@@ -66,6 +99,7 @@ class Folded:
 
     cells: DataFrame
     place: dict[str, int]
+    held: Held | None = None
 
     def keys(self, names: Iterable[str]) -> list[str]:
         return [f"k_{self.place[n]}" for n in names]
@@ -88,19 +122,25 @@ def folded(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[str, li
     if len(numbers) * (len(numbers) + 3) // 2 > MAX_SUMS:
         return None
     keys = [k.alias(f"k_{i}") for i, k in enumerate(binned_keys(df, columns, bins, cuts))]
-    if df.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0] > MAX_CELLS:
+    many = df.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    if many > MAX_CELLS:
         return None
     value = {i: resolve(df.schema, columns[i].name).column.cast("double").alias(f"v_{i}") for i in numbers}
     rows, v = df.select(*keys, *value.values()), {i: F.col(f"v_{i}") for i in numbers}
     sums = [x for i in numbers for x in (F.sum(v[i]).alias(f"s_{i}"), F.sum(v[i] * v[i]).alias(f"q_{i}"))]
     sums += [F.sum(v[i] * v[j]).alias(f"x_{i}_{j}") for i, j in itertools.combinations(numbers, 2)]
     cells = rows.groupBy(*[f"k_{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"), *sums)
-    return Folded(cells.persist(StorageLevel.MEMORY_AND_DISK), {c.name: i for i, c in enumerate(columns)})
+    place = {c.name: i for i, c in enumerate(columns)}
+    if many * (len(columns) + 1 + len(sums)) <= HELD_NUMBERS:
+        return Folded(cells, place, Held(cells))
+    return Folded(cells.persist(StorageLevel.MEMORY_AND_DISK), place)
 
 
 def of_cells(cells: Folded, part: list[tuple], keys: Callable, sums: Callable) -> list:
     """For each entry of part its cells, summed by its keys: rows (set, keys..., n, sums...)."""
     k, s = [keys(x) for x in part], [sums(x) for x in part]
+    if cells.held:
+        return [Row(set=i, **r) for i in range(len(part)) for r in cells.held.summed(k[i], s[i])]
     width, names = max(map(len, k)), list(max(s, key=len))
     fill = lambda own: [F.col(own[j]) if j < len(own) else F.lit("") for j in range(width)]
     wide = F.array(*[F.struct(F.lit(i).alias("set"), *[c.alias(f"g{j}") for j, c in enumerate(fill(k[i]))], F.col("n"), *[(F.col(s[i][f]) if f in s[i] else F.lit(0.0)).alias(f) for f in names]) for i in range(len(part))])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.plans.errors import AmbiguousField, NonNumeric, RequestShape, UnknownField
+from tessera.sources.tabular import small_table
 
 NUMERIC, BOOLEAN, STRING, TEMPORAL = "numeric", "boolean", "string", "temporal"
 DISTINCT_CAP, MAX_BINS = 50, 32
@@ -119,8 +120,8 @@ def cut_shares(bins: int) -> list[float]:
     return [round(i / bins, 6) for i in range(1, bins)]
 
 
-#: Rows up to which one aggregate holds all values of the columns; beyond it no task does.
-HELD_VALUES = 2_000_000
+#: Rows up to which one aggregate holds all values of the columns; beyond it no task does. That aggregate is one task's work.
+HELD_VALUES = 100_000
 #: Estimated quantiles are off by at most one row in so many.
 NEAR = 10_000
 #: Brackets of quantiles that one scan counts.
@@ -180,7 +181,7 @@ def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -
         values = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
         counts = values.groupBy("c", passed.alias("passed"), F.when(inside, F.col("v")).alias("value")).agg(F.count("*").alias("n"), F.max("v").alias("most"))
         last = counts.withColumn("last", F.sum("n").over(Window.partitionBy("c").orderBy("most")) - 1)
-        wanted = F.broadcast(spark.createDataFrame(sorted({(c, k) for c in part for p in shares for k in ranks(p, total[c])}), "c int, k long"))
+        wanted = F.broadcast(small_table(spark, sorted({(c, k) for c in part for p in shares for k in ranks(p, total[c])}), "c int, k long"))
         hit = last.join(wanted, "c").where("k <= last and k > last - n and value is not null")
         at |= {(r.c, r.k): r.value for r in hit.select("c", "k", "value").collect()}  # two for each quantile
     out = {}
@@ -205,10 +206,10 @@ def ranked_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> d
             total[c] += n
         # Ranks that are asked for, by column and partition.
         asked = {(c, k) for c, n in total.items() for p in shares for k in ranks(p, n) if n}
-        starts = df.sparkSession.createDataFrame([(part, c, b) for (part, c), b in before.items()], "part int, c int, before long")
+        starts = small_table(df.sparkSession, [(part, c, b) for (part, c), b in before.items()], "part int, c int, before long")
         here = Window.partitionBy("part", "c").orderBy("v")
         ranked = ordered.join(F.broadcast(starts), ["part", "c"]).withColumn("last", F.col("before") + F.sum("n").over(here) - 1)
-        wanted = F.broadcast(df.sparkSession.createDataFrame(sorted(asked), "c int, k long"))
+        wanted = F.broadcast(small_table(df.sparkSession, sorted(asked), "c int, k long"))
         hit = ranked.alias("r").join(wanted.alias("w"), (F.col("r.c") == F.col("w.c")) & (F.col("k") <= F.col("last")) & (F.col("k") > F.col("last") - F.col("n")))
         at = {(r.c, r.k): r.v for r in hit.select("w.c", "k", "v").collect()}  # two for each quantile
     finally:

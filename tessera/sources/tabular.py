@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.plans.errors import UnsupportedFormat
 
@@ -121,3 +123,11 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(range(len(texts)), pa.int32()), pa.array(texts, pa.string())], ["path", "page_idx", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, page_idx int, text string")
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver has, as a part of the plan: through Arrow, so no Python worker starts for them."""
+    kind = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    arrays = [pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kind), strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=to_arrow_schema(kind)), kind)

@@ -287,3 +287,54 @@ def test_rows_that_repeat_a_draw_are_no_evidence(spark, repeated, name):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{repeated}/lineitem.parquet/*.parquet'")
     by_text = lambda rows: sorted((tuple(r) for r in rows), key=str)
     assert by_text(QUERIES[name](spark, str(repeated)).collect()) == by_text(con.execute(ORACLES[name]).fetchall())
+
+
+def test_cells_on_the_driver_are_tested_without_jobs(planted, spark):
+    """Sums over cells that the driver holds equal sums over the table of cells, with nulls, and cost no job."""
+    df = planted.withColumn("Z", F.when(F.abs("A") < 1.5, F.col("Z"))).withColumn("region", F.when(F.col("Y") > -2, F.col("region")))
+    by = {v.name: v for v in D.variables(profile(df))}
+    asked = [(a, b, s) for a, b in itertools.combinations(sorted(by), 2) for n in range(3) for s in itertools.combinations(sorted(set(by) - {a, b}), n)]
+    cuts = D.all_cuts(df, [n for n in by if by[n].numeric], 4)
+    cells = D.folded(df, list(by.values()), 4, cuts)
+    found, jobs = jobs_of(spark, lambda: D.independence_ps(df, by, asked, 4, cuts, cells))
+    table = D.independence_ps(df, by, asked, 4, cuts, D.Folded(cells.cells, cells.place))
+    assert jobs == 0 and found == [p and pytest.approx(p, rel=1e-6, abs=1e-12) for p in table]
+    assert D.independence_ps(df, by, asked[:30], 4, cuts, D.folded(df.where("A > 100"), list(by.values()), 4, cuts)) == [None] * 30
+
+
+def jobs_of(spark, run):
+    sc, group = spark.sparkContext, f"counted-{id(run)}"
+    sc.setJobGroup(group, group)
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_no_task_holds_the_values_of_many_draws(spark, monkeypatch):
+    from tessera.sources import profile as PR
+
+    df = spark.range(0, 150_001, 1, 4).selectExpr("CAST(id * 7919 % 150001 AS DOUBLE) AS a")
+    monkeypatch.setattr(PR.F, "percentile", lambda *_: pytest.fail("one task holds all values"))
+    assert PR.quantile_cuts(df, ["a"], 4) == {"a": [37500.0, 75000.0, 112500.0]}
+
+
+def test_draws_are_found_by_bits(spark):
+    """Each residue once and each key below 0 as itself, whatever the words they lie in; tasks send words, not keys."""
+    from tessera.queries import planted as Q
+
+    keys = [-1, -64, -65, -700_000, 0, 63, 64, 65, Q.PRIME - 1, Q.PRIME, Q.PRIME + 64, 40 * Q.PRIME + 777, 777, 2**30]
+    cut = lambda k: (abs(k) // 8 * (1 if k >= 0 else -1), abs(k) % 8 * (1 if k >= 0 else -1))
+    rows = spark.createDataFrame([cut(k) for k in keys] * 3, "l_orderkey long, l_linenumber int")
+    once = sorted({k % Q.PRIME if k >= 0 else k for k in keys})
+    plain = Q.planted(lambda _: spark.createDataFrame([cut(k) for k in once], "l_orderkey long, l_linenumber int"))
+    with Q.draws(lambda _: rows) as found:
+        assert sorted(found.collect()) == sorted(plain.collect())
+        assert "bit_or" in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name, most", [("planted_separator", 14)])
+def test_a_query_takes_few_jobs(spark, repeated, name, most):
+    from tessera.queries.registry import QUERIES
+
+    assert jobs_of(spark, lambda: QUERIES[name](spark, str(repeated)).collect())[1] <= most
