@@ -333,7 +333,7 @@ def test_draws_are_found_by_bits(spark):
         assert "bit_or" in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name, most", [("planted_layers", 14), ("planted_oriented", 14), ("planted_oriented_by_prior", 14), ("planted_verify_edgeless", 14), ("planted_verify_open", 14), ("planted_separator", 14)])
+@pytest.mark.parametrize("name, most", [("planted_layers", 14), ("planted_oriented", 14), ("planted_oriented_by_prior", 14), ("planted_verify_edgeless", 14), ("planted_verify_open", 14), ("planted_placebo_columns", 20), ("planted_separator", 14)])
 def test_a_query_takes_few_jobs(spark, repeated, name, most):
     from tessera.queries.registry import QUERIES
 
