@@ -90,27 +90,33 @@ def binned(df: DataFrame, names: tuple[str, ...], bins: int = ADJUST_BINS) -> li
 
 
 def stability_rows(df: DataFrame, objective: Objective, treated: list[Constraint], adjust: list[tuple[str, int]], seed: int, draws: int = DRAWS, share: float = SHARE) -> DataFrame:
-    """All subsamples in one scan: each draw is a seeded flag, cuts are those of the full data. Rows (strata..., draw columns)."""
+    """All subsamples in one scan: each draw is a seeded flag, cuts are those of the full data.
+
+    Rows (s_i: stratum..., arm, none: the aggregate of no rows, then n_k and agg_k of each draw) for each arm of a stratum; the arm is null where
+    the segment is. An arm is a key, so a row costs a draw two aggregates, not five.
+    """
     keys = group_keys(df, adjust)
-    inside = free_name(df, "in_segment")
+    inside, agg = free_name(df, "in_segment"), objective.aggregation.lower()
     rows, name, kind = with_value(df.withColumn(inside, segment(treated, df.schema)), objective)
     for n, _ in adjust:
         rows = rows.where(F.col(f"`{n}`").isNotNull())
-    rows = rows.select("*", *[(F.rand(seed + k) < share).alias(f"draw_{k}") for k in range(draws)])
-    out = []
+    rows = rows.select(*[k.alias(f"s_{i}") for i, k in enumerate(keys)], F.col(inside).alias("arm"), F.col(name).alias("value"), *[(F.rand(seed + k) < share).alias(f"draw_{k}") for k in range(draws)])
+    out = [F.lit(0.0 if agg == "count" else None).cast("double").alias("none")]
     for k in range(draws):
-        drawn, seg, base = F.col(f"draw_{k}"), F.col(inside), ~F.col(inside)
-        out.append(F.count(F.when(drawn, 1)).alias(f"n_{k}"))
-        out += [F.count(F.when(drawn & arm, 1)).alias(f"{p}_n_{k}") for p, arm in (("seg", seg), ("base", base))]
-        out += [aggregated(objective.aggregation.lower(), F.when(drawn & arm, F.col(name)), kind).alias(f"{p}_agg_{k}") for p, arm in (("seg", seg), ("base", base))]
-    return rows.groupBy(*keys).agg(*out) if keys else rows.agg(*out)
+        drawn = F.col(f"draw_{k}")
+        out += [F.count(F.when(drawn, 1)).alias(f"n_{k}"), aggregated(agg, F.when(drawn, F.col("value")), kind).alias(f"agg_{k}")]
+    return rows.groupBy(*[f"s_{i}" for i in range(len(keys))], "arm").agg(*out)
 
 
 def stability(rows: list[dict], reference: float, draws: int = DRAWS, band: float = BAND) -> float:
     """Share of draws of the same sign and within the band around the reference."""
+    strata: dict[tuple, dict] = {}
+    for r in rows:
+        strata.setdefault(tuple(v for f, v in r.items() if f.startswith("s_")), {})[r["arm"]] = r
     good = 0
     for k in range(draws):
-        own = [{f: r[f"{f}_{k}"] for f in ("n", "seg_n", "seg_agg", "base_n", "base_agg")} for r in rows]
+        of_arm = lambda arms, a: arms[a][f"agg_{k}"] if a in arms else next(iter(arms.values()))["none"]  # noqa: B023, E731
+        own = [{"n": sum(r[f"n_{k}"] for r in arms.values()), "seg_agg": of_arm(arms, True), "base_agg": of_arm(arms, False)} for arms in strata.values()]
         e = reweighted_leniently([r for r in own if r["n"]])
         good += e is not None and e * reference > 0 and abs(e - reference) <= band * abs(reference)
     return good / draws
@@ -129,9 +135,10 @@ def verify(df: DataFrame, objective: Objective, treated: list[Constraint], graph
     plan = adjustment(graph, objective, treated)
     if plan.status:
         return Verification(plan.status, adjust=plan.adjust, blocking=plan.blocking)
-    naive = difference(rows_of(stratified_effect(df, objective, treated)))
+    whole = rows_of(stratified_effect(df, objective, treated))
+    naive = difference(whole)
     adjust = binned(df, plan.adjust)
-    strata = rows_of(stratified_effect(df, objective, treated, adjust))
+    strata = rows_of(stratified_effect(df, objective, treated, adjust)) if adjust else whole
     effect = reweighted(strata, floor)
     if naive is None or effect is None:
         return Verification(POSITIVITY, naive, effect, plan.adjust)

@@ -333,7 +333,24 @@ def test_draws_are_found_by_bits(spark):
         assert "bit_or" in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name, most", [("planted_layers", 14), ("planted_oriented", 14), ("planted_oriented_by_prior", 14), ("planted_verify_edgeless", 14), ("planted_verify_open", 14), ("planted_placebo_columns", 20), ("planted_separator", 14)])
+def test_a_subsample_costs_two_aggregates(spark):
+    """Scores over arms equal those of the same draws taken one by one; a null segment counts in a stratum and in no arm."""
+    rows = [(float(i % 7) + (i % 3 == 0) * 2, "xyz"[i % 3], None if i % 11 == 0 else i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "y double, s string, t long").coalesce(1).cache()
+    for agg in ("avg", "sum", "count"):
+        goal, treated = Objective(agg, Ref("y")), [Constraint("t", "gt", 2)]
+        got = E.rows_of(E.stability_rows(df, goal, treated, [("s", 0)], 5, draws=6))
+        flags = df.select("*", *[(F.rand(5 + k) < E.SHARE).alias(f"d{k}") for k in range(6)])
+        plain = [E.reweighted_leniently(E.rows_of(E.stratified_effect(flags.where(f"d{k}"), goal, treated, [("s", 0)]))) for k in range(6)]
+        for reference in (plain[0], 0.97 * max(plain), -1.0):
+            want = sum(p * reference > 0 and abs(p - reference) <= 0.05 * abs(reference) for p in plain) / 6
+            assert E.stability(got, reference, 6, 0.05) == want
+        assert len(got[0]) <= 3 + 2 * 6
+    alone = E.rows_of(E.stability_rows(df.where("t > 2"), Objective("count", Ref("y")), [Constraint("t", "gt", 2)], [], 5, draws=2))
+    assert E.stability(alone, float(alone[0]["n_0"]), 2) == 1.0
+
+
+@pytest.mark.parametrize("name, most", [("planted_layers", 14), ("planted_oriented", 14), ("planted_oriented_by_prior", 14), ("planted_verify_edgeless", 14), ("planted_verify_open", 14), ("planted_placebo_columns", 20), ("planted_refutations", 30), ("planted_separator", 14)])
 def test_a_query_takes_few_jobs(spark, repeated, name, most):
     from tessera.queries.registry import QUERIES
 
