@@ -155,7 +155,7 @@ def ranks(share: float, n: int) -> tuple[int, int]:
 
 def between(share: float, n: int, low: float, high: float) -> float:
     x = share * (n - 1)
-    return low if x == math.floor(x) else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+    return low if low == high or x == math.floor(x) else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
 
 
 def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -303,7 +304,7 @@ def test_cells_on_the_driver_are_tested_without_jobs(planted, spark):
 
 
 def jobs_of(spark, run):
-    sc, group = spark.sparkContext, f"counted-{id(run)}"
+    sc, group = spark.sparkContext, f"counted-{time.monotonic_ns()}"
     sc.setJobGroup(group, group)
     try:
         return run(), len(sc.statusTracker().getJobIdsForGroup(group))
@@ -319,6 +320,15 @@ def test_no_task_holds_the_values_of_many_draws(spark, monkeypatch):
     assert PR.quantile_cuts(df, ["a"], 4) == {"a": [37500.0, 75000.0, 112500.0]}
 
 
+def test_a_cut_within_equal_values_is_that_value(spark):
+    """As in SQL and in percentile: a mean weighted by shares of thirds may be off by a bit, and rows on the cut would change bins."""
+    from tessera.sources.profile import quantile_cuts
+
+    same = [0.9, 1.7, 1.8]
+    df = spark.range(20).selectExpr(*[f"CAST({v} AS DOUBLE) AS c{i}" for i, v in enumerate(same)])
+    assert quantile_cuts(df, df.columns, 3, held=1) == {f"c{i}": [v, v] for i, v in enumerate(same)}
+
+
 def test_draws_are_found_by_bits(spark):
     """Each residue once and each key below 0 as itself, whatever the words they lie in; tasks send words, not keys."""
     from tessera.queries import planted as Q
