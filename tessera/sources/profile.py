@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,14 +132,16 @@ def quantile_cuts(df: DataFrame, columns: list[str], bins: int, held: int = HELD
     """bins - 1 interpolated quantiles of each numeric column, nulls left out, non-finite cuts dropped; exact.
 
     A quantile lies between the values of two ranks. Up to `held` rows take one aggregate. Of more, estimates bracket each quantile, and
-    only the values within a bracket are ranked; should a rank be in none, all values of its column are.
+    only the values within a bracket are ranked; should a rank be in none, all values of its column are. One scan counts the rows and
+    makes the estimates.
     """
     check_bins(bins)
     if not bins or not columns:
         return {c: [] for c in columns}
     own = {c: numeric(df.schema, c).column.cast("double") for c in dict.fromkeys(columns)}
-    if df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"] > held:
-        found = bracketed_cuts(df, own, cut_shares(bins))
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *estimates(own, cut_shares(bins))).first()
+    if seen["rows"] > held:
+        found = bracketed_cuts(df, own, cut_shares(bins), seen)
         if missed := {c: x for c, x in own.items() if c not in found}:
             found |= ranked_cuts(df, missed, cut_shares(bins))
     else:
@@ -158,23 +160,27 @@ def between(share: float, n: int, low: float, high: float) -> float:
     return low if low == high or x == math.floor(x) else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
 
 
-def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float]) -> dict[str, list[float]]:
+def estimates(own: dict[str, Column], shares: list[float]) -> list[Column]:
+    """Of the i-th column its values (n_i) and what is close to each quantile on both sides (q_i)."""
+    asked = F.array(*[F.lit(min(max(p + d / NEAR, 0.0), 1.0)) for p in shares for d in (-2, 2)])
+    return [x for i, v in enumerate(own.values()) for x in (F.count(v).alias(f"n{i}"), F.percentile_approx(v, asked, NEAR).alias(f"q{i}"))]
+
+
+def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float], seen: Row) -> dict[str, list[float]]:
     """Exact interpolated quantiles of the columns whose ranks the brackets hold, which is all but for a fault of the estimates.
 
-    One scan estimates both sides of each quantile. Another one, for BRACKETS of them, counts each value inside a bracket, some 4 in NEAR
-    rows, and the rows between two brackets as one; ordered, the counts are ranks.
+    seen: the estimates. A scan for BRACKETS of them counts each value inside a bracket, some 4 in NEAR rows, and the rows between two
+    brackets as one; ordered, the counts are ranks.
     """
     names, spark = list(own), df.sparkSession
-    asked = F.array(*[F.lit(min(max(p + d / NEAR, 0.0), 1.0)) for p in shares for d in (-2, 2)])
-    row = df.agg(*[x for i, v in enumerate(own.values()) for x in (F.count(v).alias(f"n{i}"), F.percentile_approx(v, asked, NEAR).alias(f"q{i}"))]).first()
-    total = {c: row[f"n{c}"] for c in range(len(names))}
+    total = {c: seen[f"n{c}"] for c in range(len(names))}
     at = {}
     step = max(1, BRACKETS // len(shares))
     for first in range(0, len(names), step):
         part = [c for c in range(len(names))[first : first + step] if total[c]]
         if not part:
             continue
-        edges = [(F.col("c") == c, *row[f"q{c}"][2 * i : 2 * i + 2]) for c in part for i in range(len(shares))]
+        edges = [(F.col("c") == c, *seen[f"q{c}"][2 * i : 2 * i + 2]) for c in part for i in range(len(shares))]
         inside = reduce(Column.__or__, [here & F.col("v").between(low, high) for here, low, high in edges])
         passed = reduce(Column.__add__, [F.when(here & (F.col("v") > high), 1).otherwise(0) for here, _, high in edges])
         cells = F.array(*[F.struct(F.lit(c).alias("c"), own[names[c]].alias("v")) for c in part])

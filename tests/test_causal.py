@@ -365,3 +365,12 @@ def test_a_query_takes_few_jobs(spark, repeated, name, most):
     from tessera.queries.registry import QUERIES
 
     assert jobs_of(spark, lambda: QUERIES[name](spark, str(repeated)).collect())[1] <= most
+
+
+def test_one_scan_counts_rows_and_estimates_quantiles(spark):
+    """Of many rows: a scan for their number and the estimates, another one for the values near them."""
+    from tessera.sources.profile import quantile_cuts
+
+    df = spark.range(0, 3001, 1, 2).selectExpr("CAST(id * 79 % 3001 AS DOUBLE) AS a", "CASE WHEN id % 3 > 0 THEN CAST(id AS DOUBLE) END AS b").cache()
+    found, jobs = jobs_of(spark, lambda: quantile_cuts(df, ["a", "b"], 4, held=1))
+    assert found == quantile_cuts(df, ["a", "b"], 4) and jobs <= 7
