@@ -57,9 +57,9 @@ def complete(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def all_cuts(df: DataFrame, names: list[str], bins: int) -> dict[str, list[float]]:
-    """Cuts of several columns from one job, as group_keys takes them."""
-    return {f"{n}\0{bins}": c for n, c in quantile_cuts(df, names, bins).items()}
+def all_cuts(df: DataFrame, names: list[str], bins: int, beside: dict[str, Column] | None = None) -> dict[str, list[float]]:
+    """Cuts of several columns from one job, as group_keys takes them; beside as quantile_cuts takes it."""
+    return {f"{n}\0{bins}": c for n, c in quantile_cuts(df, names, bins, beside=beside).items()}
 
 
 def contingency(df: DataFrame, columns: list[tuple[str, int]], constraints: list[Constraint] = (), cuts: dict[str, list[float]] | None = None) -> DataFrame:

@@ -116,13 +116,19 @@ def binned_keys(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[st
     return [F.when(resolve(df.schema, v.name).column.isNotNull(), group_keys(df, [(v.name, bins if v.numeric else 0)], cuts)[0]) for v in columns]
 
 
-def folded(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[str, list[float]]) -> Folded | None:
-    """The cells of all columns, kept until they are unpersisted; None if there may be too many of them or of their sums."""
+def folded(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[str, list[float]], levels: dict[str, int] | None = None) -> Folded | None:
+    """The cells of all columns, kept until they are unpersisted; None if there may be too many of them or of their sums.
+
+    levels: the values of each column that is no number, if they are known. Should all combinations be few, cells are not counted beforehand.
+    """
     numbers = [i for i, v in enumerate(columns) if v.numeric]
     if len(numbers) * (len(numbers) + 3) // 2 > MAX_SUMS:
         return None
     keys = [k.alias(f"k_{i}") for i, k in enumerate(binned_keys(df, columns, bins, cuts))]
-    many = df.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    wide = len(columns) + 1 + len(numbers) * (len(numbers) + 3) // 2
+    many = math.prod(1 + (len(cuts[f"{v.name}\0{bins}"]) + 1 if v.numeric else levels[v.name]) for v in columns) if levels is not None else None
+    if many is None or many > MAX_CELLS or many * wide > HELD_NUMBERS:
+        many = df.select(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
     if many > MAX_CELLS:
         return None
     value = {i: resolve(df.schema, columns[i].name).column.cast("double").alias(f"v_{i}") for i in numbers}
@@ -131,7 +137,7 @@ def folded(df: DataFrame, columns: list[Variable], bins: int, cuts: dict[str, li
     sums += [F.sum(v[i] * v[j]).alias(f"x_{i}_{j}") for i, j in itertools.combinations(numbers, 2)]
     cells = rows.groupBy(*[f"k_{i}" for i in range(len(columns))]).agg(F.count("*").alias("n"), *sums)
     place = {c.name: i for i, c in enumerate(columns)}
-    if many * (len(columns) + 1 + len(sums)) <= HELD_NUMBERS:
+    if many * wide <= HELD_NUMBERS:
         return Folded(cells, place, Held(cells))
     return Folded(cells.persist(StorageLevel.MEMORY_AND_DISK), place)
 
@@ -426,8 +432,10 @@ def priority_columns(objective: Objective, constraints: Iterable[Constraint], fi
 
 def discover(df: DataFrame, columns: list[Variable], priority: Iterable[str] = (), alpha: float = ALPHA, max_conditions: int = MAX_CONDITIONS, bins: int = BINS, max_tests: int = MAX_TESTS, correction: str = "bh", column_cap: int = COLUMN_CAP, prior: OrientationPrior = abstaining_prior) -> tuple[Skeleton, Orientation]:
     by = {v.name: v for v in columns}
-    cuts = all_cuts(df, [v.name for v in columns if v.numeric], bins)
-    cells = folded(df, columns, bins, cuts)
+    levels = {v.name: F.approx_count_distinct(resolve(df.schema, v.name).column.cast("string")) for v in columns if not v.numeric}
+    numbers = [v.name for v in columns if v.numeric]
+    cuts = all_cuts(df, numbers, bins, levels)
+    cells = folded(df, columns, bins, cuts, levels if numbers else None)
     tests = lambda asked: independence_ps(df, by, asked, bins, cuts, cells)
     try:
         names, excluded = capped_columns([v.name for v in columns], list(priority), tests, column_cap)

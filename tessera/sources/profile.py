@@ -128,18 +128,21 @@ NEAR = 10_000
 BRACKETS = 32
 
 
-def quantile_cuts(df: DataFrame, columns: list[str], bins: int, held: int = HELD_VALUES) -> dict[str, list[float]]:
+def quantile_cuts(df: DataFrame, columns: list[str], bins: int, held: int = HELD_VALUES, beside: dict[str, Column] | None = None) -> dict[str, list[float]]:
     """bins - 1 interpolated quantiles of each numeric column, nulls left out, non-finite cuts dropped; exact.
 
     A quantile lies between the values of two ranks. Up to `held` rows take one aggregate. Of more, estimates bracket each quantile, and
     only the values within a bracket are ranked; should a rank be in none, all values of its column are. One scan counts the rows and
-    makes the estimates.
+    makes the estimates. beside: other aggregates of that scan by name, in whose place their values are put.
     """
     check_bins(bins)
     if not bins or not columns:
         return {c: [] for c in columns}
     own = {c: numeric(df.schema, c).column.cast("double") for c in dict.fromkeys(columns)}
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), *estimates(own, cut_shares(bins))).first()
+    more = dict(beside or {})
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *estimates(own, cut_shares(bins)), *[x.alias(f"b{i}") for i, x in enumerate(more.values())]).first()
+    for i, name in enumerate(more):
+        beside[name] = seen[f"b{i}"]
     if seen["rows"] > held:
         found = bracketed_cuts(df, own, cut_shares(bins), seen)
         if missed := {c: x for c, x in own.items() if c not in found}:

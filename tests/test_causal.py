@@ -374,3 +374,17 @@ def test_one_scan_counts_rows_and_estimates_quantiles(spark):
     df = spark.range(0, 3001, 1, 2).selectExpr("CAST(id * 79 % 3001 AS DOUBLE) AS a", "CASE WHEN id % 3 > 0 THEN CAST(id AS DOUBLE) END AS b").cache()
     found, jobs = jobs_of(spark, lambda: quantile_cuts(df, ["a", "b"], 4, held=1))
     assert found == quantile_cuts(df, ["a", "b"], 4) and jobs <= 7
+
+
+def test_few_combinations_are_folded_without_counting_them(planted, spark, monkeypatch):
+    """Cuts and the levels of texts bound the cells; where the bound is too high, they are counted. The graph is the same."""
+    counted, plain = [], D.F.xxhash64
+    monkeypatch.setattr(D.F, "xxhash64", lambda *a: counted.append(len(a)) or plain(*a))
+    few = D.discover(planted, D.variables(profile(planted)))
+    assert not counted
+    monkeypatch.setattr(D, "HELD_NUMBERS", 200_000)
+    more = D.discover(planted, D.variables(profile(planted)))
+    assert counted == [7] and few[0].p == {e: pytest.approx(p, rel=1e-6, abs=1e-12) for e, p in more[0].p.items()}
+    assert (few[0].edges, few[0].separators, few[1].directed) == (more[0].edges, more[0].separators, more[1].directed)
+    texts = planted.select("B", "C", "region")
+    assert D.discover(texts, D.variables(profile(texts)))[0].tests >= 3
