@@ -175,7 +175,7 @@ def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float], s
     seen: the estimates. A scan for BRACKETS of them counts each value inside a bracket, some 4 in NEAR rows, and the rows between two
     brackets as one; ordered, the counts are ranks.
     """
-    names, spark = list(own), df.sparkSession
+    names = list(own)
     total = {c: seen[f"n{c}"] for c in range(len(names))}
     at = {}
     step = max(1, BRACKETS // len(shares))
@@ -190,9 +190,10 @@ def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float], s
         values = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
         counts = values.groupBy("c", passed.alias("passed"), F.when(inside, F.col("v")).alias("value")).agg(F.count("*").alias("n"), F.max("v").alias("most"))
         last = counts.withColumn("last", F.sum("n").over(Window.partitionBy("c").orderBy("most")) - 1)
-        wanted = F.broadcast(small_table(spark, sorted({(c, k) for c in part for p in shares for k in ranks(p, total[c])}), "c int, k long"))
-        hit = last.join(wanted, "c").where("k <= last and k > last - n and value is not null")
-        at |= {(r.c, r.k): r.value for r in hit.select("c", "k", "value").collect()}  # two for each quantile
+        wanted = {c: sorted({k for p in shares for k in ranks(p, total[c])}) for c in part}
+        hit = reduce(Column.__or__, [(F.col("c") == c) & (F.col("last") >= k) & (F.col("last") - F.col("n") < k) for c in part for k in wanted[c]])
+        for r in last.where(hit & F.col("value").isNotNull()).collect():  # at most two for each quantile
+            at |= {(r.c, k): r.value for k in wanted[r.c] if r.last - r.n < k <= r.last}
     out = {}
     for c, name in enumerate(names):
         ends = [(p, *[at.get((c, k)) for k in ranks(p, total[c])]) for p in shares if total[c]]

@@ -388,3 +388,14 @@ def test_few_combinations_are_folded_without_counting_them(planted, spark, monke
     assert (few[0].edges, few[0].separators, few[1].directed) == (more[0].edges, more[0].separators, more[1].directed)
     texts = planted.select("B", "C", "region")
     assert D.discover(texts, D.variables(profile(texts)))[0].tests >= 3
+
+
+def test_values_at_ranks_are_found_without_a_join(spark, monkeypatch):
+    """Ranks that fall on one value, on nulls' neighbours and on the ends are found where they are counted."""
+    from tessera.sources import profile as PR
+
+    df = spark.range(0, 30_000, 1, 3).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id DIV 10000 AS DOUBLE) AS b", "CASE WHEN id % 2 > 0 THEN -CAST(id AS DOUBLE) END AS c", "CAST(NULL AS DOUBLE) AS d").cache()
+    plain = {bins: PR.quantile_cuts(df, df.columns, bins) for bins in (4, 32)}
+    monkeypatch.setattr(PR, "small_table", lambda *_: pytest.fail("a table of ranks is joined"))
+    monkeypatch.setattr(PR, "ranked_cuts", lambda _, own, __: dict.fromkeys(own, []) if set(own) <= {"d"} else pytest.fail("a rank was missed"))
+    assert {bins: PR.quantile_cuts(df, df.columns, bins, held=1) for bins in (4, 32)} == {bins: {c: pytest.approx(v, rel=1e-12) for c, v in own.items()} for bins, own in plain.items()}
