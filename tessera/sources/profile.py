@@ -169,6 +169,13 @@ def estimates(own: dict[str, Column], shares: list[float]) -> list[Column]:
     return [x for i, v in enumerate(own.values()) for x in (F.count(v).alias(f"n{i}"), F.percentile_approx(v, asked, NEAR).alias(f"q{i}"))]
 
 
+def placed(v: Column, c: int, brackets: list[list[float]]) -> Column:
+    """A value of the c-th column (v), how many brackets of that column lie below it, and itself if it is inside one."""
+    inside = reduce(Column.__or__, [v.between(low, high) for low, high in brackets])
+    passed = reduce(Column.__add__, [F.when(v > high, 1).otherwise(0) for _, high in brackets])
+    return F.struct(F.lit(c).alias("c"), v.alias("v"), passed.alias("passed"), F.when(inside, v).alias("value"))
+
+
 def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float], seen: Row) -> dict[str, list[float]]:
     """Exact interpolated quantiles of the columns whose ranks the brackets hold, which is all but for a fault of the estimates.
 
@@ -183,12 +190,9 @@ def bracketed_cuts(df: DataFrame, own: dict[str, Column], shares: list[float], s
         part = [c for c in range(len(names))[first : first + step] if total[c]]
         if not part:
             continue
-        edges = [(F.col("c") == c, *seen[f"q{c}"][2 * i : 2 * i + 2]) for c in part for i in range(len(shares))]
-        inside = reduce(Column.__or__, [here & F.col("v").between(low, high) for here, low, high in edges])
-        passed = reduce(Column.__add__, [F.when(here & (F.col("v") > high), 1).otherwise(0) for here, _, high in edges])
-        cells = F.array(*[F.struct(F.lit(c).alias("c"), own[names[c]].alias("v")) for c in part])
-        values = df.select(F.explode(cells).alias("x")).select("x.*").where("v is not null")
-        counts = values.groupBy("c", passed.alias("passed"), F.when(inside, F.col("v")).alias("value")).agg(F.count("*").alias("n"), F.max("v").alias("most"))
+        brackets = {c: [seen[f"q{c}"][2 * i : 2 * i + 2] for i in range(len(shares))] for c in part}
+        values = df.select(F.explode(F.array(*[placed(own[names[c]], c, brackets[c]) for c in part])).alias("x")).select("x.*").where("v is not null")
+        counts = values.groupBy("c", "passed", "value").agg(F.count("*").alias("n"), F.max("v").alias("most"))
         last = counts.withColumn("last", F.sum("n").over(Window.partitionBy("c").orderBy("most")) - 1)
         wanted = {c: sorted({k for p in shares for k in ranks(p, total[c])}) for c in part}
         hit = reduce(Column.__or__, [(F.col("c") == c) & (F.col("last") >= k) & (F.col("last") - F.col("n") < k) for c in part for k in wanted[c]])

@@ -399,3 +399,14 @@ def test_values_at_ranks_are_found_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(PR, "small_table", lambda *_: pytest.fail("a table of ranks is joined"))
     monkeypatch.setattr(PR, "ranked_cuts", lambda _, own, __: dict.fromkeys(own, []) if set(own) <= {"d"} else pytest.fail("a rank was missed"))
     assert {bins: PR.quantile_cuts(df, df.columns, bins, held=1) for bins in (4, 32)} == {bins: {c: pytest.approx(v, rel=1e-12) for c, v in own.items()} for bins, own in plain.items()}
+
+
+def test_a_value_is_compared_with_the_brackets_of_its_column(spark, monkeypatch):
+    """Not with those of all columns: the comparisons of a row are as many as all brackets, not that many for each column."""
+    from tessera.sources import profile as PR
+
+    plans, explode = [], PR.F.explode
+    df = spark.range(0, 30_000, 1, 3).selectExpr(*[f"CAST(id * {7 + 2 * i} % 30000 AS DOUBLE) AS c{i}" for i in range(5)]).cache()
+    monkeypatch.setattr(PR.F, "explode", lambda x: plans.append(str(df.select(x.alias("x"))._jdf.queryExecution().analyzed())) or explode(x))
+    assert PR.quantile_cuts(df, df.columns, 4, held=1) == PR.quantile_cuts(df, df.columns, 4)
+    assert len(plans) == 1 and plans[0].count(" > ") == 5 * 3
