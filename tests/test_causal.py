@@ -410,3 +410,14 @@ def test_a_value_is_compared_with_the_brackets_of_its_column(spark, monkeypatch)
     monkeypatch.setattr(PR.F, "explode", lambda x: plans.append(str(df.select(x.alias("x"))._jdf.queryExecution().analyzed())) or explode(x))
     assert PR.quantile_cuts(df, df.columns, 4, held=1) == PR.quantile_cuts(df, df.columns, 4)
     assert len(plans) == 1 and plans[0].count(" > ") == 5 * 3
+
+
+def test_distinct_values_are_found_in_one_scan(spark):
+    """Of columns at the cap, above it and without values; a task sends one value more than the cap at most."""
+    from tessera.sources.profile import distinct_values
+
+    df = spark.range(0, 9000, 1, 3).selectExpr("CAST(id % 4 AS STRING) AS at", "CAST(greatest(id - 8990, 0) AS STRING) AS above", "CAST(NULL AS STRING) AS none", "id % 3 = 0 AS flag", "id")
+    found = distinct_values(df, cap=4)
+    assert sorted(map(tuple, found.collect())) == [*(("at", str(i)) for i in range(4)), ("flag", "false"), ("flag", "true")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 9000") == 1 and "WindowGroupLimit" in plan
